@@ -73,7 +73,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     per_prob = (picked.groupBy(*keys, "_name", "_n", "_pos", "_lo")
                       .agg(F.max(F.when(F.col("_role") == "lo", F.col("_v"))).alias("_vlo"),
                            F.max(F.when(F.col("_role") == "hi", F.col("_v"))).alias("_vhi"))
-                      .withColumn("_q", F.when(d == 0, vlo).otherwise(vlo * (1 - d) + vhi * d)))
+                      # numpy's linear interpolation (what pandas' quantile uses), written
+                      # from the nearer end so that it is monotone and exact at d = 0 / 1
+                      .withColumn("_q", F.when(d == 0, vlo)
+                                         .when(d >= 0.5, vhi - (vhi - vlo) * (1 - d))
+                                         .otherwise(vlo + (vhi - vlo) * d)))
     aggs = [F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in probs]
     if count_col:
         aggs.append(F.max("_n").alias(count_col))
@@ -105,3 +109,38 @@ def multi_quantiles(df: DataFrame, keys: Sequence[str], spec: Mapping[str, Mappi
         if count_prefix is not None:
             aggs.append(F.coalesce(F.max(F.when(F.col("_col") == c, F.col("_n"))), F.lit(0)).alias(f"{count_prefix}{c}"))
     return q.groupBy(*keys).agg(*aggs)
+
+
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, rank_col: str = "_rank") -> DataFrame:
+    """Add the 0-based position of every row inside its ``keys`` group under
+    ``order`` (columns or sort expressions; make it a total order, e.g. end
+    with a unique id).  Same distributed sort as ``exact_quantiles``: no
+    group is gathered into one task, so top-k per group and deterministic
+    per-group samples stay bounded when one group holds most rows.
+    """
+    keys = list(keys)
+    spark = df.sparkSession
+    nparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    ranked = (df.repartitionByRange(nparts, *[F.col(k) for k in keys], *order)
+                .sortWithinPartitions(*[F.col(k) for k in keys], *order)
+                .withColumn("_pid", F.spark_partition_id())
+                .withColumn("_loc", F.monotonically_increasing_id())
+                .persist(StorageLevel.MEMORY_AND_DISK))
+    seg = ranked.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_loc").alias("_first"))
+    running = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # seg has at most (partitions + groups) rows; keys may be NULL, so they
+    # are matched null-safely under private names.
+    seg = seg.select(F.col("_pid").alias("_spid"), *[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)],
+                     "_first", F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_off"))
+    cond = [F.col("_pid") == F.col("_spid")] + [F.col(k).eqNullSafe(F.col(f"_sk{i}")) for i, k in enumerate(keys)]
+    return (ranked.join(seg, cond)
+                  .withColumn(rank_col, F.col("_off") + F.col("_loc") - F.col("_first"))
+                  .drop("_pid", "_loc", "_off", "_first", "_spid", *[f"_sk{i}" for i in range(len(keys))]))
+
+
+def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
+                    rank_col: str = "rank") -> DataFrame:
+    """The first ``k`` rows of every group under ``order`` with a 1-based rank."""
+    ranked = rank_within(df, keys, order, "_r")
+    return ranked.where(F.col("_r") < k).withColumn(rank_col, (F.col("_r") + 1).cast("int")).drop("_r")

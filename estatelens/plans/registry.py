@@ -46,4 +46,4 @@ def all_oracles() -> dict[str, str]:
 
 def _load() -> None:
     # importing the plan modules fills REGISTRY
-    from estatelens.plans import feature_queries, ingest_queries, queries  # noqa: F401
+    from estatelens.plans import feature_queries, ingest_queries, queries, report_queries  # noqa: F401
