@@ -46,4 +46,5 @@ def all_oracles() -> dict[str, str]:
 
 def _load() -> None:
     # importing the plan modules fills REGISTRY
-    from estatelens.plans import feature_queries, ingest_queries, queries, rate_queries, report_queries  # noqa: F401
+    from estatelens.plans import (feature_queries, ingest_queries, queries, rate_queries,  # noqa: F401
+                                  report_queries, valuation_queries)
