@@ -48,3 +48,4 @@ def _load() -> None:
     # importing the plan modules fills REGISTRY
     from estatelens.plans import (feature_queries, ingest_queries, queries, rate_queries,  # noqa: F401
                                   report_queries, valuation_queries)
+    from estatelens.plans import model_queries  # noqa: F401  (after valuation_queries)
