@@ -16,8 +16,8 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["clean_listings", "cleaning_step_log", "oof_rule_metrics", "sector_summary"]
-OPTIONAL = ["rule_residual_band", "market_describe", "comparables", "rate_estimates", "query_validation",
-            "ingest_listings", "oof_encoded_features"]
+OPTIONAL = ["ingest_listings", "oof_features", "market_describe", "rule_residual_band", "rate_estimates",
+            "query_validation", "comparables"]
 
 
 def main() -> None:

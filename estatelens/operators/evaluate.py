@@ -37,7 +37,8 @@ def oof_rule_predictions(listings: DataFrame, n_splits: int = DEFAULT_SPLITS,
     ``pred_baseline_global`` (crore).
     """
     df = listings if "fold" in listings.columns else assign_fold(listings, n_splits, seed)
-    enc = encoders or fit_encoders(df, n_splits)
+    # the rules need no building encoder: leave that level out of the sort
+    enc = encoders or fit_encoders(df, n_splits, with_society=False)
     out = apply_encoders(df, enc)
     return out.withColumns({
         "pred_baseline_sector": F.col("sector_ppsf") * F.col("area") / 1e7,
