@@ -75,3 +75,15 @@ def q_oof_rule_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     listings, _ = cleaned(spark, sf_dir)
     oof = oof_rule_predictions(listings)
     return round_floats(regression_metrics(oof, ["baseline_sector", "baseline_global"]))
+
+
+@register("public_city_listing_counts", O.with_ctes(O.CLEAN_LISTINGS, """
+SELECT city_key, count(*) AS n FROM listings
+WHERE city_key IN (SELECT lower(r_name) FROM region WHERE r_regionkey <> 4) GROUP BY city_key"""))
+def q_public_city_listing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-6 / SRC-7: listings of the cities the registry marks public."""
+    from estatelens.sources.derived import cities_from_regions
+    from estatelens.sources.feeds import public_listings
+    listings, _ = cleaned(spark, sf_dir)
+    return public_listings(listings, cities_from_regions(spark, sf_dir)).groupBy("city_key").agg(
+        F.count(F.lit(1)).alias("n"))
