@@ -30,6 +30,34 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from estatelens.session import materialize
+
+
+
+# Rows of a lookup table that may be broadcast; the count is checked at run time.
+BROADCAST_ROW_LIMIT = 2_000_000
+
+
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """``broadcast(df)`` when the table has at most ``limit`` rows, otherwise
+    ``df`` unchanged (the planner then shuffles both sides)."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on ``keys`` with NULL = NULL, keeping one copy of the keys."""
+    r = right.select(*[F.col(k).alias(f"_rk{i}") for i, k in enumerate(keys)],
+                     *[c for c in right.columns if c not in keys])
+    cond = [F.col(k).eqNullSafe(F.col(f"_rk{i}")) for i, k in enumerate(keys)]
+    return left.join(r, cond).drop(*[f"_rk{i}" for i in range(len(keys))])
+
+
+def group_ids(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A unique BIGINT ``_gid`` per distinct key tuple, written to the
+    checkpoint folder so every later use sees the same ids.  Sorting and
+    shuffling one BIGINT is much cheaper than several string keys."""
+    return materialize(df.select(*keys).distinct().withColumn("_gid", F.monotonically_increasing_id()))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -41,17 +69,21 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     nparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     v = F.col(value).cast("double")
     base = df.select(*[F.col(k) for k in keys], v.alias("_v")).where(v.isNotNull() & ~F.isnan(v))
-    ranked = (base.repartitionByRange(nparts, *keys, "_v")
-                  .sortWithinPartitions(*keys, "_v")
+    if keys:
+        gids = group_ids(base, keys)
+        base = _null_safe_join(base, checked_broadcast(gids), keys).select("_gid", "_v")
+    else:
+        base = base.select(F.lit(0).cast("bigint").alias("_gid"), "_v")
+    ranked = (base.repartitionByRange(nparts, "_gid", "_v")
+                  .sortWithinPartitions("_gid", "_v")
                   .withColumn("_pid", F.spark_partition_id())
                   .withColumn("_loc", F.monotonically_increasing_id()))
     ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
 
-    seg = ranked.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"),
-                                            F.min("_loc").alias("_first"))
-    running = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    seg = ranked.groupBy("_pid", "_gid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_loc").alias("_first"))
+    running = Window.partitionBy("_gid").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     seg = (seg.withColumn("_off", F.coalesce(F.sum("_cnt").over(running), F.lit(0)))
-              .withColumn("_n", F.sum("_cnt").over(Window.partitionBy(*keys))))
+              .withColumn("_n", F.sum("_cnt").over(Window.partitionBy("_gid"))))
 
     targets = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"))
                         for name, p in probs.items()])
@@ -64,13 +96,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     F.struct(F.lit("hi").alias("role"), F.col("_hi").alias("rank")))))
                .where((F.col("_pick.rank") >= F.col("_off"))
                       & (F.col("_pick.rank") < F.col("_off") + F.col("_cnt")))
-               .select(*keys, F.col("_q.name").alias("_name"), "_n", "_pos", "_lo",
+               .select("_gid", F.col("_q.name").alias("_name"), "_n", "_pos", "_lo",
                        F.col("_pick.role").alias("_role"),
                        (F.col("_first") + F.col("_pick.rank") - F.col("_off")).alias("_loc")))
-    picked = wanted.join(ranked.select("_loc", "_v"), "_loc")
+    # wanted holds groups x probabilities x 2 rows: broadcast when small, so the
+    # ranked rows are filtered where they lie instead of being shuffled
+    picked = ranked.select("_loc", "_v").join(checked_broadcast(wanted), "_loc")
     d = F.col("_pos") - F.col("_lo")
     vlo, vhi = F.col("_vlo"), F.col("_vhi")
-    per_prob = (picked.groupBy(*keys, "_name", "_n", "_pos", "_lo")
+    per_prob = (picked.groupBy("_gid", "_name", "_n", "_pos", "_lo")
                       .agg(F.max(F.when(F.col("_role") == "lo", F.col("_v"))).alias("_vlo"),
                            F.max(F.when(F.col("_role") == "hi", F.col("_v"))).alias("_vhi"))
                       # numpy's linear interpolation (what pandas' quantile uses), written
@@ -81,7 +115,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     aggs = [F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in probs]
     if count_col:
         aggs.append(F.max("_n").alias(count_col))
-    return per_prob.groupBy(*keys).agg(*aggs)
+    out = per_prob.groupBy("_gid").agg(*aggs)
+    if keys:
+        out = out.join(checked_broadcast(gids), "_gid").select(*keys, *[c for c in out.columns if c != "_gid"])
+    return out.drop("_gid") if "_gid" in out.columns else out
 
 
 def multi_quantiles(df: DataFrame, keys: Sequence[str], spec: Mapping[str, Mapping[str, float]],
@@ -134,7 +171,7 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, rank_col: s
     seg = seg.select(F.col("_pid").alias("_spid"), *[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)],
                      "_first", F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_off"))
     cond = [F.col("_pid") == F.col("_spid")] + [F.col(k).eqNullSafe(F.col(f"_sk{i}")) for i, k in enumerate(keys)]
-    return (ranked.join(seg, cond)
+    return (ranked.join(checked_broadcast(seg), cond)
                   .withColumn(rank_col, F.col("_off") + F.col("_loc") - F.col("_first"))
                   .drop("_pid", "_loc", "_off", "_first", "_spid", *[f"_sk{i}" for i in range(len(keys))]))
 
