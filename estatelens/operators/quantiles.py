@@ -159,21 +159,25 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, rank_col: s
     spark = df.sparkSession
     nparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranked = (df.repartitionByRange(nparts, *[F.col(k) for k in keys], *order)
-                .sortWithinPartitions(*[F.col(k) for k in keys], *order)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_loc", F.monotonically_increasing_id())
-                .persist(StorageLevel.MEMORY_AND_DISK))
-    seg = ranked.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_loc").alias("_first"))
-    running = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # seg has at most (partitions + groups) rows; keys may be NULL, so they
-    # are matched null-safely under private names.
-    seg = seg.select(F.col("_pid").alias("_spid"), *[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)],
-                     "_first", F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_off"))
-    cond = [F.col("_pid") == F.col("_spid")] + [F.col(k).eqNullSafe(F.col(f"_sk{i}")) for i, k in enumerate(keys)]
+    if keys:
+        gids = group_ids(df, keys)
+        base = _null_safe_join(df, checked_broadcast(gids), keys)
+    else:
+        base = df.withColumn("_gid", F.lit(0).cast("bigint"))
+    ranked = (base.repartitionByRange(nparts, F.col("_gid"), *order)
+                  .sortWithinPartitions(F.col("_gid"), *order)
+                  .withColumn("_pid", F.spark_partition_id())
+                  .withColumn("_loc", F.monotonically_increasing_id())
+                  .persist(StorageLevel.MEMORY_AND_DISK))
+    seg = ranked.groupBy("_pid", "_gid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_loc").alias("_first"))
+    running = Window.partitionBy("_gid").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # seg has at most (partitions + groups) rows
+    seg = seg.select(F.col("_pid").alias("_spid"), F.col("_gid").alias("_sgid"), "_first",
+                     F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_off"))
+    cond = [F.col("_pid") == F.col("_spid"), F.col("_gid") == F.col("_sgid")]
     return (ranked.join(checked_broadcast(seg), cond)
                   .withColumn(rank_col, F.col("_off") + F.col("_loc") - F.col("_first"))
-                  .drop("_pid", "_loc", "_off", "_first", "_spid", *[f"_sk{i}" for i in range(len(keys))]))
+                  .drop("_pid", "_loc", "_off", "_first", "_spid", "_sgid", "_gid"))
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,

@@ -35,3 +35,19 @@ def cleaned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         listings, log = clean_listings(public_feed(raw_listings(spark, sf_dir)))
         _PROCESSED[key] = (materialize(listings), materialize(log))
     return _PROCESSED[key]
+
+
+_OOF_RULES: dict = {}
+
+
+def oof_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold rule predictions of the cleaned listings with their log
+    residual, written once per session and shared by every rule report."""
+    from estatelens.functions.columns import residual_log
+    from estatelens.operators.evaluate import oof_rule_predictions
+    key = (id(spark.sparkContext._jsc), sf_dir)
+    if key not in _OOF_RULES:
+        listings, _ = cleaned(spark, sf_dir)
+        oof = oof_rule_predictions(listings).withColumn("res", residual_log("pred_baseline_sector", "price"))
+        _OOF_RULES[key] = materialize(oof)
+    return _OOF_RULES[key]

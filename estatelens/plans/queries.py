@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.operators.evaluate import oof_rule_predictions, regression_metrics
+from estatelens.operators.evaluate import regression_metrics
 from estatelens.operators.quantiles import multi_quantiles
 from estatelens.plans import oracle as O
-from estatelens.plans.common import cleaned, round_floats
+from estatelens.plans.common import cleaned, oof_rules, round_floats
 from estatelens.plans.registry import register
 
 
@@ -72,9 +72,7 @@ def sector_summary(listings: DataFrame, min_support: int = 30) -> DataFrame:
 def q_oof_rule_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship (CV-1 + AGG-5 + JOIN-1 + JOIN-3 + AGG-6): fold-safe
     locality-median and city-median rules, pooled out-of-fold metrics."""
-    listings, _ = cleaned(spark, sf_dir)
-    oof = oof_rule_predictions(listings)
-    return round_floats(regression_metrics(oof, ["baseline_sector", "baseline_global"]))
+    return round_floats(regression_metrics(oof_rules(spark, sf_dir), ["baseline_sector", "baseline_global"]))
 
 
 @register("public_city_listing_counts", O.with_ctes(O.CLEAN_LISTINGS, """

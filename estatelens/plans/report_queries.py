@@ -5,34 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.functions.columns import AGE_CODES, residual_log
+from estatelens.functions.columns import AGE_CODES
 from estatelens.operators.cleaning import public_feed, standardize_columns
-from estatelens.operators.evaluate import oof_rule_predictions, residual_band
+from estatelens.operators.evaluate import residual_band
 from estatelens.operators.quantiles import multi_quantiles, rank_within, top_k_per_group
 from estatelens.operators.reports import (assign_quintile, box_stats, correlations, describe, duplicate_count,
                                           histogram, missing_share, quintile_edges, sample_listings, skew_corrected,
                                           value_counts)
 from estatelens.plans import oracle as O
-from estatelens.plans.common import cleaned, round_floats
+from estatelens.plans.common import cleaned, oof_rules, round_floats
 from estatelens.plans.registry import register
-from estatelens.session import materialize
 from estatelens.sources.listings import raw_listings
 
 NUMERIC = ["price", "price_per_sqft", "area", "bedrooms", "bathrooms", "luxury_score"]
 _STD_COLS = ["city_key", "property_type", "society", "sector", "price", "price_per_sqft", "area", "bedrooms",
              "bathrooms", "balcony", "age_possession", "furnishing_type", "luxury_score"]
-_OOF_CACHE: dict = {}
 
 
 def _oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold rule predictions of the cleaned listings, written once per session."""
-    key = (id(spark.sparkContext._jsc), sf_dir)
-    if key not in _OOF_CACHE:
-        listings, _ = cleaned(spark, sf_dir)
-        oof = oof_rule_predictions(listings).withColumn(
-            "res", residual_log("pred_baseline_sector", "price"))
-        _OOF_CACHE[key] = materialize(oof)
-    return _OOF_CACHE[key]
+    return oof_rules(spark, sf_dir)
 
 
 def _std_feed(spark, sf_dir):
