@@ -200,3 +200,27 @@ def q_ingest_parse_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = ingested(spark, sf_dir).feed_log
     return log.where(F.col("entry").startswith("parse_loss:") | F.col("entry").isin("locality_merged", "localities")) \
               .select("city_key", "entry", "value")
+
+
+@register("area_basis_report", O.with_ctes(INGEST_SQL, """
+SELECT city_key, CASE WHEN count(DISTINCT area_basis) = 1 THEN min(area_basis) END AS area_basis,
+       count(DISTINCT area_basis) > 1 AS mixed
+FROM ingested GROUP BY city_key"""))
+def q_area_basis_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DQ-11 / MAP-6: the single area basis recorded on each city's rows."""
+    from estatelens.operators.ingest import area_basis_per_city
+    return area_basis_per_city(ingested(spark, sf_dir).listings)
+
+
+@register("amenity_unknown_share", O.with_ctes(INGEST_SQL, """
+SELECT city_key, count(*) FILTER (WHERE amenity_count IS NULL) AS unknown_rows, count(*) AS rows,
+       round(100.0 * count(*) FILTER (WHERE amenity_count IS NULL) / count(*), 6) AS unknown_pct
+FROM staged GROUP BY city_key"""))
+def q_amenity_unknown_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DRV-1 log: rows whose amenities were never recorded (left blank, not
+    counted as zero), after deduplication."""
+    res = ingested(spark, sf_dir)
+    log = res.feed_log.where(F.col("entry") == "amenity_unknown").select("city_key", F.col("value").alias("unknown_rows"))
+    rows = res.step_log.where(F.col("step_no") == 7).select("city_key", F.col("rows_in").alias("rows"))
+    return round_floats(log.join(rows, "city_key").withColumn(
+        "unknown_pct", 100.0 * F.col("unknown_rows") / F.col("rows")))

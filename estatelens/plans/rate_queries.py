@@ -102,3 +102,16 @@ def q_rate_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     est, items = price_from_rates(rate_queries(spark, sf_dir), rates_for(spark, sf_dir), RATES_LAST_UPDATED,
                                   RATES_AS_OF)
     return explain_lines(est, items)
+
+
+@register("rate_contamination_counts", O.with_ctes(RATES_SQL, """
+SELECT zone, count(*) FILTER (WHERE coalesce(regexp_matches(lower(locality), 'amravati|maharashtra|vidarbha'), false))
+         AS flagged, count(*) AS queries
+FROM queries GROUP BY zone"""))
+def q_rate_contamination_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-19 / DQ-17: per zone, queries whose locality names the similarly
+    named city in Maharashtra (warned, never dropped)."""
+    from estatelens.functions.columns import contamination_flag
+    q = rate_queries(spark, sf_dir)
+    return q.groupBy("zone").agg(F.count_if(contamination_flag(F.col("locality"))).alias("flagged"),
+                                 F.count(F.lit(1)).alias("queries"))

@@ -353,3 +353,46 @@ def q_sample_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SMP-1: deterministic sample of up to 400 listings per city."""
     listings, _ = cleaned(spark, sf_dir)
     return round_floats(sample_listings(listings))
+
+
+_FURN_VALUES = "('unfurnished', 0), ('semi-furnished', 1), ('furnished', 2)"
+
+
+@register("furnishing_ppsf", O.with_ctes(O.CLEAN_LISTINGS, f"""
+, labels(label, ordinal) AS (VALUES {_FURN_VALUES})
+SELECT city_key, label, CAST(ordinal AS INTEGER) AS ordinal, count(*) AS n,
+       round(quantile_cont(price_per_sqft, 0.5), 6) AS median_ppsf
+FROM listings JOIN labels ON furnishing_type = label GROUP BY city_key, label, ordinal"""))
+def q_furnishing_ppsf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EDA-10: median price per sq.ft. by furnishing, in label order."""
+    from estatelens.functions.columns import FURNISHING_CODES
+    listings, _ = cleaned(spark, sf_dir)
+    df = listings.where(F.col("furnishing_type").isNotNull()).withColumn("label", F.col("furnishing_type"))
+    keys = ["city_key", "label"]
+    q = multi_quantiles(df, keys, {"price_per_sqft": {"median_ppsf": 0.5}}, count_prefix="_n_")
+    order = F.create_map(*[x for lab, code in FURNISHING_CODES.items() for x in (F.lit(lab), F.lit(code))])
+    return round_floats(q.select("city_key", "label", order[F.col("label")].cast("int").alias("ordinal"),
+                                 F.col("_n_price_per_sqft").alias("n"), "median_ppsf"))
+
+
+@register("price_validity", O.with_ctes(O.CLEAN_LISTINGS, """
+SELECT city_key, count(*) FILTER (WHERE price IS NULL OR isnan(price) OR price <= 0 OR isinf(price)) AS bad_prices
+FROM std GROUP BY city_key"""))
+def q_price_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DQ-13: prices that cannot be modelled in log space (raw feed, per city)."""
+    from estatelens.operators.evaluate import validate_prices
+    return validate_prices(_std_feed(spark, sf_dir))
+
+
+@register("society_encoder_table", O.with_ctes(O.CLEAN_LISTINGS, """
+, g AS (SELECT city_key, quantile_cont(price_per_sqft, 0.5) AS gm FROM listings GROUP BY city_key)
+SELECT l.city_key, society, count(*) AS soc_count,
+       round((count(*) * quantile_cont(price_per_sqft, 0.5) + 10.0 * any_value(g.gm)) / (count(*) + 10.0), 6)
+         AS society_ppsf
+FROM listings l JOIN g USING (city_key) WHERE society IS NOT NULL GROUP BY l.city_key, society"""))
+def q_society_encoder_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-4 / RPT-2: smoothed building rates learned on all listings."""
+    from estatelens.operators.encoders import fit_encoders
+    listings, _ = cleaned(spark, sf_dir)
+    soc = fit_encoders(listings).society_stats
+    return round_floats(soc.select("city_key", "society", "soc_count", "society_ppsf"))
