@@ -65,8 +65,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     """One row per group: ``keys``, one column per ``probs`` entry, and the
     number of non-null values when ``count_col`` is given."""
     keys = list(keys)
-    spark = df.sparkSession
-    nparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     v = F.col(value).cast("double")
     base = df.select(*[F.col(k) for k in keys], v.alias("_v")).where(v.isNotNull() & ~F.isnan(v))
     if keys:
@@ -74,7 +72,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         base = _null_safe_join(base, checked_broadcast(gids), keys).select("_gid", "_v")
     else:
         base = base.select(F.lit(0).cast("bigint").alias("_gid"), "_v")
-    ranked = (base.repartitionByRange(nparts, "_gid", "_v")
+    # no explicit partition count: spark.sql.shuffle.partitions applies and
+    # AQE may coalesce small range partitions (ranks only need each row's
+    # partition and position, whatever the partitioning)
+    ranked = (base.repartitionByRange("_gid", "_v")
                   .sortWithinPartitions("_gid", "_v")
                   .withColumn("_pid", F.spark_partition_id())
                   .withColumn("_loc", F.monotonically_increasing_id()))
@@ -156,15 +157,13 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, rank_col: s
     per-group samples stay bounded when one group holds most rows.
     """
     keys = list(keys)
-    spark = df.sparkSession
-    nparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     if keys:
         gids = group_ids(df, keys)
         base = _null_safe_join(df, checked_broadcast(gids), keys)
     else:
         base = df.withColumn("_gid", F.lit(0).cast("bigint"))
-    ranked = (base.repartitionByRange(nparts, F.col("_gid"), *order)
+    ranked = (base.repartitionByRange(F.col("_gid"), *order)
                   .sortWithinPartitions(F.col("_gid"), *order)
                   .withColumn("_pid", F.spark_partition_id())
                   .withColumn("_loc", F.monotonically_increasing_id())

@@ -30,7 +30,7 @@ def cleaned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     they are written once per session to the checkpoint folder and every
     later query of the session reads them from there.
     """
-    key = (id(spark.sparkContext._jsc), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PROCESSED:
         listings, log = clean_listings(public_feed(raw_listings(spark, sf_dir)))
         _PROCESSED[key] = (materialize(listings), materialize(log))
@@ -45,7 +45,7 @@ def oof_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     residual, written once per session and shared by every rule report."""
     from estatelens.functions.columns import residual_log
     from estatelens.operators.evaluate import oof_rule_predictions
-    key = (id(spark.sparkContext._jsc), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _OOF_RULES:
         listings, _ = cleaned(spark, sf_dir)
         oof = oof_rule_predictions(listings).withColumn("res", residual_log("pred_baseline_sector", "price"))

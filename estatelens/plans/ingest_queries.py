@@ -40,7 +40,7 @@ def contract_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> IngestResult:
-    key = (id(spark.sparkContext._jsc), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INGESTED:
         _INGESTED[key] = ingest_listings(contract_feed(spark, sf_dir), TEST_CONTRACT)
     return _INGESTED[key]

@@ -16,7 +16,7 @@ _RATES: dict = {}
 
 
 def rates_for(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (id(spark.sparkContext._jsc), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _RATES:
         listings, _ = cleaned(spark, sf_dir)
         _RATES[key] = materialize(derived_rates(listings))
