@@ -18,8 +18,6 @@ from estatelens.plans.registry import register
 from estatelens.sources.listings import raw_listings
 
 NUMERIC = ["price", "price_per_sqft", "area", "bedrooms", "bathrooms", "luxury_score"]
-_STD_COLS = ["city_key", "property_type", "society", "sector", "price", "price_per_sqft", "area", "bedrooms",
-             "bathrooms", "balcony", "age_possession", "furnishing_type", "luxury_score"]
 
 
 def _oof(spark: SparkSession, sf_dir: str) -> DataFrame:
