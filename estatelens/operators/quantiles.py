@@ -18,6 +18,12 @@ is found with a distributed sort instead:
    equi-join and interpolate linearly, as pandas, numpy and DuckDB's
    ``quantile_cont`` do.
 
+Groups small enough to be held by one task (at most ``SMALL_GROUP_ROWS``
+values, checked from the group sizes at run time) skip the distributed sort:
+their values are collected, sorted and indexed in one aggregate, which is
+several times cheaper.  Only groups above the bound take the sort path, so
+the memory of any task stays bounded either way.
+
 Nulls and NaN are ignored.  Groups with no value produce no row; callers
 left-join and fill.
 """
@@ -36,6 +42,8 @@ from estatelens.session import materialize
 
 # Rows of a lookup table that may be broadcast; the count is checked at run time.
 BROADCAST_ROW_LIMIT = 2_000_000
+# Largest group whose values one task may hold (collect + sort in memory).
+SMALL_GROUP_ROWS = 200_000
 
 
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
@@ -60,13 +68,64 @@ def group_ids(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return materialize(df.select(*keys).distinct().withColumn("_gid", F.monotonically_increasing_id()))
 
 
+def _split_by_size(base: DataFrame, keys: list[str], small_rows: int):
+    """``(small, big)`` row sets by group size; ``big`` is None when no group
+    exceeds ``small_rows`` (the common case needs no extra join)."""
+    sizes = materialize(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    big_keys = sizes.where(F.col("_n") > small_rows).select(*keys)
+    if big_keys.limit(1).count() == 0:
+        return base, None
+    big_keys = checked_broadcast(big_keys)
+    r = big_keys.select(*[F.col(k).alias(f"_bk{i}") for i, k in enumerate(keys)])
+    cond = [F.col(k).eqNullSafe(F.col(f"_bk{i}")) for i, k in enumerate(keys)]
+    return base.join(r, cond, "left_anti"), base.join(r, cond, "left_semi")
+
+
+def _interpolate(vlo, vhi, d):
+    # numpy's linear interpolation (what pandas' quantile uses), written from
+    # the nearer end so that it is monotone and exact at d = 0 / 1
+    return F.when(d == 0, vlo).when(d >= 0.5, vhi - (vhi - vlo) * (1 - d)).otherwise(vlo + (vhi - vlo) * d)
+
+
+def _collected_quantiles(base: DataFrame, keys: list[str], probs: Mapping[str, float],
+                         count_col: str | None) -> DataFrame:
+    """Quantiles of bounded groups: sort each group's values in one task."""
+    g = base.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_a"))
+    n = F.size("_a")
+    cols = []
+    for name, p in probs.items():
+        pos = (n - 1) * float(p)
+        lo = F.floor(pos)
+        vlo = F.element_at("_a", (lo + 1).cast("int"))
+        vhi = F.element_at("_a", F.least(lo + 2, n).cast("int"))
+        cols.append(_interpolate(vlo, vhi, pos - lo).alias(name))
+    if count_col:
+        cols.append(n.cast("bigint").alias(count_col))
+    return g.select(*keys, *cols)
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: Mapping[str, float], count_col: str | None = None) -> DataFrame:
+                    probs: Mapping[str, float], count_col: str | None = None,
+                    small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
     """One row per group: ``keys``, one column per ``probs`` entry, and the
     number of non-null values when ``count_col`` is given."""
     keys = list(keys)
     v = F.col(value).cast("double")
     base = df.select(*[F.col(k) for k in keys], v.alias("_v")).where(v.isNotNull() & ~F.isnan(v))
+    gkeys = keys or ["_all"]
+    if not keys:
+        base = base.withColumn("_all", F.lit(0))
+    small, big = _split_by_size(base, gkeys, small_group_rows)
+    out = _collected_quantiles(small, gkeys, probs, count_col)
+    if big is not None:
+        out = out.unionByName(_sorted_quantiles(big.drop("_all") if not keys else big, keys, probs, count_col)
+                              .withColumns({"_all": F.lit(0)} if not keys else {}))
+    return out.drop("_all") if not keys else out
+
+
+def _sorted_quantiles(base: DataFrame, keys: list[str], probs: Mapping[str, float],
+                      count_col: str | None) -> DataFrame:
+    """Quantiles of groups of any size by the distributed sort."""
     if keys:
         gids = group_ids(base, keys)
         base = _null_safe_join(base, checked_broadcast(gids), keys).select("_gid", "_v")
@@ -108,11 +167,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     per_prob = (picked.groupBy("_gid", "_name", "_n", "_pos", "_lo")
                       .agg(F.max(F.when(F.col("_role") == "lo", F.col("_v"))).alias("_vlo"),
                            F.max(F.when(F.col("_role") == "hi", F.col("_v"))).alias("_vhi"))
-                      # numpy's linear interpolation (what pandas' quantile uses), written
-                      # from the nearer end so that it is monotone and exact at d = 0 / 1
-                      .withColumn("_q", F.when(d == 0, vlo)
-                                         .when(d >= 0.5, vhi - (vhi - vlo) * (1 - d))
-                                         .otherwise(vlo + (vhi - vlo) * d)))
+                      .withColumn("_q", _interpolate(vlo, vhi, d)))
     aggs = [F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in probs]
     if count_col:
         aggs.append(F.max("_n").alias(count_col))
@@ -149,15 +204,28 @@ def multi_quantiles(df: DataFrame, keys: Sequence[str], spec: Mapping[str, Mappi
     return q.groupBy(*keys).agg(*aggs)
 
 
-def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, rank_col: str = "_rank") -> DataFrame:
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, rank_col: str = "_rank",
+                small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
     """Add the 0-based position of every row inside its ``keys`` group under
     ``order`` (columns or sort expressions; make it a total order, e.g. end
-    with a unique id).  Same distributed sort as ``exact_quantiles``: no
-    group is gathered into one task, so top-k per group and deterministic
-    per-group samples stay bounded when one group holds most rows.
+    with a unique id).  Groups of at most ``small_group_rows`` rows are
+    numbered by a window; larger ones by the distributed sort of
+    ``exact_quantiles``, so top-k per group and deterministic per-group
+    samples stay bounded when one group holds most rows.
     """
     keys = list(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
+    gkeys = keys or ["_all"]
+    base = df if keys else df.withColumn("_all", F.lit(0))
+    small, big = _split_by_size(base, gkeys, small_group_rows)
+    out = small.withColumn(rank_col, F.row_number().over(Window.partitionBy(*gkeys).orderBy(*order)) - 1)
+    if big is not None:
+        out = out.unionByName(_sorted_rank(big, gkeys, order, rank_col))
+    return out.drop("_all") if not keys else out
+
+
+def _sorted_rank(df: DataFrame, keys: list[str], order: list, rank_col: str) -> DataFrame:
+    """Ranks of groups of any size by the distributed sort."""
     if keys:
         gids = group_ids(df, keys)
         base = _null_safe_join(df, checked_broadcast(gids), keys)

@@ -7,13 +7,17 @@ from hypothesis import given, settings, strategies as st
 from estatelens.operators.quantiles import exact_quantiles, multi_quantiles, rank_within, top_k_per_group
 
 
-def test_exact_quantiles_match_numpy(spark):
+import pytest
+
+
+@pytest.mark.parametrize("small", [200_000, 40])
+def test_exact_quantiles_match_numpy(spark, small):
     rng = np.random.default_rng(3)
     rows = [("a" if i % 3 else "b", float(v)) for i, v in enumerate(rng.normal(100, 30, 500))]
     rows += [("hot", 5.0)] * 300 + [("hot", float(v)) for v in range(50)]
     df = spark.createDataFrame(rows, "k string, v double")
     got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", {"p005": 0.005, "med": 0.5, "p995": 0.995},
-                                              count_col="n").collect()}
+                                              count_col="n", small_group_rows=small).collect()}
     for k in ("a", "b", "hot"):
         xs = np.array([v for kk, v in rows if kk == k])
         assert got[k]["n"] == len(xs)
@@ -32,10 +36,11 @@ def test_multi_quantiles_property(spark, rows):
         assert abs(got[k]["b_q1"] - np.quantile(xs * 2, 0.25)) < 1e-9
 
 
-def test_rank_and_top_k(spark):
+@pytest.mark.parametrize("small", [200_000, 20])
+def test_rank_and_top_k(spark, small):
     rows = [("c", i % 7, f"id{i:03d}") for i in range(100)] + [("d", 1, "z")]
     df = spark.createDataFrame(rows, "g string, v int, id string")
-    ranked = rank_within(df, ["g"], ["v", "id"], "r").collect()
+    ranked = rank_within(df, ["g"], ["v", "id"], "r", small_group_rows=small).collect()
     expected = {}
     for g in ("c", "d"):
         srt = sorted([r for r in rows if r[0] == g], key=lambda t: (t[1], t[2]))
@@ -44,3 +49,10 @@ def test_rank_and_top_k(spark):
     top = top_k_per_group(df, ["g"], [F.desc("v"), F.asc("id")], 3).collect()
     assert sorted((r["g"], r["rank"], r["id"]) for r in top)[:3] == [("c", 1, "id006"), ("c", 2, "id013"),
                                                                     ("c", 3, "id020")]
+
+
+def test_global_quantile_sort_path(spark):
+    df = spark.createDataFrame([(float(v),) for v in range(101)], "v double")
+    for small in (200_000, 10):
+        r = exact_quantiles(df, [], "v", {"q": 0.25}, count_col="n", small_group_rows=small).first()
+        assert r["q"] == 25.0 and r["n"] == 101
