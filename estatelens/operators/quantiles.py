@@ -71,7 +71,8 @@ def group_ids(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _split_by_size(base: DataFrame, keys: list[str], small_rows: int):
     """``(small, big)`` row sets by group size; ``big`` is None when no group
     exceeds ``small_rows`` (the common case needs no extra join)."""
-    sizes = materialize(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    # group sizes: one row per group, kept in memory for the check and the split
+    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
     big_keys = sizes.where(F.col("_n") > small_rows).select(*keys)
     if big_keys.limit(1).count() == 0:
         return base, None
