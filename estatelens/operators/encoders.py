@@ -70,11 +70,8 @@ def fit_encoders(df: DataFrame, n_splits: int | None = None, with_society: bool
                     .select(*ENC_KEYS, "_l._lvl", "_l._key", "price_per_sqft")
                     .where(F.col("_key").isNotNull()))
     lkeys = ENC_KEYS + ["_lvl", "_key"]
-    ppsf = F.col("price_per_sqft")
-    med = exact_quantiles(stacked, lkeys, "price_per_sqft", {"_median": 0.5})
-    mom = stacked.groupBy(*lkeys).agg(F.avg(ppsf).alias("_mean"), F.stddev_samp(ppsf).alias("_std"),
-                                      F.count(ppsf).alias("_count"))
-    stats = mom.join(med, lkeys, "left")
+    stats = exact_quantiles(stacked, lkeys, "price_per_sqft", {"_median": 0.5}, count_col="_count",
+                            extra={"_mean": F.avg, "_std": F.stddev_samp})
 
     global_stats = stats.where(F.col("_lvl") == "g").select(
         *ENC_KEYS, F.col("_median").alias("g_median"), F.col("_mean").alias("g_mean"),

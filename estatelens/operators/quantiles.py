@@ -89,9 +89,11 @@ def _interpolate(vlo, vhi, d):
 
 
 def _collected_quantiles(base: DataFrame, keys: list[str], probs: Mapping[str, float],
-                         count_col: str | None) -> DataFrame:
+                         count_col: str | None, extra: Mapping | None = None) -> DataFrame:
     """Quantiles of bounded groups: sort each group's values in one task."""
-    g = base.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_a"))
+    extra = extra or {}
+    g = base.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_a"),
+                                *[fn(F.col("_v")).alias(name) for name, fn in extra.items()])
     n = F.size("_a")
     cols = []
     for name, p in probs.items():
@@ -102,14 +104,18 @@ def _collected_quantiles(base: DataFrame, keys: list[str], probs: Mapping[str, f
         cols.append(_interpolate(vlo, vhi, pos - lo).alias(name))
     if count_col:
         cols.append(n.cast("bigint").alias(count_col))
-    return g.select(*keys, *cols)
+    return g.select(*keys, *cols, *extra.keys())
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Mapping[str, float], count_col: str | None = None,
-                    small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+                    small_group_rows: int = SMALL_GROUP_ROWS, extra: Mapping | None = None) -> DataFrame:
     """One row per group: ``keys``, one column per ``probs`` entry, and the
-    number of non-null values when ``count_col`` is given."""
+    number of non-null values when ``count_col`` is given.
+
+    ``extra`` maps output names to functions of the value column returning
+    an aggregate (e.g. ``lambda v: F.avg(v)``); they are computed in the same
+    pass as the quantiles."""
     keys = list(keys)
     v = F.col(value).cast("double")
     base = df.select(*[F.col(k) for k in keys], v.alias("_v")).where(v.isNotNull() & ~F.isnan(v))
@@ -117,10 +123,16 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     if not keys:
         base = base.withColumn("_all", F.lit(0))
     small, big = _split_by_size(base, gkeys, small_group_rows)
-    out = _collected_quantiles(small, gkeys, probs, count_col)
+    out = _collected_quantiles(small, gkeys, probs, count_col, extra)
     if big is not None:
-        out = out.unionByName(_sorted_quantiles(big.drop("_all") if not keys else big, keys, probs, count_col)
-                              .withColumns({"_all": F.lit(0)} if not keys else {}))
+        sq = _sorted_quantiles(big.drop("_all") if not keys else big, keys, probs, count_col)
+        if extra:
+            ex = big.groupBy(*gkeys).agg(*[fn(F.col("_v")).alias(name) for name, fn in extra.items()])
+            sq = sq.withColumns({"_all": F.lit(0)} if not keys else {})
+            r = ex.select(*[F.col(k).alias(f"_ek{i}") for i, k in enumerate(gkeys)], *extra.keys())
+            sq = sq.join(r, [F.col(k).eqNullSafe(F.col(f"_ek{i}")) for i, k in enumerate(gkeys)], "left") \
+                   .drop(*[f"_ek{i}" for i in range(len(gkeys))])
+        out = out.unionByName(sq.withColumns({"_all": F.lit(0)} if not keys and "_all" not in sq.columns else {}))
     return out.drop("_all") if not keys else out
 
 

@@ -56,3 +56,14 @@ def test_global_quantile_sort_path(spark):
     for small in (200_000, 10):
         r = exact_quantiles(df, [], "v", {"q": 0.25}, count_col="n", small_group_rows=small).first()
         assert r["q"] == 25.0 and r["n"] == 101
+
+
+@pytest.mark.parametrize("small", [200_000, 5])
+def test_extra_aggregates_same_pass(spark, small):
+    rows = [("a", float(v)) for v in range(1, 21)] + [("b", 3.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", {"m": 0.5}, count_col="n", small_group_rows=small,
+                                              extra={"mean": F.avg, "sd": F.stddev_samp}).collect()}
+    assert got["a"]["m"] == 10.5 and got["a"]["mean"] == 10.5 and got["a"]["n"] == 20
+    assert abs(got["a"]["sd"] - np.std(np.arange(1, 21), ddof=1)) < 1e-12
+    assert got["b"]["sd"] is None and got["b"]["n"] == 1
