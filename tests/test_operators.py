@@ -104,3 +104,25 @@ def test_unknown_model_name():
     from estatelens.operators.models import ModelSpec
     with pytest.raises(ValueError, match="Valid: accurate, default"):
         ModelSpec("fancy").estimator()
+
+
+def test_pipeline_registry():
+    from estatelens.operators.cleaning import clean_listings, pipeline_for
+    assert pipeline_for("asia", ["asia", "europe"]) is clean_listings
+    with pytest.raises(ValueError, match="Valid: asia, europe"):
+        pipeline_for("atlantis", ["europe", "asia"])
+
+
+def test_contract_checks():
+    from dataclasses import replace
+
+    from estatelens.plans.ingest_queries import TEST_CONTRACT
+    cols = ["price_lakh", "area_text", "size_label", "bathroom", "ptype", "balcony_raw", "locality_raw",
+            "area_type", "lift", "parking", "gym"]
+    TEST_CONTRACT.check(cols)
+    with pytest.raises(ValueError, match="area_unit"):
+        replace(TEST_CONTRACT, area_unit="acre").check(cols)
+    with pytest.raises(ValueError, match="missing declared column"):
+        TEST_CONTRACT.check(cols[:-1])
+    with pytest.raises(ValueError, match="same raw column"):
+        replace(TEST_CONTRACT, columns={**TEST_CONTRACT.columns, "bathrooms": "size_label"}).check(cols)
