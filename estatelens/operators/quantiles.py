@@ -30,6 +30,7 @@ left-join and fill.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
@@ -43,7 +44,7 @@ from estatelens.session import materialize
 # Rows of a lookup table that may be broadcast; the count is checked at run time.
 BROADCAST_ROW_LIMIT = 2_000_000
 # Largest group whose values one task may hold (collect + sort in memory).
-SMALL_GROUP_ROWS = 200_000
+SMALL_GROUP_ROWS = int(os.environ.get("ESTATELENS_SMALL_GROUP_ROWS", "200000"))
 
 
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
