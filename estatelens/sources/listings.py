@@ -38,9 +38,9 @@ def hash_bucket(listing_id: Column) -> Column:
 
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the dimension columns a listing needs (pruned reads)."""
-    li = read_table(spark, sf_dir, "lineitem", spread=True).select(
+    li = read_table(spark, sf_dir, "lineitem", spread=True, columns=[
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
+        "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"])
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderstatus", "o_orderpriority")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False,
+               columns: list[str] | None = None) -> DataFrame:
     """One parquet table of the driver's data set (``<sf_dir>/<name>.parquet``).
 
     ``spread``: when the scan yields fewer splits than the cluster has cores
@@ -18,6 +19,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
     On large inputs the scan already has many splits and nothing is added.
     """
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if columns is not None:
+        df = df.select(*columns)  # prune before any spreading shuffle
     if spread:
         cores = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
