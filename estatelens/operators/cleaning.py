@@ -136,9 +136,11 @@ def clean_listings(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     in_band = F.lit(True)
     for c in TRIM_COLUMNS:
         in_band = in_band & F.col(c).between(F.col(f"{c}_lo"), F.col(f"{c}_hi"))
-    tagged = (labeled.join(F.broadcast(bounds), "city_key", "left")
-                     .withColumn("_drop", F.when(F.col("price").isNull(), F.lit(4))
-                                           .when(~F.coalesce(in_band, F.lit(False)), F.lit(5))))
+    # every row tagged with the step that drops it, written once: the cleaned
+    # listings and the step log are both read from it
+    tagged = materialize(labeled.join(F.broadcast(bounds), "city_key", "left")
+                                .withColumn("_drop", F.when(F.col("price").isNull(), F.lit(4))
+                                                      .when(~F.coalesce(in_band, F.lit(False)), F.lit(5))))
     listings = tagged.where(F.col("_drop").isNull()).select(*[c for c in dedup.columns if c != "_copies"])
     step_log = _step_log(tagged)
     return listings, step_log

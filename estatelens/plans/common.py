@@ -33,7 +33,7 @@ def cleaned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PROCESSED:
         listings, log = clean_listings(public_feed(raw_listings(spark, sf_dir)))
-        _PROCESSED[key] = (materialize(listings), materialize(log))
+        _PROCESSED[key] = (listings, materialize(log))
     return _PROCESSED[key]
 
 
