@@ -76,8 +76,10 @@ def _split_by_size(base: DataFrame, keys: list[str], small_rows: int):
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
     big_keys = sizes.where(F.col("_n") > small_rows).select(*keys)
     if big_keys.limit(1).count() == 0:
+        sizes.unpersist()
         return base, None
     big_keys = checked_broadcast(big_keys)
+    sizes.unpersist()
     r = big_keys.select(*[F.col(k).alias(f"_bk{i}") for i, k in enumerate(keys)])
     cond = [F.col(k).eqNullSafe(F.col(f"_bk{i}")) for i, k in enumerate(keys)]
     return base.join(r, cond, "left_anti"), base.join(r, cond, "left_semi")
@@ -188,7 +190,11 @@ def _sorted_quantiles(base: DataFrame, keys: list[str], probs: Mapping[str, floa
     out = per_prob.groupBy("_gid").agg(*aggs)
     if keys:
         out = out.join(checked_broadcast(gids), "_gid").select(*keys, *[c for c in out.columns if c != "_gid"])
-    return out.drop("_gid") if "_gid" in out.columns else out
+    out = out.drop("_gid") if "_gid" in out.columns else out
+    # one row per group: write it, then release the ranked copy of the data
+    out = materialize(out)
+    ranked.unpersist()
+    return out
 
 
 def multi_quantiles(df: DataFrame, keys: Sequence[str], spec: Mapping[str, Mapping[str, float]],
@@ -256,9 +262,13 @@ def _sorted_rank(df: DataFrame, keys: list[str], order: list, rank_col: str) ->
     seg = seg.select(F.col("_pid").alias("_spid"), F.col("_gid").alias("_sgid"), "_first",
                      F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_off"))
     cond = [F.col("_pid") == F.col("_spid"), F.col("_gid") == F.col("_sgid")]
-    return (ranked.join(checked_broadcast(seg), cond)
-                  .withColumn(rank_col, F.col("_off") + F.col("_loc") - F.col("_first"))
-                  .drop("_pid", "_loc", "_off", "_first", "_spid", "_sgid", "_gid"))
+    out = (ranked.join(checked_broadcast(seg), cond)
+                 .withColumn(rank_col, F.col("_off") + F.col("_loc") - F.col("_first"))
+                 .drop("_pid", "_loc", "_off", "_first", "_spid", "_sgid", "_gid"))
+    # the ranked rows are written once (lineage cut), then the cache is released
+    out = materialize(out)
+    ranked.unpersist()
+    return out
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
