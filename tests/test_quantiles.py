@@ -67,3 +67,28 @@ def test_extra_aggregates_same_pass(spark, small):
     assert got["a"]["m"] == 10.5 and got["a"]["mean"] == 10.5 and got["a"]["n"] == 20
     assert abs(got["a"]["sd"] - np.std(np.arange(1, 21), ddof=1)) < 1e-12
     assert got["b"]["sd"] is None and got["b"]["n"] == 1
+
+
+def test_hot_group_path_matches_on_real_tables(spark, monkeypatch):
+    """The flagship and comparables give the same answer when every group
+    takes the distributed sort path."""
+    import estatelens.operators.quantiles as Q
+    from estatelens.operators.evaluate import oof_rule_predictions, regression_metrics
+    from estatelens.operators.valuation import comparables
+    from estatelens.plans.common import cleaned
+    from estatelens.sources.derived import valuation_queries
+    from tests.conftest import SF_SMALL
+    listings, _ = cleaned(spark, SF_SMALL)
+    queries = valuation_queries(spark, SF_SMALL)
+
+    def run():
+        m = regression_metrics(oof_rule_predictions(listings), ["baseline_sector", "baseline_global"])
+        c = comparables(listings, queries)
+        return (sorted((r["city_key"], r["predictor"], round(r["mape_pct"], 9)) for r in m.collect()),
+                sorted((r["query_id"], r["rank"], r["listing_id"]) for r in c.collect()))
+
+    normal = run()
+    monkeypatch.setattr(Q, "SMALL_GROUP_ROWS", 50)
+    monkeypatch.setattr(Q.exact_quantiles, "__defaults__", (None, 50, None))
+    monkeypatch.setattr(Q.rank_within, "__defaults__", ("_rank", 50))
+    assert run() == normal
