@@ -1,16 +1,20 @@
 """Toxicity: a counterfactual-regularised classifier.
 
-A document is the set of its words (runs of letters, lower case).  Every word's
-frequency in toxic and other labelled documents is counted over all training
-rows; the words that tell most, and all identity terms, are the features of a
-logistic regression.  Its loss has a second part: every training sentence with
-an identity term is paired with copies in which the term is swapped for others
-of its group, and squared differences of the two scores are penalised.  So a
-group's name gains no weight of its own, and neutral mentions of a group are
-not marked.
-
-Counting is distributed and covers all training rows.  The fit runs on a
-bounded sample of them (``sample_docs``, all if fewer), by feature vectors.
+A document is a bag of its words (runs of letters, lower case) and of their
+first four and six letters, which stand for a word's inflections.  For each
+chosen token there are two features: whether it occurs, and how densely
+(occurrences against one in ``DENSITY`` words).  Tokens are chosen by how much
+their document frequency among toxic and other training rows tells; identity
+terms are always among them.  A logistic regression scores the features.
+
+Its loss has a second part: every training text with an identity term is paired
+with copies in which the term is swapped for others of its group, and squared
+changes of the score are penalised.  So a group's name gains no weight of its
+own, and neutral mentions of a group are not marked.
+
+Frequencies are counted over all training rows: first of every token in toxic
+rows, then, for the ``CANDIDATES`` most frequent of those, in all rows.  The fit
+runs on a bounded sample of rows (``SAMPLE_DOCS``, all if fewer).
 
 Learning skips rows whose crc32(doc_id as text) mod 4 is 2.  Null and empty
 texts have no words and get the score of the intercept; without toxic and other
@@ -31,6 +35,9 @@ from estatelens.session import materialize
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
+PREFIXES = (4, 6)
+DENSITY = 200
+CANDIDATES = 50_000
 FEATURES = 400
 SAMPLE_DOCS = 40_000
 COUNTERFACTUAL = 5.0
@@ -55,15 +62,25 @@ _NO_LETTER[65:91] = _NO_LETTER[97:123] = False
 _NO_LETTER[128:] = False
 
 
-def _words_of(chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each text)."""
+def tokens(chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text) of every word and prefix of a chunk, and words of each text."""
     chunk.space = _NO_LETTER[chunk.data]
     start, end, first = chunk.words()
-    return chunk.span_hash(start, end), first
+    sums = chunk.prefix()
+    text = np.repeat(np.arange(len(chunk)), np.diff(first))
+    lead = np.flatnonzero((chunk.data & 0xC0) != 0x80)
+    at = np.searchsorted(lead, start)  # place of the word among code points
+    found, owner = [chunk.span_hash(start, end, sums)], [text]
+    for n in PREFIXES:
+        stop = np.append(lead, np.full(n, len(chunk.data)))[at + n]
+        longer = stop < end
+        found.append(chunk.span_hash(start[longer], stop[longer], sums) ^ np.uint64(n))
+        owner.append(text[longer])
+    return np.concatenate(found), np.concatenate(owner), np.diff(first)
 
 
 def word_hash(word: str) -> int:
-    h, _ = _words_of(next(W.chunks(pa.array([word]), lower=True)))
+    h, _, _ = tokens(next(W.chunks(pa.array([word]), lower=True)))
     return int(h.view(np.int64)[0])
 
 
@@ -71,85 +88,99 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _word_sets(batches):
-    """Distinct words of each text, packed."""
-    for batch in batches:
-        keep = [c for c in batch.schema.names if c != "text"]
-        for chunk in W.chunks(batch.column("text"), lower=True):
-            h, first = _words_of(chunk)
-            packed = [np.unique(h[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c)[chunk.lo:chunk.hi] for c in keep), pa.array(packed, pa.binary())],
-                                             [*keep, "words"])
-
-
-def _count(batches):
-    """Document frequency of each word among toxic and other texts of a task."""
-    held, size = [], 0
-
-    def merged():
-        w = np.concatenate([x[0] for x in held])
-        p = np.concatenate([x[1] for x in held])
-        n = np.concatenate([x[2] for x in held])
-        u, inv = np.unique(w, return_inverse=True)
-        return u, np.bincount(inv, p, len(u)).astype(np.int64), np.bincount(inv, n, len(u)).astype(np.int64)
-
-    def rows(x):
-        return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1]), pa.array(x[2])], ["word", "bad", "n"])
-
-    for batch in batches:
-        toxic = np.array(batch.column("toxic").to_pylist(), np.int64)
-        packed = batch.column("words").to_pylist()
-        if not packed:
-            continue
-        w = np.frombuffer(b"".join(packed), np.uint64)
-        t = np.repeat(toxic, [len(x) // 8 for x in packed])
-        held.append((w, t, np.ones(len(w), np.int64)))
-        size += len(w)
-        if size > 2_000_000:
-            held = [merged()]
-            size = len(held[0][0])
-            if size > 1_000_000:
-                yield rows(held[0])
-                held, size = [], 0
-    if held:
-        yield rows(merged())
-
-
-def _design(packed: list[bytes], vocabulary: np.ndarray) -> np.ndarray:
-    """0/1 matrix of which features each document has."""
-    size = np.array([len(x) // 8 for x in packed])
-    w = np.frombuffer(b"".join(packed), np.uint64)
-    at = np.searchsorted(vocabulary, w)
-    at[at == len(vocabulary)] = 0
-    ok = vocabulary[at] == w if len(vocabulary) else np.zeros(len(w), bool)
-    out = np.zeros((len(packed), len(vocabulary)), np.float32)
-    out[np.repeat(np.arange(len(packed)), size)[ok], at[ok]] = 1
-    return out
-
-
-def swaps(x: np.ndarray, groups: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, change of its features) for every identity term swapped for each other term of its group."""
-    docs, change = [], []
+class Lookup:
+    """Places of hashes in a sorted vocabulary; a small table turns most away first."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+        self.table = np.zeros(1 << 20, bool)
+        self.table[vocabulary & np.uint64((1 << 20) - 1)] = True
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``h`` are known, their places)."""
+        which = np.flatnonzero(self.table[h & np.uint64((1 << 20) - 1)])
+        at = np.searchsorted(self.vocabulary, h[which])
+        at[at == len(self.vocabulary)] = 0
+        ok = self.vocabulary[at] == h[which] if len(self.vocabulary) else np.zeros(len(which), bool)
+        return which[ok], at[ok]
+
+
+def _frequencies(vocabulary: np.ndarray | None):
+    """Document frequencies (token, bad, n) of a task; of every token, or of a vocabulary."""
+    def run(batches):
+        look = Lookup(vocabulary) if vocabulary is not None else None
+        bad = np.zeros(0 if look is None else len(vocabulary), np.int64)
+        n = bad.copy()
+        held: dict[int, int] = {}
+        for batch in batches:
+            toxic = batch.column("toxic").to_numpy()
+            for chunk in W.chunks(batch.column("text"), lower=True):
+                h, text, _ = tokens(chunk)
+                own = toxic[chunk.lo:chunk.hi]
+                if look is not None:
+                    which, at = look(h)
+                    pair = np.unique(text[which] * len(vocabulary) + at)
+                    at, text = pair % len(vocabulary), pair // len(vocabulary)
+                    n += np.bincount(at, minlength=len(n))
+                    bad += np.bincount(at, own[text], len(n)).astype(np.int64)
+                    continue
+                order = np.lexsort((text, h))
+                h, text = h[order], text[order]
+                new = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])) if len(h) else np.zeros(0, bool)
+                for token, c in zip(*(x.tolist() for x in np.unique(h[new].view(np.int64), return_counts=True))):
+                    held[token] = held.get(token, 0) + c
+                if len(held) > 500_000:
+                    c = np.fromiter(held.values(), np.int64, len(held))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(held, np.int64, len(held))), pa.array(c), pa.array(c)], _FREQ)
+                    held.clear()
+        if look is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(vocabulary.view(np.int64)), pa.array(bad), pa.array(n)], _FREQ)
+        elif held:
+            c = np.fromiter(held.values(), np.int64, len(held))
+            yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(held, np.int64, len(held))), pa.array(c), pa.array(c)], _FREQ)
+    return run
+
+
+_FREQ = ["token", "bad", "n"]
+
+
+def _count(train: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
+    return train.select("toxic", "text").mapInArrow(_frequencies(vocabulary), "token long, bad long, n long").groupBy("token").agg(
+        F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+
+
+def vectors(chunk: W.Chunk, look: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, value) of a chunk: presence features first, then density features."""
+    k = len(look.vocabulary)
+    h, text, words = tokens(chunk)
+    which, at = look(h)
+    pair, count = np.unique(text[which] * k + at, return_counts=True)
+    text, at = pair // k, pair % k
+    dense = count / (count + words[text] / DENSITY)
+    return np.concatenate([text, text]), np.concatenate([at, at + k]), np.concatenate([np.ones(len(at)), dense])
+
+
+def swaps(x: np.ndarray, groups: list[list[int]]) -> np.ndarray:
+    """Change of the features for every identity term of a text swapped for each other term of its group."""
+    k, change = x.shape[1] // 2, []
     for g in groups:
         for a in g:
             have = np.flatnonzero(x[:, a])
             for b in g:
                 if a != b and len(have):
                     d = np.zeros((len(have), x.shape[1]), np.float32)
-                    d[:, a] = -1
-                    d[:, b] = 1 - x[have, b]
-                    docs.append(have)
+                    for i, j in ((a, b), (a + k, b + k)):
+                        d[:, i] = -x[have, i]
+                        d[:, j] = np.maximum(x[have, i], x[have, j]) - x[have, j]
                     change.append(d)
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros((0, x.shape[1]), np.float32)
-    return np.concatenate(docs), np.concatenate(change)
+    return np.concatenate(change) if change else np.zeros((0, x.shape[1]), np.float32)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, groups: list[list[int]], strength: float = COUNTERFACTUAL, l2: float = 0.3,
-                steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and intercept; the counterfactual part is the mean squared change of the logit-linear score times ``strength``."""
+                steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and intercept; the counterfactual part is ``strength`` times the mean squared change of the log odds."""
     n, k = x.shape
-    _, change = swaps(x, groups)
+    change = swaps(x, groups)
     p = min(max(y.mean(), 1e-6), 1 - 1e-6)
     theta = np.append(np.zeros(k), np.log(p / (1 - p)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
@@ -165,56 +196,64 @@ def fit_weights(x: np.ndarray, y: np.ndarray, groups: list[list[int]], strength:
 
 def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_docs: int = SAMPLE_DOCS,
         strength: float = COUNTERFACTUAL) -> dict | None:
-    """Vocabulary (word hashes), weights and intercept; None if there is nothing to tell apart."""
+    """Vocabulary (hashes), weights and intercept; None if there is nothing to tell apart."""
     marked = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
-        F.max("toxic").cast("int").alias("toxic"))
-    train = materialize(docs.where(~held_out()).select("doc_id", "text").join(marked, "doc_id").select("doc_id", "toxic", "text")
-                        .mapInArrow(_word_sets, "doc_id long, toxic int, words binary"))
+        F.max("toxic").cast("long").alias("toxic"))
+    train = materialize(docs.where(~held_out()).select("doc_id", "text").join(marked, "doc_id").select("doc_id", "toxic", "text"))
     totals = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    n, bad = int(totals[0]), int(totals[1])
-    if bad == 0 or bad == n:
+    rows, bad = int(totals[0]), int(totals[1])
+    if bad == 0 or bad == rows:
         return None
-    seen = train.mapInArrow(_count, "word long, bad long, n long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    # signed root of the likelihood ratio between the word's share of toxic documents and the share of all
-    share = bad / n
+    often = _count(train.where("toxic = 1"), None).where("bad > 1").orderBy(F.desc("bad"), "token").limit(CANDIDATES)
+    candidates = np.sort(np.array([r[0] for r in often.select("token").collect()], np.int64).view(np.uint64))
+    # likelihood ratio between a token's share of toxic documents and the share of all
+    share = bad / rows
     q = (F.col("bad") + share) / (F.col("n") + 1)
-    gain = (F.col("bad") * F.log(q / share) + (F.col("n") - F.col("bad")) * F.log((1 - q) / (1 - share))) * F.signum(q - share)
-    seen = seen.withColumn("gain", gain).where("n >= 2")
-    top = [r[0] for r in seen.orderBy(F.desc(F.abs("gain")), "word").limit(features).select("word").collect()]
+    gain = F.col("bad") * F.log(q / share) + (F.col("n") - F.col("bad")) * F.log((1 - q) / (1 - share))
+    top = _count(train, candidates).where("n > 0").withColumn("gain", gain).where(q > share).orderBy(F.desc("gain"), "token").limit(features)
+    chosen = [r[0] for r in top.select("token").collect()]
     terms = {t: word_hash(t) for g in IDENTITY for t in g}
-    vocabulary = np.unique(np.array([*top, *terms.values()], np.int64).view(np.uint64))
-    rows = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("toxic", "words")
-    wanted = vocabulary
+    vocabulary = np.unique(np.array([*chosen, *terms.values()], np.int64).view(np.uint64))
+    k = len(vocabulary)
 
-    def known(batches):
+    def featured(batches):
+        look = Lookup(vocabulary)
         for batch in batches:
-            packed = [x[np.isin(x, wanted)].tobytes() for x in (np.frombuffer(b, np.uint64) for b in batch.column("words").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(packed, pa.binary())], ["toxic", "words"])
-
-    got = rows.mapInArrow(known, "toxic int, words binary").toPandas()
-    got = got.sort_values(["toxic", "words"])  # one order whatever the partitions
-    x = _design([bytes(b) for b in got["words"]], vocabulary)
+            toxic = batch.column("toxic").to_pylist()
+            for chunk in W.chunks(batch.column("text"), lower=True):
+                text, at, value = vectors(chunk, look)
+                order = np.argsort(text, kind="stable")
+                cut = np.searchsorted(text[order], np.arange(len(chunk) + 1))
+                at, value = at[order].astype(np.int32), value[order].astype(np.float32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(toxic[chunk.lo:chunk.hi], pa.int64()),
+                     pa.array([at[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+                     pa.array([value[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["toxic", "at", "value"])
+
+    ids = train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    got = (train.join(F.broadcast(ids), "doc_id").select("toxic", "text")  # bounded by sample_docs
+           .mapInArrow(featured, "toxic long, at binary, value binary").toPandas())
+    got = got.sort_values(["toxic", "at", "value"])  # one order whatever the partitions
+    at = [np.frombuffer(b, np.int32) for b in got["at"]]
+    x = np.zeros((len(got), 2 * k), np.float32)
+    x[np.repeat(np.arange(len(got)), [len(a) for a in at]), np.concatenate(at)] = np.frombuffer(b"".join(got["value"]), np.float32)
     place = {t: int(np.searchsorted(vocabulary, np.array([h], np.int64).view(np.uint64))[0]) for t, h in terms.items()}
-    w, b = fit_weights(x.astype(np.float64), got["toxic"].to_numpy(np.float64), [[place[t] for t in g] for g in IDENTITY], strength)
+    w, b = fit_weights(x, got["toxic"].to_numpy(np.float32), [[place[t] for t in g] for g in IDENTITY], strength)
     return {"vocabulary": vocabulary, "weights": w, "intercept": b}
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     def run(batches):
+        look = Lookup(model["vocabulary"]) if model else None
         for batch in batches:
             parts = []
             for chunk in W.chunks(batch.column("text"), lower=True):
                 if model is None:
                     parts.append(np.zeros(len(chunk)))
                     continue
-                h, first = _words_of(chunk)
-                at = np.searchsorted(model["vocabulary"], h)
-                at[at == len(model["vocabulary"])] = 0
-                hit = np.flatnonzero(model["vocabulary"][at] == h)
-                text = np.searchsorted(first, hit, "right") - 1
-                pair = np.unique(text * len(model["vocabulary"]) + at[hit])  # a word counts once
-                z = np.bincount(pair // len(model["vocabulary"]), model["weights"][pair % len(model["vocabulary"])], len(chunk))
+                text, at, value = vectors(chunk, look)
+                z = np.bincount(text, model["weights"][at] * value, len(chunk))
                 parts.append(1 / (1 + np.exp(-(z + model["intercept"]))))
             if parts:
                 s = np.concatenate(parts)

@@ -237,7 +237,7 @@ def test_counterfactual_part_removes_the_group_effect():
     """Identity term 0 goes with toxic texts in the sample; with the penalty its weight nears its group's other term."""
     rng = np.random.default_rng(1)
     y = (rng.random(2_000) < 0.3).astype(float)
-    x = np.zeros((2_000, 3))
+    x = np.zeros((2_000, 6))  # presence of three tokens; no densities
     x[:, 0] = rng.random(2_000) < np.where(y == 1, 0.5, 0.05)
     x[:, 1] = rng.random(2_000) < 0.1
     x[:, 2] = rng.random(2_000) < np.where(y == 1, 0.9, 0.02)
