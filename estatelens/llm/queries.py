@@ -90,3 +90,9 @@ def tokenizer_path() -> str:
     """The public vocabulary that the packing query uses."""
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("pipeline")
+def q_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
