@@ -39,13 +39,8 @@ PUBLIC_FEED_COLUMNS = ("city_key", "property_type", "society", "sector", "price"
                        "agePossession", "furnishing_type", "luxury_score")
 ID_COL = "listing_id"
 
-STEP_NAMES = (
-    "standardize column names",
-    "drop exact duplicate listings",
-    "label categorical columns",
-    "drop listings without a price",
-    "trim percentile outliers (price_per_sqft, area)",
-)
+#: Codes of the cleaning steps, in order.
+STEPS = ("rename", "copies", "labels", "unpriced", "outliers")
 
 
 def public_feed(raw: DataFrame) -> DataFrame:
@@ -105,14 +100,13 @@ def trim_percentile_outliers(df: DataFrame, keys: Sequence[str] = ("city_key",),
     """FLT-3: keep rows inside both percentile bands of their group.
 
     A NULL value or a group without bounds fails the test, as NaN fails
-    ``between`` in pandas.  The bounds table holds one row per city, so it
-    is broadcast.
+    ``between`` in pandas.
     """
     bounds = trim_bounds(df, keys) if bounds is None else bounds
     cond = F.lit(True)
     for c in TRIM_COLUMNS:
         cond = cond & F.col(c).between(F.col(f"{c}_lo"), F.col(f"{c}_hi"))
-    return (df.join(F.broadcast(bounds), list(keys), "inner")
+    return (df.join(bounds, list(keys), "inner")
               .where(F.coalesce(cond, F.lit(False)))
               .select(*df.columns))
 
@@ -127,20 +121,16 @@ def clean_listings(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     std = standardize_columns(raw)
     dedup = drop_duplicates(std, with_counts=True)
-    # the deduplicated feed is read twice (trim bounds, then the filter):
-    # write it once to the checkpoint folder instead of recomputing the
-    # scan, joins and dedup shuffle.
+    # read by the trim bounds, the listings and the step log: written once
     labeled = materialize(encode_categories(dedup))
     priced = drop_unpriced(labeled)
     bounds = trim_bounds(priced)
     in_band = F.lit(True)
     for c in TRIM_COLUMNS:
         in_band = in_band & F.col(c).between(F.col(f"{c}_lo"), F.col(f"{c}_hi"))
-    # every row tagged with the step that drops it, written once: the cleaned
-    # listings and the step log are both read from it
-    tagged = materialize(labeled.join(F.broadcast(bounds), "city_key", "left")
-                                .withColumn("_drop", F.when(F.col("price").isNull(), F.lit(4))
-                                                      .when(~F.coalesce(in_band, F.lit(False)), F.lit(5))))
+    # the step that drops each row; the bounds are a row a city, so this is not worth a second copy of the feed
+    tagged = labeled.join(materialize(bounds), "city_key", "left").withColumn(
+        "_drop", F.when(F.col("price").isNull(), F.lit(4)).when(~F.coalesce(in_band, F.lit(False)), F.lit(5)))
     listings = tagged.where(F.col("_drop").isNull()).select(*[c for c in dedup.columns if c != "_copies"])
     step_log = _step_log(tagged)
     return listings, step_log
@@ -153,11 +143,11 @@ def _step_log(tagged: DataFrame) -> DataFrame:
         F.count_if(F.col("_drop") == 4).alias("n_unpriced"),
         F.count_if(F.col("_drop") == 5).alias("n_trimmed"))
     return step_log_from_counts(per_city, [
-        (STEP_NAMES[0], F.lit(0)),
-        (STEP_NAMES[1], F.col("n_raw") - F.col("n_dedup")),
-        (STEP_NAMES[2], F.lit(0)),
-        (STEP_NAMES[3], F.col("n_unpriced")),
-        (STEP_NAMES[4], F.col("n_trimmed")),
+        (STEPS[0], F.lit(0)),
+        (STEPS[1], F.col("n_raw") - F.col("n_dedup")),
+        (STEPS[2], F.lit(0)),
+        (STEPS[3], F.col("n_unpriced")),
+        (STEPS[4], F.col("n_trimmed")),
     ], start=F.col("n_raw"))
 
 

@@ -11,9 +11,9 @@ Encoders are three tables keyed by ``(city_key, fold)``:
 
 ``fold = f`` holds encoders learned on every row *outside* fold ``f`` (the
 ones that may price fold ``f``); ``fold = -1`` holds encoders learned on all
-rows (final model, valuations).  Training rows are replicated once per fold
-they train (k - 1 copies) after projecting to the four columns needed, so
-all folds of all cities are fit in one job.
+rows (final model, valuations).  No row is copied per fold: values are counted
+by fold, sorted once, and leaving a fold out is a running sum of its own, so
+all folds of all cities come from one sort.  The table is written once.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.operators.folds import training_folds
-from estatelens.operators.quantiles import exact_quantiles
+from estatelens.operators.quantiles import weighted_quantiles
+from estatelens.session import materialize
 
 SOCIETY_SMOOTHING_M = 10.0
 FULL_FOLD = -1
@@ -38,45 +38,38 @@ class Encoders:
     society_stats: DataFrame  # city_key, fold, society, society_ppsf, soc_count
 
 
-def training_rows(df: DataFrame, n_splits: int | None) -> DataFrame:
-    """Rows each encoder is fit on, tagged with the encoder's ``fold``.
-
-    With ``n_splits`` every row is emitted once per fold it trains (its own
-    fold excluded); without, once with ``fold = -1``.
-    """
-    cols = ["city_key", "sector", "society", "price_per_sqft"]
-    cols = [c for c in cols if c in df.columns]
-    if n_splits is None:
-        return df.select(*cols, F.lit(FULL_FOLD).alias("fold"))
-    return df.select(*cols, F.explode(training_folds(F.col("fold"), n_splits)).alias("fold"))
-
-
 def fit_encoders(df: DataFrame, n_splits: int | None = None, with_society: bool | None = None,
                  smoothing_m: float = SOCIETY_SMOOTHING_M) -> Encoders:
-    """AGG-1..5 for every city (and every fold when ``n_splits`` is given).
+    """AGG-1..5 for every city (and every fold when ``n_splits`` is given:
+    ``df`` then carries ``fold``).
 
     The three levels (city, locality, building) are stacked into one frame
-    ``(city_key, fold, level, key, ppsf)`` so that all medians come from a
-    single distributed sort and all moments from a single aggregate.
+    ``(city_key, level, key, ppsf, fold)`` so that all medians and moments come
+    from a single distributed sort.
     """
-    train = training_rows(df, n_splits)
     if with_society is None:
-        with_society = "society" in train.columns
+        with_society = "society" in df.columns
     levels = [F.struct(F.lit("g").alias("_lvl"), F.lit("").alias("_key")),
               F.struct(F.lit("s").alias("_lvl"), F.col("sector").alias("_key"))]
     if with_society:
         levels.append(F.struct(F.lit("o").alias("_lvl"), F.col("society").alias("_key")))
-    stacked = (train.select(*ENC_KEYS, "price_per_sqft", F.explode(F.array(*levels)).alias("_l"))
-                    .select(*ENC_KEYS, "_l._lvl", "_l._key", "price_per_sqft")
-                    .where(F.col("_key").isNotNull()))
-    lkeys = ENC_KEYS + ["_lvl", "_key"]
-    stats = exact_quantiles(stacked, lkeys, "price_per_sqft", {"_median": 0.5}, count_col="_count",
-                            extra={"_mean": F.avg, "_std": F.stddev_samp})
+    fold = [] if n_splits is None else ["fold"]
+    stacked = (df.select("city_key", *fold, "price_per_sqft", F.explode(F.array(*levels)).alias("_l"))
+                 .select("city_key", *fold, "_l._lvl", "_l._key", "price_per_sqft")
+                 .where(F.col("_key").isNotNull()))
+    # the encoders of fold f count every row outside it
+    folds = [FULL_FOLD] if n_splits is None else list(range(n_splits))
+    weights = {f"q{i}": F.lit(1) if n_splits is None else (F.col("fold") != f).cast("int") for i, f in enumerate(folds)}
+    wide = weighted_quantiles(stacked, ["city_key", "_lvl", "_key"], "price_per_sqft", weights, {"_median": 0.5}, moments=True)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), F.col(f"q{i}").alias("q")) for i, f in enumerate(folds)]))
+    stats = materialize(wide.select("city_key", "_lvl", "_key", each.alias("e")).where(F.col("e.q").isNotNull()).select(
+        "city_key", F.col("e.fold").alias("fold"), "_lvl", "_key", F.col("e.q._median").alias("_median"),
+        F.col("e.q.mean").alias("_mean"), F.col("e.q.std").alias("_std"), F.col("e.q.n").alias("_count")))
 
     global_stats = stats.where(F.col("_lvl") == "g").select(
         *ENC_KEYS, F.col("_median").alias("g_median"), F.col("_mean").alias("g_mean"),
         F.col("_std").alias("g_std"), F.col("_count").alias("g_count"))
-    g = F.broadcast(global_stats.select(*ENC_KEYS, "g_median", "g_std"))
+    g = global_stats.select(*ENC_KEYS, "g_median", "g_std")
     sector_stats = (stats.where(F.col("_lvl") == "s").join(g, ENC_KEYS, "left")
                          .select(*ENC_KEYS, F.col("_key").alias("sector"), F.col("_median").alias("s_median"),
                                  F.col("_mean").alias("s_mean"), F.coalesce("_std", "g_std").alias("s_std"),
@@ -99,10 +92,9 @@ def apply_encoders(rows: DataFrame, enc: Encoders, full: bool = False) -> DataFr
     ``rows`` carry ``city_key``, ``sector``, ``society`` and, unless ``full``,
     the ``fold`` whose encoders price them; ``full`` uses the all-rows
     encoders.  Fallbacks: unseen locality -> global median / mean / std and
-    count 0; unknown or missing building -> the row's own locality rate.  The
-    global table has one row per city and fold, so it is broadcast; the
-    locality and building tables are joined by key and the planner picks the
-    strategy from their measured size.
+    count 0; unknown or missing building -> the row's own locality rate.  All
+    tables are joined by key; the planner picks each join's strategy from the
+    measured size.
     """
     df = rows.withColumn("_enc_fold", F.lit(FULL_FOLD) if full else F.col("fold"))
     keys = ["city_key", "_enc_fold"]
@@ -110,7 +102,7 @@ def apply_encoders(rows: DataFrame, enc: Encoders, full: bool = False) -> DataFr
     def keyed(t: DataFrame) -> DataFrame:
         return t.withColumnRenamed("fold", "_enc_fold")
 
-    g = F.broadcast(keyed(enc.global_stats.select(*ENC_KEYS, "g_median", "g_mean", "g_std")))
+    g = keyed(enc.global_stats.select(*ENC_KEYS, "g_median", "g_mean", "g_std"))
     out = (df.join(g, keys, "left")
              .join(keyed(enc.sector_stats), keys + ["sector"], "left")
              .withColumns({

@@ -56,17 +56,17 @@ def regression_metrics(oof: DataFrame, predictors: Sequence[str], keys: Sequence
     """
     keys = list(keys)
     y = F.col(actual)
-    mean_y = oof.groupBy(*keys).agg(F.avg(y).alias("_ybar"))
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum((y - F.col("_ybar")) ** 2).alias("_sst")]
+    # the total sum of squares is n times the variance: no second pass for the mean
+    aggs = [F.count(F.lit(1)).alias("n"), (F.count(y) * F.var_pop(y)).alias("_sst"), (F.max(y) > F.min(y)).alias("_varies")]
     for p in predictors:
         e = F.col(f"pred_{p}") - y
         aggs += [F.avg(F.abs(e)).alias(f"_mae_{p}"), F.avg(F.abs(e) / y).alias(f"_mape_{p}"),
                  F.sum(e * e).alias(f"_sse_{p}")]
-    wide = oof.join(F.broadcast(mean_y), keys).groupBy(*keys).agg(*aggs)
+    wide = oof.groupBy(*keys).agg(*aggs)
     rows = [F.struct(F.lit(p).alias("predictor"),
                      (F.col(f"_mae_{p}") * 100).alias("mae_lakh"),
                      (F.col(f"_mape_{p}") * 100).alias("mape_pct"),
-                     F.when(F.col("_sst") > 0, 1 - F.col(f"_sse_{p}") / F.col("_sst")).alias("r2"))
+                     F.when(F.col("_varies"), 1 - F.col(f"_sse_{p}") / F.col("_sst")).alias("r2"))
             for p in predictors]
     return wide.select(*keys, "n", F.explode(F.array(*rows)).alias("m")).select(*keys, "n", "m.*")
 

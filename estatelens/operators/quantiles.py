@@ -1,88 +1,59 @@
-"""Exact grouped quantiles without gathering a group into one task.
+"""Exact grouped quantiles and ranks by one distributed sort, for every size.
 
 ``percentile`` in Spark keeps a value -> count map per group and merges it in
 a single task, so one city holding a third of all listings would put a third
-of all distinct prices into one task's memory.  Here the rank of every value
-is found with a distributed sort instead:
-
-1. range-partition and sort ``(keys, value)``: a hot group is split over many
-   partitions, each of bounded size;
-2. number the rows inside each partition and persist that ranked
-   projection, so both uses below read one numbering.  A lost cached block
-   is recomputed from the same shuffle dependency (same range bounds), and
-   re-sorting can only swap rows with equal key and value, so the value at
-   every rank is unchanged;
-3. count rows per (partition, group) -- a table of at most
-   ``partitions + groups`` rows -- and turn it into running offsets;
-4. pick the rows at ranks ``floor((n-1)p)`` and ``ceil((n-1)p)`` by an
-   equi-join and interpolate linearly, as pandas, numpy and DuckDB's
+of all distinct prices into one task's memory.  Here:
+
+1. rows are reduced to ``(keys, value, count)`` with a map-side part, so a value
+   that a third of all rows share becomes one row;
+2. those rows are range-partitioned by ``(keys, value)`` and written: a group of
+   any size is spread over many partitions, and every later step reads one and
+   the same partitioning;
+3. counts per (partition, group), a table of at most ``partitions + groups``
+   rows, become running offsets; a window inside each (partition, group) adds
+   the rest, so each row knows the ranks it covers;
+4. one aggregate picks the values at ranks ``floor((n-1)p)`` and
+   ``ceil((n-1)p)``, interpolated linearly as pandas, numpy and DuckDB's
    ``quantile_cont`` do.
 
-Groups small enough to be held by one task (at most ``SMALL_GROUP_ROWS``
-values, checked from the group sizes at run time) skip the distributed sort:
-their values are collected, sorted and indexed in one aggregate, which is
-several times cheaper.  Only groups above the bound take the sort path, so
-the memory of any task stays bounded either way.
-
-Nulls and NaN are ignored.  Groups with no value produce no row; callers
-left-join and fill.
+Ranks use the same sort on whole rows.  Nulls and NaN have no rank.  Groups
+with no value produce no row; callers left-join and fill.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatelens.session import materialize
 
 
-
-# Rows of a lookup table that may be broadcast; the count is checked at run time.
-BROADCAST_ROW_LIMIT = 2_000_000
-# Largest group whose values one task may hold (collect + sort in memory).
-SMALL_GROUP_ROWS = int(os.environ.get("ESTATELENS_SMALL_GROUP_ROWS", "200000"))
-
-
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """``broadcast(df)`` when the table has at most ``limit`` rows, otherwise
-    ``df`` unchanged (the planner then shuffles both sides)."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join on ``keys`` with NULL = NULL, keeping one copy of the keys."""
-    r = right.select(*[F.col(k).alias(f"_rk{i}") for i, k in enumerate(keys)],
-                     *[c for c in right.columns if c not in keys])
-    cond = [F.col(k).eqNullSafe(F.col(f"_rk{i}")) for i, k in enumerate(keys)]
-    return left.join(r, cond).drop(*[f"_rk{i}" for i in range(len(keys))])
-
-
-def group_ids(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A unique BIGINT ``_gid`` per distinct key tuple, written to the
-    checkpoint folder so every later use sees the same ids.  Sorting and
-    shuffling one BIGINT is much cheaper than several string keys."""
-    return materialize(df.select(*keys).distinct().withColumn("_gid", F.monotonically_increasing_id()))
-
-
-def _split_by_size(base: DataFrame, keys: list[str], small_rows: int):
-    """``(small, big)`` row sets by group size; ``big`` is None when no group
-    exceeds ``small_rows`` (the common case needs no extra join)."""
-    # group sizes: one row per group, kept in memory for the check and the split
-    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
-    big_keys = sizes.where(F.col("_n") > small_rows).select(*keys)
-    if big_keys.limit(1).count() == 0:
-        sizes.unpersist()
-        return base, None
-    big_keys = checked_broadcast(big_keys)
-    sizes.unpersist()
-    r = big_keys.select(*[F.col(k).alias(f"_bk{i}") for i, k in enumerate(keys)])
-    cond = [F.col(k).eqNullSafe(F.col(f"_bk{i}")) for i, k in enumerate(keys)]
-    return base.join(r, cond, "left_anti"), base.join(r, cond, "left_semi")
+def _same(keys: Sequence[str], prefix: str) -> list[Column]:
+    """NULL-safe equality of each key with its copy of another name."""
+    return [F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(keys)]
+
+
+def _offsets(held: DataFrame, keys: list[str], counts: Mapping[str, Column], least: str | None = None) -> DataFrame:
+    """``held`` (with its partition in ``_pid``) plus, for each entry of
+    ``counts``, the group's total ``_n_<name>`` and the sum ``_off_<name>`` over
+    the group's earlier partitions; ``_least`` is the group's minimum of
+    ``least``."""
+    aggs = [F.sum(c).alias(f"_p_{name}") for name, c in counts.items()]
+    if least:
+        aggs.append(F.min(least).alias("_pmin"))
+    seg = held.groupBy("_pid", *keys).agg(*aggs)
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    cols = [F.col("_pid").alias("_sp"), *[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)]]
+    for name in counts:
+        cols += [F.sum(f"_p_{name}").over(group).alias(f"_n_{name}"),
+                 F.coalesce(F.sum(f"_p_{name}").over(before), F.lit(0)).alias(f"_off_{name}")]
+    if least:
+        cols.append(F.min("_pmin").over(group).alias("_least"))
+    cond = [F.col("_pid") == F.col("_sp"), *_same(keys, "_sk")]
+    return held.join(seg.select(*cols), cond).drop("_sp", *[f"_sk{i}" for i in range(len(keys))])
 
 
 def _interpolate(vlo, vhi, d):
@@ -91,110 +62,53 @@ def _interpolate(vlo, vhi, d):
     return F.when(d == 0, vlo).when(d >= 0.5, vhi - (vhi - vlo) * (1 - d)).otherwise(vlo + (vhi - vlo) * d)
 
 
-def _collected_quantiles(base: DataFrame, keys: list[str], probs: Mapping[str, float],
-                         count_col: str | None, extra: Mapping | None = None) -> DataFrame:
-    """Quantiles of bounded groups: sort each group's values in one task."""
-    extra = extra or {}
-    g = base.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_a"),
-                                *[fn(F.col("_v")).alias(name) for name, fn in extra.items()])
-    n = F.size("_a")
-    cols = []
-    for name, p in probs.items():
-        pos = (n - 1) * float(p)
-        lo = F.floor(pos)
-        vlo = F.element_at("_a", (lo + 1).cast("int"))
-        vhi = F.element_at("_a", F.least(lo + 2, n).cast("int"))
-        cols.append(_interpolate(vlo, vhi, pos - lo).alias(name))
-    if count_col:
-        cols.append(n.cast("bigint").alias(count_col))
-    return g.select(*keys, *cols, *extra.keys())
-
+def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weights: Mapping[str, Column],
+                       probs: Mapping[str, float], moments: bool = False) -> DataFrame:
+    """One row per group: for every weight ``w`` a struct column with the
+    quantiles of ``value`` (named as in ``probs``) and ``n``, over the rows
+    counted ``w`` times; with ``moments`` also ``mean`` and ``std`` (sample).
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: Mapping[str, float], count_col: str | None = None,
-                    small_group_rows: int = SMALL_GROUP_ROWS, extra: Mapping | None = None) -> DataFrame:
-    """One row per group: ``keys``, one column per ``probs`` entry, and the
-    number of non-null values when ``count_col`` is given.
-
-    ``extra`` maps output names to functions of the value column returning
-    an aggregate (e.g. ``lambda v: F.avg(v)``); they are computed in the same
-    pass as the quantiles."""
+    Several weights share one sort: leaving out each of k folds in turn costs
+    k running sums, not k copies of the rows.
+    """
     keys = list(keys)
     v = F.col(value).cast("double")
-    base = df.select(*[F.col(k) for k in keys], v.alias("_v")).where(v.isNotNull() & ~F.isnan(v))
-    gkeys = keys or ["_all"]
-    if not keys:
-        base = base.withColumn("_all", F.lit(0))
-    small, big = _split_by_size(base, gkeys, small_group_rows)
-    out = _collected_quantiles(small, gkeys, probs, count_col, extra)
-    if big is not None:
-        sq = _sorted_quantiles(big.drop("_all") if not keys else big, keys, probs, count_col)
-        if extra:
-            ex = big.groupBy(*gkeys).agg(*[fn(F.col("_v")).alias(name) for name, fn in extra.items()])
-            sq = sq.withColumns({"_all": F.lit(0)} if not keys else {})
-            r = ex.select(*[F.col(k).alias(f"_ek{i}") for i, k in enumerate(gkeys)], *extra.keys())
-            sq = sq.join(r, [F.col(k).eqNullSafe(F.col(f"_ek{i}")) for i, k in enumerate(gkeys)], "left") \
-                   .drop(*[f"_ek{i}" for i in range(len(gkeys))])
-        out = out.unionByName(sq.withColumns({"_all": F.lit(0)} if not keys and "_all" not in sq.columns else {}))
-    return out.drop("_all") if not keys else out
-
-
-def _sorted_quantiles(base: DataFrame, keys: list[str], probs: Mapping[str, float],
-                      count_col: str | None) -> DataFrame:
-    """Quantiles of groups of any size by the distributed sort."""
-    if keys:
-        gids = group_ids(base, keys)
-        base = _null_safe_join(base, checked_broadcast(gids), keys).select("_gid", "_v")
-    else:
-        base = base.select(F.lit(0).cast("bigint").alias("_gid"), "_v")
-    # no explicit partition count: spark.sql.shuffle.partitions applies and
-    # AQE may coalesce small range partitions (ranks only need each row's
-    # partition and position, whatever the partitioning)
-    ranked = (base.repartitionByRange("_gid", "_v")
-                  .sortWithinPartitions("_gid", "_v")
-                  .withColumn("_pid", F.spark_partition_id())
-                  .withColumn("_loc", F.monotonically_increasing_id()))
-    ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
+    base = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v"), *[w.alias(f"_w_{t}") for t, w in weights.items()])
+    held = base.groupBy(*keys, "_v").agg(*[F.sum(f"_w_{t}").alias(f"_w_{t}") for t in weights])
+    held = materialize(held.repartitionByRange(*keys, "_v").withColumn("_pid", F.spark_partition_id()))
+    rows = _offsets(held, keys, {t: F.col(f"_w_{t}") for t in weights}, least="_v")
+    here = Window.partitionBy("_pid", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_to_{t}": F.col(f"_off_{t}") + F.sum(f"_w_{t}").over(here) for t in weights})
+    aggs, out = [], []
+    shifted = F.col("_v") - F.col("_least")  # moments about the group's minimum keep their digits
+    for t in weights:
+        w, to, n = F.col(f"_w_{t}"), F.col(f"_to_{t}"), F.col(f"_n_{t}")
+        aggs.append(F.max(n).alias(f"_n_{t}"))
+        fields = []
+        total = F.col(f"_n_{t}")
+        for i, (name, p) in enumerate(probs.items()):
+            for side, rank in (("lo", F.floor((n - 1) * float(p))), ("hi", F.ceil((n - 1) * float(p)))):
+                aggs.append(F.max(F.when((to - w <= rank) & (rank < to), F.col("_v"))).alias(f"_{side}{i}_{t}"))
+            pos = (total - 1) * float(p)
+            fields.append(_interpolate(F.col(f"_lo{i}_{t}"), F.col(f"_hi{i}_{t}"), pos - F.floor(pos)).alias(name))
+        if moments:
+            aggs += [F.sum(w * shifted).alias(f"_s1_{t}"), F.sum(w * shifted * shifted).alias(f"_s2_{t}"), F.max("_least").alias(f"_v0_{t}")]
+            s1, s2 = F.col(f"_s1_{t}"), F.col(f"_s2_{t}")
+            fields.append((F.col(f"_v0_{t}") + s1 / total).alias("mean"))
+            fields.append(F.when(total > 1, F.sqrt(F.greatest((s2 - s1 * s1 / total) / (total - 1), F.lit(0.0)))).alias("std"))
+        out.append(F.when(total > 0, F.struct(*fields, total.cast("bigint").alias("n"))).alias(t))
+    return rows.groupBy(*keys).agg(*aggs).select(*keys, *out).where(F.coalesce(*[F.col(f"{t}.n") for t in weights]).isNotNull())
 
-    seg = ranked.groupBy("_pid", "_gid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_loc").alias("_first"))
-    running = Window.partitionBy("_gid").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    seg = (seg.withColumn("_off", F.coalesce(F.sum("_cnt").over(running), F.lit(0)))
-              .withColumn("_n", F.sum("_cnt").over(Window.partitionBy("_gid"))))
 
-    targets = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"))
-                        for name, p in probs.items()])
-    t = (seg.withColumn("_q", F.explode(targets))
-            .withColumn("_pos", (F.col("_n") - 1) * F.col("_q.p"))
-            .withColumn("_lo", F.floor("_pos"))
-            .withColumn("_hi", F.ceil("_pos")))
-    wanted = (t.withColumn("_pick", F.explode(F.array(
-                    F.struct(F.lit("lo").alias("role"), F.col("_lo").alias("rank")),
-                    F.struct(F.lit("hi").alias("role"), F.col("_hi").alias("rank")))))
-               .where((F.col("_pick.rank") >= F.col("_off"))
-                      & (F.col("_pick.rank") < F.col("_off") + F.col("_cnt")))
-               .select("_gid", F.col("_q.name").alias("_name"), "_n", "_pos", "_lo",
-                       F.col("_pick.role").alias("_role"),
-                       (F.col("_first") + F.col("_pick.rank") - F.col("_off")).alias("_loc")))
-    # wanted holds groups x probabilities x 2 rows: broadcast when small, so the
-    # ranked rows are filtered where they lie instead of being shuffled
-    picked = ranked.select("_loc", "_v").join(checked_broadcast(wanted), "_loc")
-    d = F.col("_pos") - F.col("_lo")
-    vlo, vhi = F.col("_vlo"), F.col("_vhi")
-    per_prob = (picked.groupBy("_gid", "_name", "_n", "_pos", "_lo")
-                      .agg(F.max(F.when(F.col("_role") == "lo", F.col("_v"))).alias("_vlo"),
-                           F.max(F.when(F.col("_role") == "hi", F.col("_v"))).alias("_vhi"))
-                      .withColumn("_q", _interpolate(vlo, vhi, d)))
-    aggs = [F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in probs]
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
+                    probs: Mapping[str, float], count_col: str | None = None) -> DataFrame:
+    """One row per group: ``keys``, one column per ``probs`` entry, and the
+    number of non-null values when ``count_col`` is given."""
+    q = weighted_quantiles(df, keys, value, {"_q": F.lit(1)}, probs)
+    cols = [F.col(f"_q.{name}").alias(name) for name in probs]
     if count_col:
-        aggs.append(F.max("_n").alias(count_col))
-    out = per_prob.groupBy("_gid").agg(*aggs)
-    if keys:
-        out = out.join(checked_broadcast(gids), "_gid").select(*keys, *[c for c in out.columns if c != "_gid"])
-    out = out.drop("_gid") if "_gid" in out.columns else out
-    # one row per group: write it, then release the ranked copy of the data
-    out = materialize(out)
-    ranked.unpersist()
-    return out
+        cols.append(F.col("_q.n").alias(count_col))
+    return q.select(*keys, *cols)
 
 
 def multi_quantiles(df: DataFrame, keys: Sequence[str], spec: Mapping[str, Mapping[str, float]],
@@ -224,55 +138,31 @@ def multi_quantiles(df: DataFrame, keys: Sequence[str], spec: Mapping[str, Mappi
     return q.groupBy(*keys).agg(*aggs)
 
 
-def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, rank_col: str = "_rank",
-                small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
-    """Add the 0-based position of every row inside its ``keys`` group under
-    ``order`` (columns or sort expressions; make it a total order, e.g. end
-    with a unique id).  Groups of at most ``small_group_rows`` rows are
-    numbered by a window; larger ones by the distributed sort of
-    ``exact_quantiles``, so top-k per group and deterministic per-group
-    samples stay bounded when one group holds most rows.
-    """
+def running_count(df: DataFrame, keys: Sequence[str], order: Sequence, flag: Column, name: str) -> DataFrame:
+    """Add how many rows with ``flag`` (0 or 1) stand before each row of its
+    ``keys`` group under ``order`` (columns or sort expressions; make it a
+    total order, e.g. end with a unique id)."""
     keys = list(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    gkeys = keys or ["_all"]
-    base = df if keys else df.withColumn("_all", F.lit(0))
-    small, big = _split_by_size(base, gkeys, small_group_rows)
-    out = small.withColumn(rank_col, F.row_number().over(Window.partitionBy(*gkeys).orderBy(*order)) - 1)
-    if big is not None:
-        out = out.unionByName(_sorted_rank(big, gkeys, order, rank_col))
-    return out.drop("_all") if not keys else out
+    held = materialize(df.withColumn("_f", flag).repartitionByRange(*[F.col(k) for k in keys], *order)
+                       .withColumn("_pid", F.spark_partition_id()))
+    rows = _offsets(held, keys, {"f": F.col("_f")})
+    here = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.col("_off_f") + F.sum("_f").over(here) - F.col("_f")).drop("_pid", "_f", "_off_f", "_n_f")
 
 
-def _sorted_rank(df: DataFrame, keys: list[str], order: list, rank_col: str) -> DataFrame:
-    """Ranks of groups of any size by the distributed sort."""
-    if keys:
-        gids = group_ids(df, keys)
-        base = _null_safe_join(df, checked_broadcast(gids), keys)
-    else:
-        base = df.withColumn("_gid", F.lit(0).cast("bigint"))
-    ranked = (base.repartitionByRange(F.col("_gid"), *order)
-                  .sortWithinPartitions(F.col("_gid"), *order)
-                  .withColumn("_pid", F.spark_partition_id())
-                  .withColumn("_loc", F.monotonically_increasing_id())
-                  .persist(StorageLevel.MEMORY_AND_DISK))
-    seg = ranked.groupBy("_pid", "_gid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_loc").alias("_first"))
-    running = Window.partitionBy("_gid").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # seg has at most (partitions + groups) rows
-    seg = seg.select(F.col("_pid").alias("_spid"), F.col("_gid").alias("_sgid"), "_first",
-                     F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_off"))
-    cond = [F.col("_pid") == F.col("_spid"), F.col("_gid") == F.col("_sgid")]
-    out = (ranked.join(checked_broadcast(seg), cond)
-                 .withColumn(rank_col, F.col("_off") + F.col("_loc") - F.col("_first"))
-                 .drop("_pid", "_loc", "_off", "_first", "_spid", "_sgid", "_gid"))
-    # the ranked rows are written once (lineage cut), then the cache is released
-    out = materialize(out)
-    ranked.unpersist()
-    return out
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, rank_col: str = "_rank") -> DataFrame:
+    """Add the 0-based position of every row inside its ``keys`` group under ``order`` (a total order)."""
+    return running_count(df, keys, order, F.lit(1), rank_col)
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
                     rank_col: str = "rank") -> DataFrame:
-    """The first ``k`` rows of every group under ``order`` with a 1-based rank."""
-    ranked = rank_within(df, keys, order, "_r")
-    return ranked.where(F.col("_r") < k).withColumn(rank_col, (F.col("_r") + 1).cast("int")).drop("_r")
+    """The first ``k`` rows of every group under ``order`` with a 1-based rank.
+
+    Spark cuts every partition to ``k`` rows a group before the shuffle
+    (WindowGroupLimit), so the last task of a group sees partitions x k rows.
+    """
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(rank_col, rank).where(F.col(rank_col) <= k)

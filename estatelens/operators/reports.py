@@ -78,8 +78,7 @@ def histogram(df: DataFrame, column: str, bins: int, keys: Sequence[str] = (CITY
     rng = rng.select(*keys, F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
                      F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
     w = (F.col("_hi") - F.col("_lo")) / bins
-    # one row per group: broadcast
-    binned = base.join(F.broadcast(rng), keys).select(
+    binned = base.join((rng), keys).select(
         *keys, F.least(F.floor((F.col("_x") - F.col("_lo")) / w), F.lit(bins - 1)).cast("int").alias("bin"))
     counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
     grid = rng.select(*keys, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
@@ -114,15 +113,22 @@ def box_stats(df: DataFrame, value: str, group: str, keys: Sequence[str] = (CITY
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     v = F.col(value)
-    w = (df.select(*keys, value).join(F.broadcast(q), keys)
+    w = (df.select(*keys, value).join((q), keys)
            .groupBy(*keys, "q1", "median", "q3")
            .agg(F.min(F.when(v >= lo, v)).alias("whisker_lo"), F.max(F.when(v <= hi, v)).alias("whisker_hi")))
     return w
 
 
 def quintile_edges(df: DataFrame, value: str, keys: Sequence[str] = (CITY,)) -> DataFrame:
-    """EDA-13: interpolated edges e0..e5 of ``qcut(value, 5)``."""
-    return multi_quantiles(df, keys, {value: {f"e{i}": i / 5 for i in range(6)}})
+    """EDA-13: interpolated edges e0..e5 of ``qcut(value, 5)``.  A group whose
+    edges are not all different has no quintiles: its row stops the query that
+    reads it, as ``qcut`` raises."""
+    edges = multi_quantiles(df, keys, {value: {f"e{i}": i / 5 for i in range(6)}})
+    equal = F.lit(False)
+    for i in range(5):
+        equal = equal | (F.col(f"e{i}") == F.col(f"e{i + 1}"))
+    return edges.withColumn("e0", F.when(equal, F.raise_error(F.concat(F.lit("equal quintile edges in "), F.concat_ws("/", *keys)))
+                                         .cast("double")).otherwise(F.col("e0")))
 
 
 def assign_quintile(value: Column) -> Column:

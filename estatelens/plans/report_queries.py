@@ -237,7 +237,7 @@ def q_rule_quintile_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed log residual and its error per quintile."""
     oof = _oof(spark, sf_dir)
     e = quintile_edges(oof, "price")
-    q = (oof.join(F.broadcast(e), "city_key").withColumn("quintile", assign_quintile(F.col("price")).cast("int"))
+    q = (oof.join((e), "city_key").withColumn("quintile", assign_quintile(F.col("price")).cast("int"))
             .withColumn("ape", F.abs(F.exp("res") - 1) * 100))
     keys = ["city_key", "quintile"]
     agg = q.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
@@ -332,7 +332,7 @@ def q_extreme_residual_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     dearest quintile."""
     oof = _oof(spark, sf_dir).select("city_key", "listing_id", "price", "res")
     e = multi_quantiles(oof, ["city_key"], {"price": {"e1": 0.2, "e4": 0.8}}, count_prefix="n_")
-    base = oof.join(F.broadcast(e), "city_key")
+    base = oof.join((e), "city_key")
     hi = rank_within(base, ["city_key"], [F.desc("res"), F.asc("listing_id")], "r_hi")
     k = F.floor(0.1 * F.col("n_price"))
     over = hi.where(F.col("r_hi") < k).groupBy("city_key").agg(

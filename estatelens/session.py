@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -43,11 +44,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a scratch one only when
-    the cluster named none (tests, single-machine runs).
+    """The session's checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder; it is read,
-    never replaced.
+    On a cluster ``spark.checkpoint.dir`` must name a folder that the driver and
+    all executors share; it is read, never replaced, and a cluster session
+    without it is refused.  A local session without one gets a scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -56,23 +57,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     path = tempfile.mkdtemp(prefix="estatelens-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def materialize(df):
+_written: list[str] = []
+
+
+def materialize(df, by=()):
     """Write ``df`` as a parquet table under the session's checkpoint folder
     and return the frame read back from it.
 
     This cuts the lineage (a lost executor no longer reruns everything
     upstream, and every later use sees the same rows), and the columnar
     files are cheaper to write and re-read than serialized row blocks.
+    ``by`` names columns that get a folder for each value, for readers of one
+    value at a time.  ``release_tables`` deletes what a session has written.
     """
-    import uuid
-
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    (df.write.partitionBy(*by) if by else df.write).mode("overwrite").parquet(path)
+    _written.append(path)
+    # the types of folder columns are taken from the frame, not guessed
+    return spark.read.schema(df.schema).parquet(path) if by else spark.read.parquet(path)
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote in this process; frames that read them end with it.
+    Returns their number."""
+    n = len(_written)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n

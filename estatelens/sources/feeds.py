@@ -61,9 +61,9 @@ def cities_table(spark: SparkSession, public: list[tuple[str, str]],
 
 def unknown_cities(listings: DataFrame, cities: DataFrame) -> DataFrame:
     """SRC-6: city keys of the listings that the registry does not know."""
-    return listings.select("city_key").distinct().join(F.broadcast(cities), "city_key", "left_anti")
+    return listings.select("city_key").distinct().join((cities), "city_key", "left_anti")
 
 
 def public_listings(listings: DataFrame, cities: DataFrame) -> DataFrame:
     """SRC-7: listings of public cities only (semi join on a bounded table)."""
-    return listings.join(F.broadcast(cities.where("public").select("city_key")), "city_key", "left_semi")
+    return listings.join((cities.where("public").select("city_key")), "city_key", "left_semi")

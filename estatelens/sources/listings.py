@@ -38,16 +38,15 @@ def hash_bucket(listing_id: Column) -> Column:
 
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the dimension columns a listing needs (pruned reads)."""
-    li = read_table(spark, sf_dir, "lineitem", spread=True, columns=[
+    li = read_table(spark, sf_dir, "lineitem", columns=[
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"])
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderstatus", "o_orderpriority")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    # nation and region have a fixed, tiny row count: broadcasting them is safe.
-    nation = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
-    region = F.broadcast(read_table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    nation = (read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    region = (read_table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
     # orders / part / supplier grow with the data: the planner decides from
     # their measured size whether a broadcast is possible.
     return (li.join(orders, li.l_orderkey == orders.o_orderkey)

@@ -9,20 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False,
+def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | None = None) -> DataFrame:
-    """One parquet table of the driver's data set (``<sf_dir>/<name>.parquet``).
-
-    ``spread``: when the scan yields fewer splits than the cluster has cores
-    (a small file with a single row group is read by one task), spread the
-    rows round-robin so the row-wise work after the scan runs in parallel.
-    On large inputs the scan already has many splits and nothing is added.
-    """
+    """One parquet table of the driver's data set (``<sf_dir>/<name>.parquet``), with ``columns`` only if given."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     if columns is not None:
-        df = df.select(*columns)  # prune before any spreading shuffle
-    if spread:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
+        df = df.select(*columns)
     return df
