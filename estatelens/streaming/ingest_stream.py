@@ -16,7 +16,6 @@ from pyspark.sql.types import StructType
 
 from estatelens.operators.contract import ListingContract
 from estatelens.operators.ingest import amenity_count, basis_of, map_and_convert
-from estatelens.session import ensure_checkpoint_dir
 
 
 def rowwise_ingest(raw: DataFrame, contract: ListingContract) -> DataFrame:
@@ -35,16 +34,19 @@ def rowwise_ingest(raw: DataFrame, contract: ListingContract) -> DataFrame:
 
 
 def start_stream_ingest(spark: SparkSession, source_dir: str, schema: StructType, contract: ListingContract,
-                        sink_dir: str, name: str = "listing_ingest", available_now: bool = True) -> StreamingQuery:
+                        sink_dir: str, checkpoint_dir: str, available_now: bool = True) -> StreamingQuery:
     """Read new parquet feed files from ``source_dir`` and append the
-    row-wise ingested listings to ``sink_dir`` (partitioned by city).  The
-    stream's own checkpoint lives under the session's checkpoint folder, so a
-    restarted query resumes where it stopped."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
+    row-wise ingested listings to ``sink_dir`` (partitioned by city).
+
+    ``checkpoint_dir`` is the stream's own folder, kept next to the sink and
+    for as long: a stream started again, also by another application, with the
+    same source, sink and checkpoint resumes where the last one stopped.  (The
+    session's checkpoint folder would not do: Spark gives every application a
+    new one under it.)"""
     stream = spark.readStream.schema(schema).parquet(source_dir)
     out = rowwise_ingest(stream, contract)
     writer = (out.writeStream.format("parquet").option("path", sink_dir)
-                 .option("checkpointLocation", f"{root}/streams/{name}")
+                 .option("checkpointLocation", checkpoint_dir)
                  .partitionBy("city_key").outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
