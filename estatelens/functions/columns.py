@@ -28,6 +28,7 @@ CONTAMINATION_MARKERS = ("amravati", "maharashtra", "vidarbha")
 STALENESS_DAYS = 183
 
 _NUMBER_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Patterns of ranges and of leading numbers.
 _RANGE_RE = r"^\s*([\d.]+)\s*-\s*([\d.]+)\s*$"
 _LEADING_RE = r"^\s*(\d+(?:\.\d+)?)"
 

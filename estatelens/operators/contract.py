@@ -35,40 +35,34 @@ class ListingContract:
     amenity_unknown_value: float | None = None
 
     def check(self, raw_columns) -> None:
-        """Declarations and column presence; raises ``ValueError``."""
-        if self.area_unit not in AREA_TO_SQFT:
-            raise ValueError(f"area_unit '{self.area_unit}' is not one of {sorted(AREA_TO_SQFT)}")
-        if self.price_unit not in PRICE_TO_CRORE:
-            raise ValueError(f"price_unit '{self.price_unit}' is not one of {sorted(PRICE_TO_CRORE)}")
+        """Declarations and column presence; raises ``ValueError`` naming the entry."""
+        def need(ok: bool, entry: str, what: object) -> None:
+            if not ok:
+                raise ValueError(f"contract.{entry}: {what}")
+
         bases = (*KNOWN_AREA_BASES, UNKNOWN_AREA_BASIS)
-        if self.area_basis not in bases:
-            raise ValueError(f"area_basis '{self.area_basis}' is not one of {sorted(bases)}")
-        missing = [t for t in ALWAYS_REQUIRED if t not in self.columns]
-        if missing:
-            raise ValueError(f"'columns' mapping is missing required target field(s): {', '.join(missing)}")
+        for entry, value, known in (("area_unit", self.area_unit, AREA_TO_SQFT), ("price_unit", self.price_unit, PRICE_TO_CRORE),
+                                    ("area_basis", self.area_basis, bases)):
+            need(value in known, entry, f"{value!r}, known are {sorted(known)}")
+        need(set(ALWAYS_REQUIRED) <= set(self.columns), "columns", f"needs {list(ALWAYS_REQUIRED)}, has {sorted(self.columns)}")
         for target, name in self.parse.items():
-            if name not in PARSER_NAMES:
-                raise ValueError(f"unknown parser '{name}' for '{target}'. Valid: {', '.join(PARSER_NAMES)}")
-            if target not in self.columns:
-                raise ValueError(f"parser declared for unmapped field '{target}'")
-        raw_to_targets: dict[str, list[str]] = {}
-        for target, raw in self.columns.items():
-            raw_to_targets.setdefault(raw, []).append(target)
-        raw_to_targets.setdefault(self.locality_column, []).append("sector (locality_column)")
-        dupes = {r: t for r, t in raw_to_targets.items() if len(t) > 1}
-        if dupes:
-            raise ValueError(f"more than one target field maps to the same raw column: {dupes}")
-        cols = set(raw_columns)
-        wanted = [*self.columns.values(), self.locality_column, *self.amenity_columns]
-        if self.area_basis_column:
-            wanted.append(self.area_basis_column)
-        absent = [c for c in wanted if c not in cols]
-        if absent:
-            raise ValueError(f"source is missing declared column(s): {', '.join(absent)}")
+            need(name in PARSER_NAMES, "parse", f"{target}: {name!r}, known are {list(PARSER_NAMES)}")
+            need(target in self.columns, "parse", f"{target} is not in columns")
+        sources = [*self.columns.values(), self.locality_column]
+        twice = sorted({c for c in sources if sources.count(c) > 1})
+        need(not twice, "columns", f"used twice: {twice}")
+        flags = [self.area_basis_column] if self.area_basis_column else []
+        absent = sorted({*sources, *self.amenity_columns, *flags} - set(raw_columns))
+        need(not absent, "columns", f"not in the feed: {absent}")
+        carried = set(raw_columns) - set(sources)
+        made = {*self.columns, *carried, "sector", "price_per_sqft", *(["amenity_count"] if self.amenity_columns else [])}
+        unknown = [c for c in self.required_columns if c not in made]
+        need(not unknown, "required_columns", f"no such columns: {unknown}")
         if self.expected_ppsf_range is not None:
             lo, hi = self.expected_ppsf_range
-            if not lo < hi:
-                raise ValueError(f"expected_ppsf_range must be increasing, got {self.expected_ppsf_range}")
-        for label, basis in self.area_basis_labels.items():
-            if basis not in bases:
-                raise ValueError(f"area_basis_labels maps '{label}' to unknown basis '{basis}'")
+            need(lo < hi, "expected_ppsf_range", f"{lo} is not below {hi}")
+        wrong = sorted(set(self.area_basis_labels.values()) - set(bases))
+        need(not wrong, "area_basis_labels", f"unknown bases {wrong}")
+        need(bool(self.area_basis_column) == bool(self.area_basis_labels), "area_basis_labels", "goes with area_basis_column")
+        if self.area_basis_labels:
+            need(self.area_basis in self.area_basis_labels.values(), "area_basis_labels", f"no label stands for {self.area_basis!r}")

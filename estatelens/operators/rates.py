@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from estatelens.functions import columns as fn
 
-# Label of every answer.
-REFERENCE_LABEL = "Rate-based reference -- not a prediction"
+#: Label of every answer.
+REFERENCE_LABEL = "from rates on file, not a prediction"
 
 
 def rate_table_checks(rates: DataFrame, last_updated: str | None) -> DataFrame:
@@ -68,29 +68,24 @@ def price_from_rates(queries: DataFrame, rates: DataFrame, last_updated: str, as
 
 
 def explain_lines(estimates: DataFrame, items: DataFrame) -> DataFrame:
-    """FN-22: the printable explanation of every priced query as one text."""
-    item_lines = items.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
-        "source", "source_date", "rate_low_per_sqft", "rate_high_per_sqft", "low_cr", "high_cr"))).alias("li"))
-    area = F.format_number(F.col("area_sqft"), 0)
-    line = lambda x: F.format_string(
-        "    - %s (as of %s): Rs %s-%s/sqft x %s sqft = Rs %.2f-%.2f Cr", x["source"], x["source_date"],
-        F.format_number(x["rate_low_per_sqft"], 0), F.format_number(x["rate_high_per_sqft"], 0), area,
-        x["low_cr"], x["high_cr"])
-    e = estimates.where(F.col("status") == "ok").join(item_lines, "query_id")
-    text = F.concat_ws("\n",
-                       F.lit(REFERENCE_LABEL),
-                       F.format_string("  zone: %s | property_type: %s | area: %s sqft", "zone", "property_type", area),
-                       F.concat(F.lit("  rate table last updated: "), F.col("table_last_updated")),
-                       F.lit("  inputs:"),
-                       F.array_join(F.transform("li", line), "\n"),
-                       F.format_string("  range shown: Rs %.2f-%.2f Cr -- the span across the input rates above "
-                                       "(arithmetic, not a statistical confidence interval).", "low_cr", "high_cr"),
-                       F.when(F.col("stale"), F.format_string(
-                           "  WARNING: rate table last updated %s (%d days ago) -- stale",
-                           "table_last_updated", "age_days")),
-                       F.when(F.col("contamination"), F.lit(
-                           "  WARNING: locality looks like it may refer to Amravati, Maharashtra -- verify")))
-    return e.select("query_id", text.alias("explain"))
+    """FN-22: what each priced query's range was made from, a row for each part:
+    ``rate`` rows (source, date, rates, bounds), one ``range`` row (the span)
+    and, if they apply, ``stale`` (age in days) and ``locality`` rows.  Every
+    row carries ``label``: the range is arithmetic over the rates on file."""
+    priced = estimates.where(F.col("status") == "ok")
+    none = lambda t: F.lit(None).cast(t)
+
+    def part(df, kind, source=None, date=None, rate_low=None, rate_high=None, low=None, high=None, age=None):
+        pick = lambda c, t: none(t) if c is None else F.col(c).cast(t)
+        return df.select("query_id", F.lit(kind).alias("part"), pick(source, "string").alias("source"),
+                         pick(date, "string").alias("source_date"), pick(rate_low, "double").alias("rate_low_per_sqft"),
+                         pick(rate_high, "double").alias("rate_high_per_sqft"), pick(low, "double").alias("low_cr"),
+                         pick(high, "double").alias("high_cr"), pick(age, "int").alias("age_days"), F.lit(REFERENCE_LABEL).alias("label"))
+
+    return (part(items, "rate", "source", "source_date", "rate_low_per_sqft", "rate_high_per_sqft", "low_cr", "high_cr")
+            .unionByName(part(priced, "range", low="low_cr", high="high_cr"))
+            .unionByName(part(priced.where("stale"), "stale", date="table_last_updated", age="age_days"))
+            .unionByName(part(priced.where("contamination"), "locality")))
 
 
 def default_as_of() -> str:

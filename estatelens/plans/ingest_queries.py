@@ -146,12 +146,15 @@ def q_ingest_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("ingest_gate_report", O.with_ctes(INGEST_SQL, """
 SELECT city_key, non_positive_prices, round(median_area, 6) AS median_area, round(median_ppsf, 6) AS median_ppsf,
-       passed
+       passed, CASE WHEN non_positive_prices > 0 THEN 'price_sign'
+                    WHEN NOT coalesce(median_area BETWEEN 100 AND 20000, false) THEN 'area_unit'
+                    WHEN NOT coalesce(median_ppsf BETWEEN 1000 AND 100000, false) THEN 'price_unit'
+                    WHEN NOT passed THEN 'city_range' END AS reason
 FROM gate_ok"""))
 def q_ingest_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DQ-5..9: per-city plausibility gate on the declared-basis rows."""
     g = ingested(spark, sf_dir).gate_report
-    return round_floats(g.select("city_key", "non_positive_prices", "median_area", "median_ppsf", "passed"))
+    return round_floats(g.select("city_key", "non_positive_prices", "median_area", "median_ppsf", "passed", "reason"))
 
 
 @register("ingest_step_log", O.with_ctes(INGEST_SQL, """
@@ -162,17 +165,17 @@ b AS (SELECT city_key, CAST(sum(_copies) AS BIGINT) AS n_pre, count(*) AS n_dedu
              count(*) FILTER (WHERE _drop = 9) AS n_trim FROM staged GROUP BY city_key),
 pc AS (SELECT a.*, b.* EXCLUDE (city_key), g.passed FROM a JOIN b USING (city_key) JOIN gate_ok g USING (city_key)),
 st AS (
-  SELECT city_key, 1 AS step_no, 'read raw rows' AS step, 0 AS removed, 0 AS before FROM pc
-  UNION ALL SELECT city_key, 2, 'filter to declared area_basis', n_basis, 0 FROM pc
-  UNION ALL SELECT city_key, 3, 'plausibility gate (city refused)',
+  SELECT city_key, 1 AS step_no, 'read' AS step, 0 AS removed, 0 AS before FROM pc
+  UNION ALL SELECT city_key, 2, 'area_basis', n_basis, 0 FROM pc
+  UNION ALL SELECT city_key, 3, 'gate',
                    CASE WHEN passed THEN 0 ELSE n_read - n_basis - n_band END, n_basis FROM pc
-  UNION ALL SELECT city_key, 4, 'trim rows outside expected_ppsf_range', n_band, n_basis FROM pc
-  UNION ALL SELECT city_key, 5, 'derive amenity_count', 0, n_basis + n_band FROM pc
-  UNION ALL SELECT city_key, 6, 'drop exact duplicate listings', n_pre - n_dedup, n_basis + n_band FROM pc
-  UNION ALL SELECT city_key, 7, 'drop listings without a price', n_unpriced, n_basis + n_band + n_pre - n_dedup FROM pc
-  UNION ALL SELECT city_key, 8, 'drop rows missing a required value (price, area, bedrooms)', n_required,
+  UNION ALL SELECT city_key, 4, 'ppsf_band', n_band, n_basis FROM pc
+  UNION ALL SELECT city_key, 5, 'amenities', 0, n_basis + n_band FROM pc
+  UNION ALL SELECT city_key, 6, 'copies', n_pre - n_dedup, n_basis + n_band FROM pc
+  UNION ALL SELECT city_key, 7, 'unpriced', n_unpriced, n_basis + n_band + n_pre - n_dedup FROM pc
+  UNION ALL SELECT city_key, 8, 'required', n_required,
                    n_basis + n_band + n_pre - n_dedup + n_unpriced FROM pc
-  UNION ALL SELECT city_key, 9, 'trim percentile outliers (price_per_sqft, area)', n_trim,
+  UNION ALL SELECT city_key, 9, 'outliers', n_trim,
                    n_basis + n_band + n_pre - n_dedup + n_unpriced + n_required FROM pc
 )
 SELECT st.city_key, CAST(step_no AS INTEGER) AS step_no, step, CAST(n_read - before AS BIGINT) AS rows_in,
@@ -215,12 +218,12 @@ def q_area_basis_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("amenity_unknown_share", O.with_ctes(INGEST_SQL, """
 SELECT city_key, count(*) FILTER (WHERE amenity_count IS NULL) AS unknown_rows, count(*) AS rows,
        round(100.0 * count(*) FILTER (WHERE amenity_count IS NULL) / count(*), 6) AS unknown_pct
-FROM staged GROUP BY city_key"""))
+FROM surv GROUP BY city_key"""))
 def q_amenity_unknown_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DRV-1 log: rows whose amenities were never recorded (left blank, not
-    counted as zero), after deduplication."""
+    counted as zero), on the rows after the price band, before copies are dropped."""
     res = ingested(spark, sf_dir)
     log = res.feed_log.where(F.col("entry") == "amenity_unknown").select("city_key", F.col("value").alias("unknown_rows"))
-    rows = res.step_log.where(F.col("step_no") == 7).select("city_key", F.col("rows_in").alias("rows"))
+    rows = res.step_log.where(F.col("step_no") == 6).select("city_key", F.col("rows_in").alias("rows"))
     return round_floats(log.join(rows, "city_key").withColumn(
         "unknown_pct", 100.0 * F.col("unknown_rows") / F.col("rows")))

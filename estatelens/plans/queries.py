@@ -30,11 +30,11 @@ def q_clean_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM tagged GROUP BY city_key
 ),
 steps AS (
-  SELECT city_key, 1 AS step_no, 'standardize column names' AS step, n_raw AS rows_in, 0 AS rows_removed FROM per_city
-  UNION ALL SELECT city_key, 2, 'drop exact duplicate listings', n_raw, n_raw - n_dedup FROM per_city
-  UNION ALL SELECT city_key, 3, 'label categorical columns', n_dedup, 0 FROM per_city
-  UNION ALL SELECT city_key, 4, 'drop listings without a price', n_dedup, n_unpriced FROM per_city
-  UNION ALL SELECT city_key, 5, 'trim percentile outliers (price_per_sqft, area)', n_dedup - n_unpriced, n_trimmed
+  SELECT city_key, 1 AS step_no, 'rename' AS step, n_raw AS rows_in, 0 AS rows_removed FROM per_city
+  UNION ALL SELECT city_key, 2, 'copies', n_raw, n_raw - n_dedup FROM per_city
+  UNION ALL SELECT city_key, 3, 'labels', n_dedup, 0 FROM per_city
+  UNION ALL SELECT city_key, 4, 'unpriced', n_dedup, n_unpriced FROM per_city
+  UNION ALL SELECT city_key, 5, 'outliers', n_dedup - n_unpriced, n_trimmed
   FROM per_city
 )
 SELECT city_key, CAST(step_no AS INTEGER) AS step_no, step, CAST(rows_in AS BIGINT) AS rows_in,

@@ -96,12 +96,23 @@ def q_rate_table_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_table_checks(rates_for(spark, sf_dir), RATES_LAST_UPDATED)
 
 
-@register("rate_explain")
+@register("rate_explain", O.with_ctes(RATES_SQL, f"""
+, est AS (SELECT q.query_id, s.low_cr, s.high_cr,
+                 coalesce(regexp_matches(lower(q.locality), 'amravati|maharashtra|vidarbha'), false) AS contamination
+          FROM queries q JOIN span s USING (query_id)),
+none AS (SELECT CAST(NULL AS VARCHAR) AS s, CAST(NULL AS DOUBLE) AS d, CAST(NULL AS INTEGER) AS i)
+SELECT *, 'from rates on file, not a prediction' AS label FROM (
+  SELECT query_id, 'rate' AS part, source, CAST(source_date AS VARCHAR) AS source_date, round(rate_low_per_sqft, 6) AS rate_low_per_sqft,
+         round(rate_high_per_sqft, 6) AS rate_high_per_sqft, round(low_cr, 6) AS low_cr, round(high_cr, 6) AS high_cr, i AS age_days
+  FROM items, none
+  UNION ALL SELECT query_id, 'range', s, s, d, d, round(low_cr, 6), round(high_cr, 6), i FROM est, none
+  UNION ALL SELECT query_id, 'stale', s, '{RATES_LAST_UPDATED}', d, d, d, d, CAST({_AGE} AS INTEGER) FROM est, none WHERE {_AGE} > 183
+  UNION ALL SELECT query_id, 'locality', s, s, d, d, d, d, i FROM est, none WHERE contamination)"""))
 def q_rate_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-22: printable explanation of every priced order."""
+    """FN-22: the parts of every priced order's range."""
     est, items = price_from_rates(rate_queries(spark, sf_dir), rates_for(spark, sf_dir), RATES_LAST_UPDATED,
                                   RATES_AS_OF)
-    return explain_lines(est, items)
+    return round_floats(explain_lines(est, items))
 
 
 @register("rate_contamination_counts", O.with_ctes(RATES_SQL, """

@@ -75,7 +75,20 @@ def test_unit_hint(spark):
     from estatelens.operators.ingest import suggest_price_unit
     df = spark.createDataFrame([(500000.0,), (50.0,)], "m double")
     got = [r[0] for r in df.select(suggest_price_unit(F.col("m"), "lakh")).collect()]
-    assert got == ["try 'rupees' instead of 'lakh'", "try 'crore' instead of 'lakh'"]
+    assert got == ["rupees", "crore"]
+
+
+def test_stored_basis_errors(spark):
+    """Only an absent table counts as none; a mixed one is refused, an unreadable one raises."""
+    from estatelens.operators.ingest import read_existing_basis
+    d = tempfile.mkdtemp(prefix="estatelens-basis-", dir="/tmp")
+    spark.createDataFrame([("a", "carpet"), ("a", "builtup")], "city_key string, area_basis string").write.parquet(f"{d}/mixed")
+    with pytest.raises(ValueError, match="a have more than one"):
+        read_existing_basis(spark, f"{d}/mixed")
+    with open(f"{d}/broken", "wb") as f:
+        f.write(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        read_existing_basis(spark, f"{d}/broken").count()
 
 
 def test_reingest_with_other_basis_is_refused(spark):
@@ -122,7 +135,7 @@ def test_contract_checks():
     TEST_CONTRACT.check(cols)
     with pytest.raises(ValueError, match="area_unit"):
         replace(TEST_CONTRACT, area_unit="acre").check(cols)
-    with pytest.raises(ValueError, match="missing declared column"):
+    with pytest.raises(ValueError, match="not in the feed"):
         TEST_CONTRACT.check(cols[:-1])
-    with pytest.raises(ValueError, match="same raw column"):
+    with pytest.raises(ValueError, match="used twice"):
         replace(TEST_CONTRACT, columns={**TEST_CONTRACT.columns, "bathrooms": "size_label"}).check(cols)

@@ -87,7 +87,7 @@ def test_gate_refuses_wrong_unit(spark):
     res = ingest_listings(contract_feed(spark, SF_SMALL), replace(TEST_CONTRACT, price_unit="crore"))
     gate = res.gate_report.collect()
     assert gate and not any(r["passed"] for r in gate)
-    assert all("lakh" in r["reason"] for r in gate)
+    assert all(r["reason"] == "price_unit" and r["suggested_unit"] == "lakh" for r in gate)
     assert res.listings.count() == 0
 
 
