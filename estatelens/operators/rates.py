@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.functions import columns as fn
@@ -35,6 +35,30 @@ def rate_catalogue(rates: DataFrame) -> DataFrame:
                 .orderBy("zone", "property_type")
 
 
+def rate_sheet(rates: DataFrame, last_updated: str, as_of: str, staleness_days: int = fn.STALENESS_DAYS) -> DataFrame:
+    """RPT-6: the rate rows, each with the table's date, the threshold in days and whether it is past it."""
+    return rates.select("zone", "property_type", "source", F.col("source_date").cast("string").alias("source_date"),
+                        "rate_low_per_sqft", "rate_high_per_sqft", F.lit(last_updated).alias("last_updated"),
+                        F.lit(staleness_days).alias("staleness_days"),
+                        fn.is_stale(F.lit(last_updated).cast("date"), F.lit(as_of).cast("date"), staleness_days).alias("stale"))
+
+
+def read_rates(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """SRC-5: a rate table from a JSON-lines folder of rows that each carry
+    ``last_updated``; ``(rates, last_updated)``.  Refused if it is empty,
+    undated, of several dates, or holds a row whose low rate is above its high one."""
+    schema = ("zone string, property_type string, rate_low_per_sqft double, rate_high_per_sqft double, source string, "
+              "source_date string, last_updated string")
+    df = spark.read.schema(schema).json(path)
+    n, dates, undated, inverted, first = df.agg(
+        F.count(F.lit(1)), F.count_distinct("last_updated"), F.count_if(F.col("last_updated").isNull()),
+        F.count_if(~F.coalesce(F.col("rate_low_per_sqft") <= F.col("rate_high_per_sqft"), F.lit(False))), F.min("last_updated")).first()
+    for wrong, what in ((n == 0, "no rows"), (undated > 0 or dates != 1, "not one last_updated date"), (inverted > 0, f"{inverted} rows with low above high")):
+        if wrong:
+            raise ValueError(f"rate table {path}: {what}")
+    return df.drop("last_updated"), first
+
+
 def price_from_rates(queries: DataFrame, rates: DataFrame, last_updated: str, as_of: str,
                      staleness_days: int = fn.STALENESS_DAYS) -> tuple[DataFrame, DataFrame]:
     """REF-1: ``(estimates, line_items)`` for a batch of queries.

@@ -139,3 +139,31 @@ def test_contract_checks():
         TEST_CONTRACT.check(cols[:-1])
     with pytest.raises(ValueError, match="used twice"):
         replace(TEST_CONTRACT, columns={**TEST_CONTRACT.columns, "bathrooms": "size_label"}).check(cols)
+
+
+def test_rate_table_reader(spark):
+    """A dated table is read; empty, undated and inverted ones are refused."""
+    import json
+
+    from estatelens.operators.rates import read_rates
+    row = {"zone": "a", "property_type": "flat", "rate_low_per_sqft": 1.0, "rate_high_per_sqft": 2.0, "source": "s",
+           "source_date": "2025-01-01", "last_updated": "2025-02-01"}
+    cases = {"good": [row, {**row, "zone": "b"}], "empty": [], "undated": [{**row, "last_updated": None}],
+             "inverted": [{**row, "rate_low_per_sqft": 3.0}], "two": [row, {**row, "last_updated": "2025-03-01"}]}
+    d = tempfile.mkdtemp(prefix="estatelens-rates-", dir="/tmp")
+    for name, rows in cases.items():
+        with open(f"{d}/{name}.json", "w") as f:
+            f.write("\n".join(map(json.dumps, rows)))
+    rates, updated = read_rates(spark, f"{d}/good.json")
+    assert rates.count() == 2 and updated == "2025-02-01"
+    for name, what in (("empty", "no rows"), ("undated", "last_updated"), ("inverted", "low above high"), ("two", "last_updated")):
+        with pytest.raises(ValueError, match=what):
+            read_rates(spark, f"{d}/{name}.json")
+
+
+def test_quintiles_need_different_edges(spark):
+    from estatelens.operators.reports import quintile_edges
+    df = spark.createDataFrame([("a", float(i)) for i in range(10)] + [("b", 1.0)] * 10, "city_key string, price double")
+    assert quintile_edges(df.where("city_key = 'a'"), "price").count() == 1
+    with pytest.raises(Exception, match="equal quintile edges in b"):
+        quintile_edges(df, "price").collect()
