@@ -160,35 +160,62 @@ def vectors(chunk: W.Chunk, look: Lookup) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate([text, text]), np.concatenate([at, at + k]), np.concatenate([np.ones(len(at)), dense])
 
 
-def swaps(x: np.ndarray, groups: list[list[int]]) -> np.ndarray:
-    """Change of the features for every identity term of a text swapped for each other term of its group."""
-    k, change = x.shape[1] // 2, []
+class Sparse:
+    """A matrix by its non-zero entries."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.row, self.col, self.value, self.shape = row, col, value, shape
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Sparse:
+        row, col = np.nonzero(x)
+        return cls(row, col, x[row, col], x.shape)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], self.shape[0])
+
+    def tdot(self, e: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * e[self.row], self.shape[1])
+
+    def column(self, j: int) -> np.ndarray:
+        at = self.col == j
+        return np.bincount(self.row[at], self.value[at], self.shape[0])
+
+
+def swaps(x: Sparse, groups: list[list[int]]) -> Sparse:
+    """Change of the features for every identity term of a text swapped for each other term of its group, a row each."""
+    k, row, col, value, n = x.shape[1] // 2, [], [], [], 0
     for g in groups:
+        block = {t + o: x.column(t + o) for t in g for o in (0, k)}
         for a in g:
-            have = np.flatnonzero(x[:, a])
+            have = np.flatnonzero(block[a])
             for b in g:
                 if a != b and len(have):
-                    d = np.zeros((len(have), x.shape[1]), np.float32)
                     for i, j in ((a, b), (a + k, b + k)):
-                        d[:, i] = -x[have, i]
-                        d[:, j] = np.maximum(x[have, i], x[have, j]) - x[have, j]
-                    change.append(d)
-    return np.concatenate(change) if change else np.zeros((0, x.shape[1]), np.float32)
+                        for c, v in ((i, -block[i][have]), (j, np.maximum(block[i][have], block[j][have]) - block[j][have])):
+                            row.append(np.arange(n, n + len(have)))
+                            col.append(np.full(len(have), c))
+                            value.append(v)
+                    n += len(have)
+    if not n:
+        return Sparse(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), (0, x.shape[1]))
+    return Sparse(np.concatenate(row), np.concatenate(col), np.concatenate(value), (n, x.shape[1]))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, groups: list[list[int]], strength: float = COUNTERFACTUAL, l2: float = 0.3,
+def fit_weights(x: Sparse | np.ndarray, y: np.ndarray, groups: list[list[int]], strength: float = COUNTERFACTUAL, l2: float = 0.3,
                 steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept; the counterfactual part is ``strength`` times the mean squared change of the log odds."""
+    x = x if isinstance(x, Sparse) else Sparse.of(x)
     n, k = x.shape
     change = swaps(x, groups)
     p = min(max(y.mean(), 1e-6), 1 - 1e-6)
     theta = np.append(np.zeros(k), np.log(p / (1 - p)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):
-        e = 1 / (1 + np.exp(-(x @ theta[:k] + theta[k]))) - y
-        grad = np.append(x.T @ e + l2 * theta[:k], e.sum()) / n
-        if len(change):
-            grad[:k] += 2 * strength * (change.T @ (change @ theta[:k])) / len(change)
+        e = 1 / (1 + np.exp(-(x.dot(theta[:k]) + theta[k]))) - y
+        grad = np.append(x.tdot(e) + l2 * theta[:k], e.sum()) / n
+        if change.shape[0]:
+            grad[:k] += 2 * strength * change.tdot(change.dot(theta[:k])) / change.shape[0]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return theta[:k], float(theta[k])
@@ -234,11 +261,11 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_doc
     got = (train.join(F.broadcast(ids), "doc_id").select("toxic", "text")  # bounded by sample_docs
            .mapInArrow(featured, "toxic long, at binary, value binary").toPandas())
     got = got.sort_values(["toxic", "at", "value"])  # one order whatever the partitions
-    at = [np.frombuffer(b, np.int32) for b in got["at"]]
-    x = np.zeros((len(got), 2 * k), np.float32)
-    x[np.repeat(np.arange(len(got)), [len(a) for a in at]), np.concatenate(at)] = np.frombuffer(b"".join(got["value"]), np.float32)
+    at = np.frombuffer(b"".join(got["at"]), np.int32)
+    x = Sparse(np.repeat(np.arange(len(got)), [len(b) // 4 for b in got["at"]]), at.astype(np.int64),
+               np.frombuffer(b"".join(got["value"]), np.float32).astype(np.float64), (len(got), 2 * k))
     place = {t: int(np.searchsorted(vocabulary, np.array([h], np.int64).view(np.uint64))[0]) for t, h in terms.items()}
-    w, b = fit_weights(x, got["toxic"].to_numpy(np.float32), [[place[t] for t in g] for g in IDENTITY], strength)
+    w, b = fit_weights(x, got["toxic"].to_numpy(np.float64), [[place[t] for t in g] for g in IDENTITY], strength)
     return {"vocabulary": vocabulary, "weights": w, "intercept": b}
 
 
