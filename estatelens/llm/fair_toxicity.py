@@ -226,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_doc
     """Vocabulary (hashes), weights and intercept; None if there is nothing to tell apart."""
     marked = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
         F.max("toxic").cast("long").alias("toxic"))
-    train = materialize(docs.where(~held_out()).select("doc_id", "text").join(marked, "doc_id").select("doc_id", "toxic", "text"))
+    # a merge join at every size: labels grow with the documents
+    train = materialize(docs.where(~held_out()).select("doc_id", "text").join(marked.hint("merge"), "doc_id").select("doc_id", "toxic", "text"))
     totals = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rows, bad = int(totals[0]), int(totals[1])
     if bad == 0 or bad == rows:
