@@ -2,7 +2,8 @@
 
 Prints one JSON line: {"metric", "value" (total seconds), "unit", "queries", "sf"}.
 The session is warmed on sf0.001 first (not timed), as a long-running
-service would be.
+service would be.  Tables that queries share are dropped before each query, so
+every figure is the query's whole work, the cleaning included.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ def main() -> None:
     os.environ.setdefault("ESTATELENS_MASTER", f"local[{cpus}]")
     os.environ.setdefault("ESTATELENS_SHUFFLE_PARTITIONS", str(max(8, int(cpus))))
     from estatelens.plans.registry import all_queries
-    from estatelens.session import get_session
+    from estatelens.plans.common import forget
+    from estatelens.session import get_session, release_tables
 
     spark = get_session()
     qs = all_queries()
@@ -37,6 +39,8 @@ def main() -> None:
             qs[n](spark, warm).write.format("noop").mode("overwrite").save()
     times = {}
     for n in names:
+        forget()
+        release_tables(spark)
         t0 = time.time()
         qs[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.time() - t0, 3)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -11,6 +14,7 @@ from estatelens.session import materialize
 from estatelens.sources.listings import raw_listings
 
 DECIMALS = 6
+T = TypeVar("T")
 
 
 def round_floats(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
@@ -20,34 +24,54 @@ def round_floats(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
                        for f in df.schema.fields])
 
 
-_PROCESSED: dict[tuple[int, str], tuple[DataFrame, DataFrame]] = {}
+_MEMO: dict = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, lengths and modification times of the tables' files: what was read, if it is still the same."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out, todo = [], [jvm.org.apache.hadoop.fs.Path(sf_dir)]
+    while todo:
+        path = todo.pop()
+        for f in path.getFileSystem(conf).listStatus(path):
+            if f.isDirectory():
+                todo.append(f.getPath())
+            else:
+                out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def memo(spark: SparkSession, sf_dir: str, what: str, build: Callable[[], T]) -> T:
+    """``build()``, once for an application, a folder and the state of its files; queries share written intermediate tables by it."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    stamp = _stamp(spark, sf_dir)
+    if key not in _MEMO or _MEMO[key][0] != stamp:
+        _MEMO[key] = (stamp, build())
+    return _MEMO[key][1]
+
+
+def forget() -> None:
+    """Drop all shared intermediate tables: the next query does its whole work."""
+    _MEMO.clear()
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """PIPE-1 over the public columns of the raw test feed.
 
     The cleaned listings play the part of the reference's processed file:
-    they are written once per session to the checkpoint folder and every
-    later query of the session reads them from there.
+    they are written once to the checkpoint folder and later queries of the
+    session read them from there.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PROCESSED:
+    def build():
         listings, log = clean_listings(public_feed(raw_listings(spark, sf_dir)))
-        _PROCESSED[key] = (listings, materialize(log))
-    return _PROCESSED[key]
-
-
-_OOF_RULES: dict = {}
+        return listings, materialize(log)
+    return memo(spark, sf_dir, "cleaned", build)
 
 
 def oof_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold rule predictions of the cleaned listings with their log
-    residual, written once per session and shared by every rule report."""
+    residual, written once and shared by every rule report."""
     from estatelens.functions.columns import residual_log
     from estatelens.operators.evaluate import oof_rule_predictions
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _OOF_RULES:
-        listings, _ = cleaned(spark, sf_dir)
-        oof = oof_rule_predictions(listings).withColumn("res", residual_log("pred_baseline_sector", "price"))
-        _OOF_RULES[key] = materialize(oof)
-    return _OOF_RULES[key]
+    return memo(spark, sf_dir, "oof_rules", lambda: materialize(
+        oof_rule_predictions(cleaned(spark, sf_dir)[0]).withColumn("res", residual_log("pred_baseline_sector", "price"))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from estatelens.operators.contract import ListingContract
 from estatelens.operators.ingest import IngestResult, ingest_listings
 from estatelens.plans import oracle as O
-from estatelens.plans.common import round_floats
+from estatelens.plans.common import memo, round_floats
 from estatelens.plans.registry import register
 from estatelens.sources.listings import raw_listings
 
@@ -28,8 +28,6 @@ TEST_CONTRACT = ListingContract(
     amenity_columns=("lift", "parking", "gym"), amenity_unknown_value=-1,
 )
 
-_INGESTED: dict[tuple[int, str], IngestResult] = {}
-
 
 def contract_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third-party shaped feed: raw text columns as a portal delivers them."""
@@ -40,10 +38,7 @@ def contract_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> IngestResult:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INGESTED:
-        _INGESTED[key] = ingest_listings(contract_feed(spark, sf_dir), TEST_CONTRACT)
-    return _INGESTED[key]
+    return memo(spark, sf_dir, "ingested", lambda: ingest_listings(contract_feed(spark, sf_dir), TEST_CONTRACT))
 
 
 _NUM = "(CASE WHEN regexp_matches(trim({x}), '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') " \

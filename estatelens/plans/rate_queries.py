@@ -7,20 +7,14 @@ from pyspark.sql import functions as F
 
 from estatelens.operators.rates import explain_lines, price_from_rates, rate_catalogue, rate_table_checks
 from estatelens.plans import oracle as O
-from estatelens.plans.common import cleaned, round_floats
+from estatelens.plans.common import cleaned, memo, round_floats
 from estatelens.plans.registry import register
 from estatelens.session import materialize
 from estatelens.sources.derived import RATES_AS_OF, RATES_LAST_UPDATED, derived_rates, rate_queries
 
-_RATES: dict = {}
-
 
 def rates_for(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _RATES:
-        listings, _ = cleaned(spark, sf_dir)
-        _RATES[key] = materialize(derived_rates(listings))
-    return _RATES[key]
+    return memo(spark, sf_dir, "rates", lambda: materialize(derived_rates(cleaned(spark, sf_dir)[0])))
 
 
 RATES_SQL = O.CLEAN_LISTINGS + """,
