@@ -83,7 +83,8 @@ class Query:
             dot += np.bitwise_count(code & plane).sum(1) * float(1 << j)
         root = np.sqrt(bits)
         est = (2 * (self.step * dot + self.low * ones) - self.total) / root / fit
-        err = np.sqrt(np.maximum(1 - fit * fit, 0)) / fit * EPSILON / np.sqrt(bits - 1) + self.step / root * 2
+        # of the code, and of the rounded query (a component's error is below a step, its deviation below half of one)
+        err = (np.sqrt(np.maximum(1 - fit * fit, 0)) / np.sqrt(bits - 1) + self.step / 2) / fit * EPSILON
         both = r * r + self.norm**2
         return both - 2 * r * self.norm * est, both - 2 * r * self.norm * (est + err)
 
