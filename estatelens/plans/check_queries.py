@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 from estatelens.functions import columns as fn
 from estatelens.operators.contract import AREA_TO_SQFT, PRICE_TO_CRORE
 from estatelens.operators.encoders import fit_encoders
-from estatelens.operators.evaluate import serving_decision
+from estatelens.operators.evaluate import PREDICTORS, regression_metrics, residual_band, serving_decision
+from estatelens.operators.features import unknown_furnishing_labels
 from estatelens.operators.ingest import ingest_listings, map_and_convert
 from estatelens.operators.rates import rate_sheet
 from estatelens.operators.reports import correlations, histogram, skew_corrected
-from estatelens.operators.serving import missing_signals, serving_reason
+from estatelens.operators.serving import missing_signals, report_completeness, serving_reason, status_rollup
 from estatelens.plans import oracle as O
 from estatelens.plans.common import cleaned, oof_rules, round_floats
 from estatelens.plans.ingest_queries import INGEST_SQL, TEST_CONTRACT, contract_feed
 from estatelens.plans.rate_queries import RATES_AS_OF, RATES_LAST_UPDATED, RATES_SQL, rates_for
 from estatelens.plans.registry import register
 from estatelens.plans.report_queries import _OOF_RES
+from estatelens.plans.valuation_queries import VQ_SQL, queries_batch
 
 BINS = 48
 
@@ -199,3 +201,46 @@ FROM rates"""))
 def q_rate_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RPT-6: every rate row with the table's date and the staleness threshold."""
     return round_floats(rate_sheet(rates_for(spark, sf_dir), RATES_LAST_UPDATED, RATES_AS_OF))
+
+
+@register("city_status_rollup", f"""
+WITH e AS ({_ERRORS_SQL}),
+d AS (SELECT city_key, CASE WHEN NOT least(model_mape, baseline_mape) < 30 THEN 'not_served'
+                            WHEN model_mape < baseline_mape THEN 'model' ELSE 'baseline' END AS serving_status
+      FROM e JOIN nation ON n_name = city_key WHERE n_nationkey % 5 <> 0),
+r AS (SELECT n_name AS city_key FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT r_name FROM region),
+c AS (SELECT n_name AS city_key FROM nation UNION SELECT city_key FROM r)
+SELECT c.city_key, CASE WHEN serving_status IN ('model', 'baseline') THEN serving_status WHEN r.city_key IS NOT NULL THEN 'rates'
+                        ELSE coalesce(serving_status, 'none') END AS status,
+       serving_status IS NOT NULL AS evaluated, r.city_key IS NOT NULL AS has_rates
+FROM c LEFT JOIN d USING (city_key) LEFT JOIN r ON r.city_key = c.city_key""")
+def q_city_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RPT-4: nations as cities, a fifth of them never evaluated, half of them with rates, regions known from rates only."""
+    from estatelens.sources.tables import read_table
+    nation = read_table(spark, sf_dir, "nation")
+    decision = q_serving_decision_branches(spark, sf_dir).join(
+        nation.where("n_nationkey % 5 != 0").select(F.col("n_name").alias("city_key")), "city_key", "left_semi")
+    rates = nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("city_key")).unionByName(
+        read_table(spark, sf_dir, "region").select(F.col("r_name").alias("city_key")))
+    return status_rollup(nation.select(F.col("n_name").alias("city_key")), decision, rates)
+
+
+@register("rule_report_completeness", O.with_ctes(O.CLEAN_LISTINGS, """
+SELECT city_key, part, part NOT IN ('metrics:model', 'metrics:model_no_society') AS present
+FROM (SELECT DISTINCT city_key FROM listings),
+     (SELECT unnest(['metrics:model', 'metrics:model_no_society', 'metrics:baseline_sector', 'metrics:baseline_global',
+                     'encoders', 'band']) AS part)"""))
+def q_rule_report_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RPT-5 for the rules' report: model rows are missing from it, everything else is there."""
+    listings, _ = cleaned(spark, sf_dir)
+    oof = oof_rules(spark, sf_dir)
+    return report_completeness(listings, PREDICTORS, regression_metrics(oof, ["baseline_sector", "baseline_global"]),
+                               {"encoders": fit_encoders(listings).sector_stats, "band": residual_band(oof, "pred_baseline_sector")})
+
+
+@register("unknown_query_furnishing", O.with_ctes(VQ_SQL, """
+SELECT DISTINCT city_key, furnishing AS furnishing_type FROM vq
+WHERE furnishing IS NOT NULL AND furnishing NOT IN ('unfurnished', 'semi-furnished', 'furnished')"""))
+def q_unknown_query_furnishing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DQ-15 on rows that do hold labels without a code: the valuation query batch."""
+    return unknown_furnishing_labels(queries_batch(spark, sf_dir).withColumnRenamed("furnishing", "furnishing_type"))

@@ -67,3 +67,10 @@ def unknown_cities(listings: DataFrame, cities: DataFrame) -> DataFrame:
 def public_listings(listings: DataFrame, cities: DataFrame) -> DataFrame:
     """SRC-7: listings of public cities only (semi join on a bounded table)."""
     return listings.join((cities.where("public").select("city_key")), "city_key", "left_semi")
+
+
+def write_metrics(metrics: DataFrame, model_name: str, path: str) -> None:
+    """SNK-3: the long metrics table of one model, keyed (city_key, model_name):
+    a city's rows of that model are replaced, all others stay."""
+    (metrics.withColumn("model_name", F.lit(model_name)).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("city_key", "model_name").parquet(path))

@@ -167,3 +167,22 @@ def test_quintiles_need_different_edges(spark):
     assert quintile_edges(df.where("city_key = 'a'"), "price").count() == 1
     with pytest.raises(Exception, match="equal quintile edges in b"):
         quintile_edges(df, "price").collect()
+
+
+def test_metrics_table_is_keyed(spark):
+    from estatelens.sources.feeds import write_metrics
+    d = tempfile.mkdtemp(prefix="estatelens-metrics-", dir="/tmp") + "/m"
+    m = lambda rows: spark.createDataFrame(rows, "city_key string, predictor string, mape_pct double")
+    write_metrics(m([("a", "model", 1.0), ("b", "model", 2.0)]), "default", d)
+    write_metrics(m([("a", "model", 3.0)]), "accurate", d)
+    write_metrics(m([("b", "model", 4.0)]), "default", d)
+    got = {(r["city_key"], r["model_name"]): r["mape_pct"] for r in spark.read.parquet(d).collect()}
+    assert got == {("a", "default"): 1.0, ("a", "accurate"): 3.0, ("b", "default"): 4.0}
+
+
+def test_model_gates_refuse_a_city_only(spark):
+    from estatelens.operators.models import model_gates
+    rows = [("good", 1.0, "furnished"), ("price", -1.0, "furnished"), ("label", 1.0, "odd"), ("label", 1.0, "furnished"), ("plain", 1.0, None)]
+    df = spark.createDataFrame(rows, "city_key string, price double, furnishing_type string")
+    assert {r["city_key"]: r["refused"] for r in model_gates(df).collect()} == {
+        "good": None, "price": "prices", "label": "furnishing", "plain": None}
