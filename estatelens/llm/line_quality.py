@@ -10,7 +10,8 @@ The field is fitted on a bounded sample of labelled documents
 (``sample_docs``, those with the smallest hash of their id): lines of good
 documents are content; lines of bad ones start as boilerplate and are decoded
 anew between rounds of fitting, so that plain lines inside them may change
-side.  Training sequences are pieces of 64 lines; decoding runs over all lines
+side.  Training sequences are pieces of 32 lines, of one document 40 at
+most; decoding runs over all lines
 of the whole text.
 
 Defined results: a null or empty text has no words and fails the base rule;
@@ -32,7 +33,8 @@ WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 MIN_CONTENT_SHARE = 0.5
-PIECE_LINES = 64
+PIECE_LINES = 32
+MOST_PIECES = 40  # of one training document
 FEATURES = ("bias", "blank", "short", "long", "symbols", "bars", "capitals", "exclaims", "dup_line", "repeats",
             "echo", "digits", "sentence_end", "first", "last")
 
@@ -173,41 +175,42 @@ def viterbi(unary: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarr
 
 
 def _posterior(u: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """State and pair marginals of padded sequences, by the forward-backward recursions."""
-    n, steps, _ = u.shape
-    f, b = np.zeros_like(u), np.zeros_like(u)
-    f[:, 0] = u[:, 0]
-    for t in range(1, steps):
-        new = np.logaddexp(f[:, t - 1, 0, None] + trans[0], f[:, t - 1, 1, None] + trans[1]) + u[:, t]
-        f[:, t] = np.where(mask[:, t, None], new, f[:, t - 1])
-    for t in range(steps - 2, -1, -1):
-        g = u[:, t + 1] + b[:, t + 1]
-        new = np.logaddexp(trans[:, 0][None] + g[:, :1], trans[:, 1][None] + g[:, 1:])
-        b[:, t] = np.where(mask[:, t + 1, None], new, 0)
-    z = np.logaddexp(f[:, -1, 0], f[:, -1, 1])
-    state = np.exp(f + b - z[:, None, None]) * mask[:, :, None]
-    pair = f[:, :-1, :, None] + trans + (u[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]
-    return state, (np.exp(np.minimum(pair, 0)) * mask[:, 1:, None, None]).sum((0, 1))
-
-
-def _fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, weights, trans, rounds: int = 120, l2: float = 1e-3):
+    """State and pair marginals of padded sequences, (step, sequence, state), by the scaled forward-backward recursions."""
+    a = np.exp(trans - trans.max())
+    psi = np.exp(u - u.max(2, keepdims=True))
+    f, b = np.empty_like(psi), np.ones_like(psi)
+    f[0] = psi[0] / psi[0].sum(1, keepdims=True)
+    for t in range(1, len(u)):
+        x = (f[t - 1] @ a) * psi[t]
+        f[t] = np.where(mask[t][:, None], x / x.sum(1, keepdims=True), f[t - 1])
+    for t in range(len(u) - 2, -1, -1):
+        x = (psi[t + 1] * b[t + 1]) @ a.T
+        b[t] = np.where(mask[t + 1][:, None], x / x.sum(1, keepdims=True), 1)
+    state = f * b
+    state *= (mask / state.sum(2))[:, :, None]
+    pair = f[:-1][:, :, :, None] * a * (psi[1:] * b[1:])[:, :, None, :]
+    return state, (pair * (mask[1:] / pair.sum((2, 3)))[:, :, None, None]).sum((0, 1))
+
+
+def _fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, weights, trans, rounds: int, l2: float = 1e-3):
     """Maximum likelihood by Adam; weights are of state 1 against state 0."""
     index, mask = _pad(x, first)
-    xs, ys = x[index], y[index]
+    index, mask = index.T, mask.T
+    xs, ys = x[index] * mask[:, :, None], y[index]
     n = mask.sum()
-    pairs = mask[:, 1:]
+    pairs = mask[1:]
     seen = np.zeros((2, 2))
-    np.add.at(seen, (ys[:, :-1][pairs], ys[:, 1:][pairs]), 1)
+    np.add.at(seen, (ys[:-1][pairs], ys[1:][pairs]), 1)
     target = (x * (y == 1)[:, None]).sum(0)
     theta = np.concatenate([weights, trans.ravel()])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
+    flat = xs.reshape(-1, x.shape[1])
+    u = np.zeros((*mask.shape, 2))
     for step in range(1, rounds + 1):
         w, a = theta[:len(weights)], theta[len(weights):].reshape(2, 2)
-        u = np.zeros((*mask.shape, 2))
         u[:, :, 1] = xs @ w
-        u *= mask[:, :, None]
         state, pair = _posterior(u, a, mask)
-        grad = np.concatenate([(xs * state[:, :, 1:]).sum((0, 1)) - target, (pair - seen).ravel()]) / n + l2 * theta
+        grad = np.concatenate([state[:, :, 1].ravel() @ flat - target, (pair - seen).ravel()]) / n + l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return theta[:len(weights)], theta[len(weights):].reshape(2, 2)
@@ -244,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000) -> dict:
         return neutral()
     xs, bad, first = [], [], [0]
     for q, packed in rows:
-        x = np.frombuffer(packed, np.float32).reshape(-1, len(FEATURES))[:40 * PIECE_LINES]
+        x = np.frombuffer(packed, np.float32).reshape(-1, len(FEATURES))[:MOST_PIECES * PIECE_LINES]
         for lo in range(0, len(x), PIECE_LINES):
             xs.append(x[lo:lo + PIECE_LINES])
             bad.append(q == 0)
@@ -253,8 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000) -> dict:
     bad = np.repeat(np.array(bad), np.diff(first))
     y = bad.astype(np.int8)
     w, a = np.zeros(len(FEATURES)), np.zeros((2, 2))
-    for _ in range(3):
-        w, a = _fit(x, first, y, w, a)
+    for rounds in (100, 50, 50):  # the later fits start from the one before
+        w, a = _fit(x, first, y, w, a, rounds)
         u = np.zeros((len(x), 2))
         u[:, 1] = x @ w
         y = np.where(bad, viterbi(u, a, first), 0).astype(np.int8)
