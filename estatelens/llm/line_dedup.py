@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.llm import words as W
+from estatelens.llm.frames import plain_names
 from estatelens.session import materialize
 
 MIN_WORDS = 50
@@ -137,7 +138,7 @@ def row_key() -> F.Column:
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, lo, hi): runs of lines [lo, hi) of the text of ``row`` that repeat earlier lines; runs may overlap."""
-    lines = materialize(docs.withColumn("row", row_key()).select("row", "text").mapInArrow(
+    lines = materialize(docs.select("doc_id", "text").withColumn("row", row_key()).select("row", "text").mapInArrow(
         _lines(min_words), "row string, lines binary, marks array<struct<line:long,stop:long,ctx:long,pick:long,print:long>>")
         .dropDuplicates(["row"]))
     marks = lines.select("row", F.inline("marks"))
@@ -181,18 +182,11 @@ def _cut(runs_column: str, columns: list[str]):
     return run
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """``name``, with as many underscores in front as the frame's columns ask for."""
-    while name.lower() in (c.lower() for c in docs.columns):
-        name = "_" + name
-    return name
-
-
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later repeated runs cut out of ``text``, and ``n_lines_removed`` (a column of that name is replaced)."""
     docs = docs.drop("n_lines_removed")
-    row, runs = _free(docs, "row"), _free(docs, "runs")
-    found = repeated_runs(docs.select("doc_id", "text"), min_words).groupBy(F.col("row").alias(row)).agg(
-        F.collect_list(F.struct("lo", "hi")).alias(runs))
-    both = docs.withColumn(row, row_key()).join(found, row, "left").drop(row)
-    return both.mapInArrow(_cut(runs, docs.columns), docs.withColumn("n_lines_removed", F.lit(0)).schema)
+    plain = plain_names(docs)
+    runs = repeated_runs(docs, min_words).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    both = plain.withColumn("row", row_key()).join(runs, "row", "left").drop("row")
+    cut = both.mapInArrow(_cut("runs", plain.columns), plain.withColumn("n_lines_removed", F.lit(0)).schema)
+    return cut.toDF(*docs.columns, "n_lines_removed")

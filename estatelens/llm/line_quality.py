@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.llm import words as W
+from estatelens.llm.frames import plain_names
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -303,10 +304,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were."""
-    fields = docs.schema
+    plain = plain_names(docs)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(verdicts(batch.column("text"), model)["kept"]))
-    return docs.mapInArrow(run, fields)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -64,3 +64,23 @@ def test_empty_table(spark):
     for _, stage in P.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    """Nulls anywhere, empty and long texts, repeated rows, and columns named like those the stages use."""
+    names = ["row", "runs", "kept", "size", "start", "passes", "key", "n", "rep", "component_id", "no", "lo", "found", "mix_size", "x.y"]
+    words = [f"w{i}" for i in range(50)]
+    long = " ".join(words[(i * i) % 50] + str(i) for i in range(20_000))
+    texts = [None, "", " \n ", "few words", long, long, long + " end", " ".join(words), " ".join(words[1:]) + " z",
+             "head line of this text\n" + "\n".join(" ".join(words[i:] + words[:i]) for i in range(4))]
+    rows = [(None if i == 7 else i, t, "en" if i % 2 else None, None if i % 3 == 0 else f"s{i % 2}", None if i == 4 else 1, *["q"] * len(names))
+            for i, t in enumerate(texts)]
+    rows += rows[4:5]  # a row that stands twice
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in P.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF))
+        assert [f.simpleString() for f in docs.schema] == [f.simpleString() for f in spark.createDataFrame([], schema).schema]
+        assert docs.count() > 0 and all(r["row"] == "q" and r["x.y"] == "q" for r in docs.collect())
+    packed = P.packing(spark, docs, SF).collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
