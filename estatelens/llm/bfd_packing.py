@@ -112,54 +112,62 @@ def plan(count: dict[int, int], window: int = WINDOW) -> tuple[dict[int, list[tu
 # ---- token ids ----
 
 _PLAIN = re.compile(r"[^\x09\x0A\x0D\x20-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]")
+_TWO_SIGNS = re.compile(r"[^\sa-z0-9\xDF-\xF6\xF8-\xFF]{2}")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^\sa-z0-9\xDF-\xF6\xF8-\xFF]+")
 
 
 class TokenBytes:
     """Token ids of texts as little-endian 32-bit bytes, each distinct word once.
 
-    The vocabulary drops white space and ends every word part with a marked
-    token, so the ids of a text are the ids of its white-space-separated words
+    The vocabulary is lower case, drops white space and ends every word part with
+    a marked token, so the ids of a text are the ids of its white-space-separated words
     in order.  That holds for texts of plain and Latin-1 letters without the
     special tokens' marks; any other text goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.most, self.word, self.part = most, {}, {}
+        self.most, self.word = most, {}
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _ask(self, parts: list[str]) -> None:
         for lo in range(0, len(parts), 4096):
             some = parts[lo:lo + 4096]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
             if len(cut) != len(some) + 1 or cut[-1] != len(ids):  # a part that is not one: ask for each
                 for p in some:
-                    self.part[p] = np.array(self.tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                    self.word[p] = np.array(self.tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
                 continue
-            raw = ids.astype("<u4").tobytes()
-            at = (cut * 4).tolist()
-            self.part.update(zip(some, (raw[a:b] for a, b in zip(at, at[1:]))))
+            raw, at = ids.tobytes(), (cut * 4).tolist()
+            self.word.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:])]))
 
     def _learn(self, words: set[str]) -> None:
         if len(self.word) + len(words) > self.most:
             self.word.clear()
-        if len(self.part) > self.most:
-            self.part.clear()
-        split = {w: _PARTS.findall(w.lower()) for w in words}
-        new = {p for parts in split.values() for p in parts} - self.part.keys()
-        self._learn_parts(sorted(new))
-        get = self.part.__getitem__
-        for w, parts in split.items():
-            self.word[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+        mixed = {w: _PARTS.findall(w) for w in words if not w.isalpha()}
+        parts = {p for found in mixed.values() for p in found}
+        parts.update(words)
+        parts.difference_update(w for w, found in mixed.items() if len(found) > 1)
+        self._ask([p for p in parts if p not in self.word])
+        get = self.word.__getitem__
+        for w, found in mixed.items():
+            if len(found) > 1:
+                self.word[w] = b"".join(map(get, found))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not _PLAIN.search(t) and "<|" not in t for t in texts]
-        split = [t.split() if ok else None for t, ok in zip(texts, plain)]
+        split: list[list[str] | None] = []
+        for t in texts:
+            if _PLAIN.search(t) or "<|" in t:
+                split.append(None)
+                continue
+            t = t.lower()
+            if not _TWO_SIGNS.search(t):  # a stop that stands alone is a part of its own: fewer distinct words
+                t = t.replace(".", " .").replace(",", " ,")
+            split.append(t.split())
         new: set[str] = set()
         for s in split:
             if s:
@@ -177,20 +185,11 @@ class TokenBytes:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long"
 
 
-_coders: dict[str, TokenBytes] = {}  # one a worker process, so that its words serve the next task
-
-
-def _coder(path: str) -> TokenBytes:
-    if path not in _coders:
-        _coders[path] = TokenBytes(path)
-    return _coders[path]
-
-
 def _pieces(path: str, window: int, with_ids: bool):
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        coder, part = _coder(path), TaskContext.get().partitionId()
+        coder, part = TokenBytes(path), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
