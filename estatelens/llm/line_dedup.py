@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,23 +163,22 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def _cut(runs_column: str, columns: list[str]):
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            gone = []
+            text = batch.column("text")
+            mask, new, gone = np.zeros(len(text), bool), [], np.zeros(len(text), np.int32)
             for i, runs in enumerate(batch.column(runs_column).to_pylist()):
-                n = 0
-                if runs and texts[i] is not None:
-                    parts = texts[i].split("\n")
-                    keep = np.ones(len(parts), bool)
-                    for r in runs:
-                        keep[r["lo"]:r["hi"]] = False
-                    n = len(parts) - int(keep.sum())
-                    left = [p for p, k in zip(parts, keep) if k]
-                    texts[i] = "\n".join(left) if any(p.strip(" \t\v\f\r") for p in left) else ""
-                gone.append(n)
-            out = batch.select(columns)
-            at = columns.index("text")
-            out = out.set_column(at, batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
-            yield out.append_column("n_lines_removed", pa.array(gone, pa.int32()))
+                if not runs or not text[i].is_valid:
+                    continue
+                parts = text[i].as_py().split("\n")
+                keep = np.ones(len(parts), bool)
+                for r in runs:
+                    keep[r["lo"]:r["hi"]] = False
+                left = [p for p, k in zip(parts, keep) if k]
+                new.append("\n".join(left) if any(p.strip(" \t\v\f\r") for p in left) else "")
+                mask[i], gone[i] = True, len(parts) - len(left)
+            # texts without a run stay in the buffer they came in
+            text = pc.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
+            out = batch.select(columns).set_column(columns.index("text"), batch.schema.field("text"), text)
+            yield out.append_column("n_lines_removed", pa.array(gone))
     return run
 
 
