@@ -42,6 +42,7 @@ SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 128
 SHARD_BLOCKS = 4_096
+SLOTS_PER_TASK = 100_000
 SEED = 20
 
 
@@ -185,7 +186,9 @@ class Mix:
                     yield pd.DataFrame({"no": src.astype(np.int32), "block": permute(index, size, key), "epoch": epoch.astype(np.int32),
                                         "shard": shard})
 
-        return ends.mapInPandas(spread, "no int, block long, epoch int, shard long")
+        # a shard's few counts become thousands of slots: dealt by the number of slots, not by the size of the counts
+        parts = max(1, -(-total // SLOTS_PER_TASK))
+        return ends.repartition(parts, "shard").mapInPandas(spread, "no int, block long, epoch int, shard long")
 
     def pieces(self) -> DataFrame:
         """(no, start, doc_id, block, lo, hi): words [lo, hi) of a row's text that lie in a block."""
@@ -199,7 +202,8 @@ class Mix:
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken) of every row."""
         times = self.takes.groupBy("no", "block").agg(F.count("*").alias("times"))
-        got = self.pieces().join(times, ["no", "block"]).groupBy("no", "start").agg(
+        # (a merge join is asked for: what made the slots looks small to the planner, which would broadcast them)
+        got = self.pieces().join(times.hint("merge"), ["no", "block"]).groupBy("no", "start").agg(
             F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
         size = F.element_at(F.array(*[F.lit(int(self.sizes[s])) for s in self.sources]), F.col("no") + 1)
         target = F.element_at(F.array(*[F.lit(float(t)) for t in self.targets.values()]), F.col("no") + 1)
@@ -219,7 +223,7 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> Da
     ``n_chars``, if there, its length.  A whole text comes as it is.
     """
     m = Mix(docs, seed, block_words)
-    got = m.pieces().join(m.takes.select("no", "block", "epoch"), ["no", "block"])
+    got = m.pieces().join(m.takes.select("no", "block", "epoch").hint("merge"), ["no", "block"])
     runs = got.groupBy("no", "start", "doc_id", "source", "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
     taken = runs.groupBy("no", "start", "doc_id", "source", "size").agg(F.collect_list("runs").alias("passes"))  # two at most
     # rows with one id are told apart by size; rows alike in both may stand for each other
@@ -229,12 +233,12 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> Da
     places = places.withColumn("mix_row", F.row_number().over(by)).where("mix_size > 0")
     same = [places["doc_id"].eqNullSafe(taken["doc_id"]), places["start"] == taken["start"],
             places["mix_source"].eqNullSafe(taken["mix_source"]), places["mix_size"] == taken["mix_size"]]
-    plan = places.join(taken, same).select(places["doc_id"].alias("mix_doc"), "mix_row", "passes")
+    plan = places.join(taken.hint("merge"), same).select(places["doc_id"].alias("mix_doc"), "mix_row", "passes")
     fields = docs.schema
     sized = docs.mapInArrow(_with_size, _plus(fields, "mix_size"))
     text_by = Window.partitionBy("doc_id").orderBy(F.col("source"), F.col("mix_size"))
     sized = sized.withColumn("mix_row", F.row_number().over(text_by))
-    both = sized.join(plan, [sized["doc_id"].eqNullSafe(plan["mix_doc"]), sized["mix_row"] == plan["mix_row"]])
+    both = sized.join(plan.hint("merge"), [sized["doc_id"].eqNullSafe(plan["mix_doc"]), sized["mix_row"] == plan["mix_row"]])
     return both.select(*[sized[c] for c in docs.columns], "passes").mapInArrow(_stretches(docs.columns), fields)
 
 
