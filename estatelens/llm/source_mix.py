@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatelens.llm import words as W
+from estatelens.llm.frames import plain_names
 from estatelens.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -77,7 +78,7 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int =
         x, h, m, k = out[todo], half[todo], mask[todo], key[todo]
         left, right = x >> h, x & m
         for r in range(rounds):
-            left, right = right, left ^ (W.mix(right + k + np.uint64(r) * np.uint64(0x9E3779B97F4A7C15)) & m)
+            left, right = right, left ^ (W.mix(right + k + np.uint64(r * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) & m)
         out[todo] = (left << h) | right
         todo = todo[out[todo] >= size[todo].astype(np.uint64)]
     return out.astype(np.int64)
@@ -220,26 +221,28 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> Da
     """The mix as documents: one row for each unbroken stretch of a text taken in one pass, columns as in ``docs``.
 
     ``text`` is the stretch, from its first to its last word as it stands, and
-    ``n_chars``, if there, its length.  A whole text comes as it is.
+    ``n_chars``, if there, its length.  A whole text comes as it is.  Other
+    columns are passed on.
     """
+    names, docs = docs.columns, plain_names(docs)
     m = Mix(docs, seed, block_words)
     got = m.pieces().join(m.takes.select("no", "block", "epoch").hint("merge"), ["no", "block"])
     runs = got.groupBy("no", "start", "doc_id", "source", "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
     taken = runs.groupBy("no", "start", "doc_id", "source", "size").agg(F.collect_list("runs").alias("passes"))  # two at most
     # rows with one id are told apart by size; rows alike in both may stand for each other
-    taken = taken.select("doc_id", F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "start", "passes")
-    by = Window.partitionBy("doc_id").orderBy(F.col("mix_source"), F.col("mix_size"), F.col("start"))
-    places = m.placed.select("doc_id", F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "start")
-    places = places.withColumn("mix_row", F.row_number().over(by)).where("mix_size > 0")
+    taken = taken.select("doc_id", F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), "start", "passes")
+    by = Window.partitionBy("doc_id").orderBy(F.col("_mix_source"), F.col("_mix_size"), F.col("start"))
+    places = m.placed.select("doc_id", F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), "start")
+    places = places.withColumn("_mix_row", F.row_number().over(by)).where("_mix_size > 0")
     same = [places["doc_id"].eqNullSafe(taken["doc_id"]), places["start"] == taken["start"],
-            places["mix_source"].eqNullSafe(taken["mix_source"]), places["mix_size"] == taken["mix_size"]]
-    plan = places.join(taken.hint("merge"), same).select(places["doc_id"].alias("mix_doc"), "mix_row", "passes")
+            places["_mix_source"].eqNullSafe(taken["_mix_source"]), places["_mix_size"] == taken["_mix_size"]]
+    plan = places.join(taken.hint("merge"), same).select(places["doc_id"].alias("_mix_doc"), "_mix_row", F.col("passes").alias("_mix_passes"))
     fields = docs.schema
-    sized = docs.mapInArrow(_with_size, _plus(fields, "mix_size"))
-    text_by = Window.partitionBy("doc_id").orderBy(F.col("source"), F.col("mix_size"))
-    sized = sized.withColumn("mix_row", F.row_number().over(text_by))
-    both = sized.join(plan.hint("merge"), [sized["doc_id"].eqNullSafe(plan["mix_doc"]), sized["mix_row"] == plan["mix_row"]])
-    return both.select(*[sized[c] for c in docs.columns], "passes").mapInArrow(_stretches(docs.columns), fields)
+    sized = docs.mapInArrow(_with_size, _plus(fields, "_mix_size"))
+    text_by = Window.partitionBy("doc_id").orderBy(F.col("source"), F.col("_mix_size"))
+    sized = sized.withColumn("_mix_row", F.row_number().over(text_by))
+    both = sized.join(plan.hint("merge"), [sized["doc_id"].eqNullSafe(plan["_mix_doc"]), sized["_mix_row"] == plan["_mix_row"]])
+    return both.select(*docs.columns, "_mix_passes").mapInArrow(_stretches(docs.columns), fields).toDF(*names)
 
 
 def _plus(fields, name: str):
@@ -250,13 +253,13 @@ def _plus(fields, name: str):
 def _with_size(batches):
     for batch in batches:
         n = [np.diff(c.words()[2]) for c in W.chunks(batch.column("text"))]
-        yield batch.append_column("mix_size", pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64()))
+        yield batch.append_column("_mix_size", pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64()))
 
 
 def _stretches(columns: list[str]):
     def run(batches):
         for batch in batches:
-            passes, rows, texts = batch.column("passes").to_pylist(), [], []
+            passes, rows, texts = batch.column("_mix_passes").to_pylist(), [], []
             for chunk in W.chunks(batch.column("text")):
                 start, end, first = chunk.words()
                 for i in range(len(chunk)):
