@@ -57,8 +57,8 @@ def q_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_line_winnowing")
 def q_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from estatelens.llm.line_dedup import dedup_lines
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_removed")
+    from estatelens.llm.line_dedup import dedup_passages
+    return dedup_passages(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_removed")
 
 
 @query("op3_mincut_html")

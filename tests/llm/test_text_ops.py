@@ -11,7 +11,7 @@ import brute
 from estatelens.llm import line_quality, secret_ledger
 from estatelens.llm import words as W
 from estatelens.llm.jaccard_join import jaccard_components
-from estatelens.llm.line_dedup import dedup_lines
+from estatelens.llm.line_dedup import dedup_lines, dedup_passages
 from estatelens.session import ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
@@ -192,3 +192,39 @@ def test_words_match_pattern():
                 assert [chunk.data[x:y].tobytes().decode() for x, y in zip(b[lf[i]:lf[i + 1]], stop[lf[i]:lf[i + 1]])] == t.split("\n")
                 at += 1
         assert at == len(texts)
+
+
+def test_passage_inside_lines(spark):
+    """55 equal words that begin and end inside lines of unlike texts are cut from the later ones, all else stays."""
+    p = [f"p{i}" for i in range(55)]
+    rows = [(1, "one two " + " ".join(p) + " three\nfour"), (2, "five  six " + "\t".join(p) + " seven  eight\nnine"),
+            (3, "ten " + " ".join(p[:20]) + "\n\n" + " ".join(p[20:40]) + "\n" + " ".join(p[40:]) + " eleven\n twelve"),
+            (4, "start " + " ".join(p[:49])), (5, "é ü ß " * 30), (6, "end " + " ".join(p)), (7, None), (8, "")]
+    got = {r["doc_id"]: (r["text"], r["n_lines_removed"], r["n_words_cut"])
+           for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {d: (t, 0, 0) for d, t in rows} | {2: ("five  six seven  eight\nnine", 0, 55), 3: ("ten\neleven\n twelve", 2, 55), 6: ("end", 0, 55)}
+    assert got == want
+
+
+def test_no_passage_left_twice(spark):
+    """After the cut no 50 words in a row stand in two documents, and every word run cut is still held by an earlier one."""
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rng = random.Random(4)
+    for i in range(40):
+        w = (rows[i][1] or "").split()
+        at = rng.randrange(max(1, len(w) - 70))
+        rows.append((10_000 + i, " ".join([f"a{i}_{j}" for j in range(30)] + w[at:at + 70] + [f"z{i}_{j}" for j in range(30)])))
+    cut = [(r["doc_id"], r["text"]) for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+
+    def windows(pairs):
+        seen = {}
+        for d, t in sorted(pairs):
+            w = brute.WORD.findall(t or "")
+            for i in range(len(w) - 49):
+                seen.setdefault(tuple(w[i:i + 50]), set()).add(d)
+        return seen
+
+    assert sum(len(x) > 1 for x in windows(rows).values()) > 500
+    assert all(len(x) == 1 for x in windows(cut).values())
+    words = lambda pairs: {w for _, t in pairs for w in brute.WORD.findall(t or "")}
+    assert words(cut) == words(rows)
