@@ -224,6 +224,15 @@ def neutral() -> dict:
     return {"weights": w.tolist(), "trans": [[0.0, 0.0], [0.0, 0.0]]}
 
 
+def _sampled(x: np.ndarray) -> np.ndarray:
+    """At most ``MOST_PIECES`` pieces of the lines of one text, chosen over the whole text by a hash of their place."""
+    pieces = -(-len(x) // PIECE_LINES)
+    if pieces <= MOST_PIECES:
+        return x
+    chosen = np.sort(np.argsort(W.mix(np.arange(1, pieces + 1, dtype=np.uint64)), kind="stable")[:MOST_PIECES])
+    return np.concatenate([x[p * PIECE_LINES:(p + 1) * PIECE_LINES] for p in chosen.tolist()])
+
+
 def _line_features(batches):
     for batch in batches:
         quality = batch.column("quality").to_pylist()
@@ -231,7 +240,7 @@ def _line_features(batches):
             _, x, _, first = analyse(chunk)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(quality[chunk.lo:chunk.hi], pa.int64()),
-                 pa.array([x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["quality", "x"])
+                 pa.array([_sampled(x[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["quality", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000) -> dict:
@@ -248,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000) -> dict:
         return neutral()
     xs, bad, first = [], [], [0]
     for q, packed in rows:
-        x = np.frombuffer(packed, np.float32).reshape(-1, len(FEATURES))[:MOST_PIECES * PIECE_LINES]
+        x = np.frombuffer(packed, np.float32).reshape(-1, len(FEATURES))
         for lo in range(0, len(x), PIECE_LINES):
             xs.append(x[lo:lo + PIECE_LINES])
             bad.append(q == 0)

@@ -228,3 +228,14 @@ def test_no_passage_left_twice(spark):
     assert all(len(x) == 1 for x in windows(cut).values())
     words = lambda pairs: {w for _, t in pairs for w in brute.WORD.findall(t or "")}
     assert words(cut) == words(rows)
+
+
+def test_quality_sample_covers_long_texts():
+    """A long labelled text gives pieces of all its lines, and no more of them than the bound before they leave the task."""
+    most = line_quality.MOST_PIECES * line_quality.PIECE_LINES
+    lines = ["Plain words of a sentence."] * (2 * most) + ["| CLICK ! | $$$ 99 |"] * (2 * most)
+    batch = pa.RecordBatch.from_pydict({"quality": [0], "text": ["\n".join(lines)]})
+    got = next(iter(line_quality._line_features([batch]))).column("x")[0].as_py()
+    x = np.frombuffer(got, np.float32).reshape(-1, len(line_quality.FEATURES))
+    assert len(x) == most
+    assert most // 4 < (x[:, line_quality.FEATURES.index("bars")] > 0).sum() < most * 3 // 4
