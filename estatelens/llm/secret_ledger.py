@@ -123,9 +123,10 @@ def scan(docs: DataFrame, ledger: str, versions: dict[str, int] = VERSIONS) -> D
             .where("size(rules) > 0").select("blob", "text", "rules"))
     todo.mapInArrow(_scan, f"blob string, rules array<string>, spans {SPANS}").write.mode("append").parquet(ledger)
 
-    wanted = spark.read.parquet(ledger).select("blob", F.explode("spans").alias("s"))
-    current = F.array(*[F.lit(k) for k in versions])
-    wanted = wanted.where(F.array_contains(current, F.col("s.kind"))).groupBy("blob").agg(
+    wanted = spark.read.parquet(ledger).select("blob", "rules", F.explode("spans").alias("s"))
+    # a ledger row names the versions that found its spans: only those of the current ones count
+    current = F.create_map(*[F.lit(x) for k, v in versions.items() for x in (k, f"{k}@{v}")])
+    wanted = wanted.where(F.array_contains("rules", current[F.col("s.kind")])).groupBy("blob").agg(
         F.array_sort(F.collect_set("s")).alias("spans"))  # the spans of one text
     return held.select("doc_id", "blob").join(wanted, "blob", "left").select(
         "doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
