@@ -19,11 +19,15 @@ clusters no partition of space can leave out rows and keep the recall.
 
 Vectors that are null, all zero, or hold a null or non-finite component take no
 part; vectors of different length never meet; ties go to the smaller id; of
-repeated ids each row counts; an empty table gives an empty table.
+repeated ids each row counts; a query row that stands twice is one query, and
+different vectors under one query id are ranked each for itself; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -118,7 +122,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
     """(query_id, rank, vec_id, score): the ``k`` nearest of ``vectors`` to each of ``queries``, both (vec_id, embedding)."""
     schema = "vec_id long, dim int, vec binary"
     rows = vectors.select("vec_id", "embedding").mapInArrow(_valid, schema)
-    asked = queries.select("vec_id", "embedding").mapInArrow(_valid, schema)
+    asked = queries.select("vec_id", "embedding").mapInArrow(_valid, schema).distinct()
     centre = centres(rows)
     n, m = rows.count(), asked.count()
     blocks, parts = max(1, -(-n // BLOCK_ROWS)), max(1, -(-m // QUERY_ROWS))
@@ -164,10 +168,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
                 at = np.flatnonzero((low <= limit * (1 + 1e-9)) & ~own)
                 dist = exact(at)
                 best = at[o := np.lexsort((ids[at], dist))[:k]]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[best], "score": dist[o]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype=np.int64), "vec_id": pd.Series(dtype=np.int64),
+                key = int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True)
+                out.append(pd.DataFrame({"query_id": qid, "query": key, "vec_id": ids[best], "score": dist[o]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype=np.int64), "query": pd.Series(dtype=np.int64), "vec_id": pd.Series(dtype=np.int64),
                                                          "score": pd.Series(dtype=np.float64)})
 
-    found = both.groupBy("dim", "block", "part").applyInPandas(search, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")  # k rows a block for each query
+    found = both.groupBy("dim", "block", "part").applyInPandas(search, "query_id long, query long, vec_id long, score double")
+    w = Window.partitionBy("query_id", "query").orderBy("score", "vec_id")  # k rows a block for each query
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

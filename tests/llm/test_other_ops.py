@@ -61,6 +61,22 @@ def test_nearest_odd_vectors(spark):
 
 # ---- mixing ----
 
+def test_nearest_repeated_queries(spark):
+    """A query that stands twice has its ten neighbours once; two vectors under one query id have ten each."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 60)]
+    asked = [(100, rows[0][1]), (100, rows[0][1]), (200, rows[1][1]), (200, rows[2][1])]
+    schema = "vec_id long, embedding array<double>"
+    got = nearest(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema)).collect()
+
+    def want(q):
+        return sorted(rows, key=lambda r: (np.sqrt(((np.array(r[1]) - q) ** 2).sum()), r[0]))[:10]
+
+    for qid, vectors in ((100, [rows[0][1]]), (200, [rows[1][1], rows[2][1]])):
+        found = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == qid)
+        assert found == sorted((n, r[0]) for v in vectors for n, r in enumerate(want(np.array(v)), 1))
+
+
 def test_targets():
     t = source_mix.targets({"a": 100, "b": 100, "c": 100, None: 100})
     # shares 5:2:1:5 of 600; a and the null source stop at 200, the rest is shared 2:1
