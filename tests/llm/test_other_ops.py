@@ -241,6 +241,18 @@ def test_toxicity_held_out(spark):
     assert rows.score.between(0, 1).all()
 
 
+def test_toxicity_candidates_do_not_cut_the_choice(spark, monkeypatch):
+    """Common words fill a short list of candidates; rarer ones that only toxic rows hold are chosen all the same."""
+    rows = [(i, "common words stand all over" + (" vile" if i % 4 == 0 else "") + (" nasty" if i % 8 == 0 else "")) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    want = fair_toxicity.fit(docs, labels, features=2)["vocabulary"]
+    monkeypatch.setattr(fair_toxicity, "CANDIDATES", 3)
+    got = fair_toxicity.fit(docs, labels, features=2)["vocabulary"]
+    assert np.array([fair_toxicity.word_hash("vile")], np.int64).view(np.uint64)[0] in got
+    assert got.tolist() == want.tolist()
+
+
 def test_toxicity_odd_rows(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
