@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from estatelens.llm.oracle import PHRASES_SQL
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -86,6 +88,12 @@ def q_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.score(docs, T.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op13_phrase_automata", PHRASES_SQL)
+def q_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estatelens.llm.phrase_automata import dedup_phrases
+    return dedup_phrases(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The public vocabulary that the packing query uses."""
     import public_tokenizers
