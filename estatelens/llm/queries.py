@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estatelens.llm.oracle import PHRASES_SQL
+from estatelens.llm.oracle import PHRASES_SQL, SEARCH_SQL, SPELLING_SQL
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -88,6 +88,18 @@ def q_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.score(docs, T.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op11_bloom_spelling", SPELLING_SQL)
+def q_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estatelens.llm.spelling_groups import group_spellings
+    return group_spellings(table(spark, sf_dir, "documents"), seeded_typos=True)
+
+
+@query("op12_block_max_search", SEARCH_SQL)
+def q_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estatelens.llm.lexical_search import build_index, search
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_phrase_automata", PHRASES_SQL)
 def q_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estatelens.llm.phrase_automata import dedup_phrases
