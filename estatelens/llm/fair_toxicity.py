@@ -12,10 +12,9 @@ with copies in which the term is swapped for others of its group, and squared
 changes of the score are penalised.  So a group's name gains no weight of its
 own, and neutral mentions of a group are not marked.
 
-Frequencies are counted over all training rows: first of every token in toxic
-rows, then, for the ``CANDIDATES`` most frequent of those, in all rows; four times
-as many are taken as long as one left out could be among the chosen.  The fit
-runs on a bounded sample of rows (``SAMPLE_DOCS``, all if fewer).
+Frequencies of every token are counted over all training rows, in one aggregate.
+The fit runs on a bounded sample of distinct rows (``SAMPLE_DOCS``, all if fewer),
+chosen by a hash of id and text.
 
 Learning skips rows whose crc32(doc_id as text) mod 4 is 2.  Null and empty
 texts have no words and get the score of the intercept; without toxic and other
@@ -38,7 +37,7 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 PREFIXES = (4, 6)
 DENSITY = 200
-CANDIDATES = 50_000
+HELD_TOKENS = 1_000_000
 FEATURES = 400
 SAMPLE_DOCS = 40_000
 COUNTERFACTUAL = 5.0
@@ -106,48 +105,42 @@ class Lookup:
         return which[ok], at[ok]
 
 
-def _frequencies(vocabulary: np.ndarray | None):
-    """Document frequencies (token, bad, n) of a task; of every token, or of a vocabulary."""
-    def run(batches):
-        look = Lookup(vocabulary) if vocabulary is not None else None
-        bad = np.zeros(0 if look is None else len(vocabulary), np.int64)
-        n = bad.copy()
-        held: dict[int, int] = {}
-        for batch in batches:
-            toxic = batch.column("toxic").to_numpy()
-            for chunk in W.chunks(batch.column("text"), lower=True):
-                h, text, _ = tokens(chunk)
-                own = toxic[chunk.lo:chunk.hi]
-                if look is not None:
-                    which, at = look(h)
-                    pair = np.unique(text[which] * len(vocabulary) + at)
-                    at, text = pair % len(vocabulary), pair // len(vocabulary)
-                    n += np.bincount(at, minlength=len(n))
-                    bad += np.bincount(at, own[text], len(n)).astype(np.int64)
-                    continue
-                order = np.lexsort((text, h))
-                h, text = h[order], text[order]
-                new = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])) if len(h) else np.zeros(0, bool)
-                for token, c in zip(*(x.tolist() for x in np.unique(h[new].view(np.int64), return_counts=True))):
-                    held[token] = held.get(token, 0) + c
-                if len(held) > 500_000:
-                    c = np.fromiter(held.values(), np.int64, len(held))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(held, np.int64, len(held))), pa.array(c), pa.array(c)], _FREQ)
-                    held.clear()
-        if look is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(vocabulary.view(np.int64)), pa.array(bad), pa.array(n)], _FREQ)
-        elif held:
-            c = np.fromiter(held.values(), np.int64, len(held))
-            yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(held, np.int64, len(held))), pa.array(c), pa.array(c)], _FREQ)
-    return run
-
-
-_FREQ = ["token", "bad", "n"]
-
-
-def _count(train: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
-    return train.select("toxic", "text").mapInArrow(_frequencies(vocabulary), "token long, bad long, n long").groupBy("token").agg(
-        F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts by token, added up."""
+    token, bad, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(token, kind="stable")
+    token = token[order]
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    return token[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in (bad, n))
+
+
+def _frequencies(batches):
+    """Document frequencies of every token of a task: in toxic rows and in all; more than ``HELD_TOKENS`` go out in parts."""
+    parts, size = [], 0
+
+    def out():
+        token, bad, n = _merged(parts)
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(bad), pa.array(n)], ["token", "bad", "n"])
+
+    for batch in batches:
+        toxic = batch.column("toxic").to_numpy()
+        for chunk in W.chunks(batch.column("text"), lower=True):
+            h, text, _ = tokens(chunk)
+            order = np.lexsort((text, h))
+            h, text = h[order], text[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])) if len(h) else np.zeros(0, bool)
+            token, which, n = np.unique(h[new], return_inverse=True, return_counts=True)
+            bad = np.bincount(which, toxic[chunk.lo:chunk.hi][text[new]], len(token)).astype(np.int64)
+            parts.append((token, bad, n.astype(np.int64)))
+            size += len(token)
+            if size > 4 * HELD_TOKENS:
+                parts = [_merged(parts)]
+                size = len(parts[0][0])
+                if size > HELD_TOKENS:
+                    yield out()
+                    parts, size = [], 0
+    if parts:
+        yield out()
 
 
 def vectors(chunk: W.Chunk, look: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,23 +217,11 @@ def fit_weights(x: Sparse | np.ndarray, y: np.ndarray, groups: list[list[int]],
 
 def _choose(train: DataFrame, share: float, features: int) -> list[int]:
     """The ``features`` tokens of the greatest gain: likelihood ratio between a token's share of toxic documents and of all."""
-    often = _count(train.where("toxic = 1"), None).where("bad > 1").orderBy(F.desc("bad"), "token")
+    counts = train.select("toxic", "text").mapInArrow(_frequencies, "token long, bad long, n long").groupBy("token").agg(
+        F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     q = (F.col("bad") + share) / (F.col("n") + 1)
     gain = F.col("bad") * F.log(q / share) + (F.col("n") - F.col("bad")) * F.log((1 - q) / (1 - share))
-    most = CANDIDATES
-    while True:
-        found = often.limit(most).select("token", "bad").collect()
-        candidates = np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
-        top = (_count(train, candidates).where("n > 0").withColumn("gain", gain).where(q > share)
-               .orderBy(F.desc("gain"), "token").limit(features).select("token", "gain").collect())
-        if len(found) < most:
-            return [r[0] for r in top]
-        # a token left out has at most the last one's toxic rows, and gains most if it stands in no others
-        least = found[-1]["bad"]
-        bound = least * np.log((least + share) / (least + 1) / share)
-        if len(top) == features and top[-1]["gain"] > bound * (1 + 1e-9):
-            return [r[0] for r in top]
-        most *= 4
+    return [r["token"] for r in counts.where(q > share).select("token", gain.alias("gain")).orderBy(F.desc("gain"), "token").limit(features).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_docs: int = SAMPLE_DOCS,
@@ -262,20 +243,22 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_doc
     def featured(batches):
         look = Lookup(vocabulary)
         for batch in batches:
-            toxic = batch.column("toxic").to_pylist()
+            own = [batch.column(c) for c in ("doc_id", "key", "toxic")]
             for chunk in W.chunks(batch.column("text"), lower=True):
                 text, at, value = vectors(chunk, look)
                 order = np.argsort(text, kind="stable")
                 cut = np.searchsorted(text[order], np.arange(len(chunk) + 1))
                 at, value = at[order].astype(np.int32), value[order].astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(toxic[chunk.lo:chunk.hi], pa.int64()),
+                    [*(c[chunk.lo:chunk.hi] for c in own),
                      pa.array([at[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-                     pa.array([value[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["toxic", "at", "value"])
+                     pa.array([value[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["doc_id", "key", "toxic", "at", "value"])
 
-    ids = train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    got = (train.join(F.broadcast(ids), "doc_id").select("toxic", "text")  # bounded by sample_docs
-           .mapInArrow(featured, "toxic long, at binary, value binary").toPandas())
+    keyed = train.withColumn("key", F.xxhash64("text"))
+    picked = keyed.select("doc_id", "key").distinct().orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(sample_docs)
+    got = (keyed.join(F.broadcast(picked), ["doc_id", "key"]).select("doc_id", "key", "toxic", "text")  # bounded by sample_docs
+           .mapInArrow(featured, "doc_id long, key long, toxic long, at binary, value binary").dropDuplicates(["doc_id", "key"])
+           .select("toxic", "at", "value").toPandas())
     got = got.sort_values(["toxic", "at", "value"])  # one order whatever the partitions
     at = np.frombuffer(b"".join(got["at"]), np.int32)
     x = Sparse(np.repeat(np.arange(len(got)), [len(b) // 4 for b in got["at"]]), at.astype(np.int64),

@@ -58,7 +58,9 @@ def drop_duplicates(df: DataFrame, with_counts: bool = False) -> DataFrame:
 
     The provenance id is not a feed column: each surviving row keeps the
     smallest id of its copies, so the result does not depend on task order.
-    ``with_counts`` adds ``_copies`` (rows folded into the survivor).
+    ``with_counts`` adds ``_copies`` (rows folded into the survivor).  Rows are
+    dealt by a digest of all columns first: copies meet by it, and rows, nearly all
+    of them unique, are sorted once, after the shuffle, not before it too.
     """
     cols = [c for c in df.columns if c != ID_COL]
     aggs = [F.min(ID_COL).alias(ID_COL)] if ID_COL in df.columns else []
@@ -66,7 +68,7 @@ def drop_duplicates(df: DataFrame, with_counts: bool = False) -> DataFrame:
         aggs.append(F.count(F.lit(1)).alias("_copies"))
     if not aggs:
         return df.dropDuplicates()
-    out = df.groupBy(*cols).agg(*aggs)
+    out = df.withColumn("_digest", F.xxhash64(*cols)).repartition("_digest").groupBy("_digest", *cols).agg(*aggs)
     return out.select(*([ID_COL] if ID_COL in df.columns else []), *cols,
                       *(["_copies"] if with_counts else []))
 

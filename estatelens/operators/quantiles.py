@@ -1,22 +1,22 @@
-"""Exact grouped quantiles and ranks by one distributed sort, for every size.
+"""Exact grouped quantiles by rank selection, and ranks by one distributed sort.
 
 ``percentile`` in Spark keeps a value -> count map per group and merges it in
 a single task, so one city holding a third of all listings would put a third
-of all distinct prices into one task's memory.  Here:
-
-1. rows are reduced to ``(keys, value, count)`` with a map-side part, so a value
-   that a third of all rows share becomes one row;
-2. those rows are range-partitioned by ``(keys, value)`` and written: a group of
-   any size is spread over many partitions, and every later step reads one and
-   the same partitioning;
-3. counts per (partition, group), a table of at most ``partitions + groups``
-   rows, become running offsets; a window inside each (partition, group) adds
-   the rest, so each row knows the ranks it covers;
-4. one aggregate picks the values at ranks ``floor((n-1)p)`` and
-   ``ceil((n-1)p)``, interpolated linearly as pandas, numpy and DuckDB's
-   ``quantile_cont`` do.
-
-Ranks use the same sort on whole rows.  Nulls and NaN have no rank.  Groups
+of all distinct prices into one task's memory.  Here no value is sorted but the
+few near a wanted rank:
+
+1. one aggregate with a map-side part takes, of every group, the number of rows
+   and a bounded sketch, whose values a little below and a little above each
+   wanted rank bound an interval that holds it;
+2. a second one counts, exactly, the rows below each interval and passes on the rows
+   inside; that the interval holds the rank is checked, not assumed;
+3. those are counted by value; intervals with more than ``MOST_INSIDE`` values are cut again, between
+   sampled splitters, until every one is small, and the values at ranks
+   ``floor((n-1)p)`` and ``ceil((n-1)p)`` are picked, interpolated linearly as
+   pandas, numpy and DuckDB's ``quantile_cont`` do.
+
+The plan is the same for every size.  Ranks (``rank_within``, ``running_count``) use a
+range sort of whole rows, written once.  Nulls and NaN have no rank.  Groups
 with no value produce no row; callers left-join and fill.
 """
 
@@ -30,30 +30,24 @@ from pyspark.sql import functions as F
 from estatelens.session import materialize
 
 
+ACCURACY = 10_000        # of the sketch: ranks are within a ten-thousandth of the group
+MOST_INSIDE = 200_000    # values of an interval that are ranked in one task
+SPLITTERS = 64
+
+
 def _same(keys: Sequence[str], prefix: str) -> list[Column]:
     """NULL-safe equality of each key with its copy of another name."""
     return [F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(keys)]
 
 
-def _offsets(held: DataFrame, keys: list[str], counts: Mapping[str, Column], least: str | None = None) -> DataFrame:
-    """``held`` (with its partition in ``_pid``) plus, for each entry of
-    ``counts``, the group's total ``_n_<name>`` and the sum ``_off_<name>`` over
-    the group's earlier partitions; ``_least`` is the group's minimum of
-    ``least``."""
-    aggs = [F.sum(c).alias(f"_p_{name}") for name, c in counts.items()]
-    if least:
-        aggs.append(F.min(least).alias("_pmin"))
-    seg = held.groupBy("_pid", *keys).agg(*aggs)
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    cols = [F.col("_pid").alias("_sp"), *[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)]]
-    for name in counts:
-        cols += [F.sum(f"_p_{name}").over(group).alias(f"_n_{name}"),
-                 F.coalesce(F.sum(f"_p_{name}").over(before), F.lit(0)).alias(f"_off_{name}")]
-    if least:
-        cols.append(F.min("_pmin").over(group).alias("_least"))
+def _offsets(held: DataFrame, keys: list[str], name: str, count: Column) -> DataFrame:
+    """``held`` (with its partition in ``_pid``) plus the sum ``_off_<name>`` of ``count`` over the group's earlier partitions."""
+    seg = held.groupBy("_pid", *keys).agg(F.sum(count).alias("_p"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.select(F.col("_pid").alias("_sp"), *[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)],
+                     F.coalesce(F.sum("_p").over(before), F.lit(0)).alias(f"_off_{name}"))
     cond = [F.col("_pid") == F.col("_sp"), *_same(keys, "_sk")]
-    return held.join(seg.select(*cols), cond).drop("_sp", *[f"_sk{i}" for i in range(len(keys))])
+    return held.join(seg, cond).drop("_sp", *[f"_sk{i}" for i in range(len(keys))])
 
 
 def _interpolate(vlo, vhi, d):
@@ -62,42 +56,117 @@ def _interpolate(vlo, vhi, d):
     return F.when(d == 0, vlo).when(d >= 0.5, vhi - (vhi - vlo) * (1 - d)).otherwise(vlo + (vhi - vlo) * d)
 
 
+def _key_join(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the columns of the one row of ``small`` that has their keys (NULL keys are equal)."""
+    named = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
+    cond = _same(keys, "_k") or [F.lit(True)]
+    return rows.join(named, cond).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether reading ``df`` again is only a scan of files."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "Relation" in plan and not any(x in plan for x in ("Join", "Aggregate", "Window", "Sort", "Repartition", "Distinct", "Deduplicate", "MapIn"))
+
+
+def _refined(values: DataFrame, group: list[str]) -> DataFrame:
+    """Values of intervals (``_v``, its rows ``_c``, wanted ranks ``_lo`` and ``_hi``) cut down until none has more than ``MOST_INSIDE``."""
+    while True:
+        size = materialize(values.groupBy(*group).agg(
+            F.count("*").alias("_n"), F.array_distinct(F.percentile_approx("_v", [i / SPLITTERS for i in range(SPLITTERS + 1)], 20 * SPLITTERS)).alias("_cuts")))
+        if size.where(F.col("_n") > MOST_INSIDE).isEmpty():
+            return values
+        # rows up to each splitter, from the rows between neighbouring ones
+        held = _key_join(values, size.select(*group, "_cuts"), group)
+        held = held.withColumn("_slot", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+        counts = held.groupBy(*group, "_slot").agg(F.sum("_c").alias("_rows"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+        upto = counts.withColumn("_upto", F.sum("_rows").over(Window.partitionBy(*group).orderBy("_slot")))
+        before = F.col("_upto") - F.col("_rows")
+        # the slots that hold the two ranks
+        bounds = upto.where((F.col("_upto") > F.col("_lo")) & (before <= F.col("_hi"))).groupBy(*group).agg(
+            F.min("_slot").alias("_from"), F.max("_slot").alias("_to"), F.min(before).alias("_off"))
+        kept = _key_join(held, bounds, group).where((F.col("_slot") >= F.col("_from")) & (F.col("_slot") <= F.col("_to")))
+        values = materialize(kept.select(*group, "_v", "_c", (F.col("_lo") - F.col("_off")).alias("_lo"), (F.col("_hi") - F.col("_off")).alias("_hi")))
+
+
 def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weights: Mapping[str, Column],
                        probs: Mapping[str, float], moments: bool = False) -> DataFrame:
     """One row per group: for every weight ``w`` a struct column with the
     quantiles of ``value`` (named as in ``probs``) and ``n``, over the rows
-    counted ``w`` times; with ``moments`` also ``mean`` and ``std`` (sample).
+    whose ``w`` is 1 (it is 0 for the others); with ``moments`` also ``mean`` and ``std`` (sample).
 
-    Several weights share one sort: leaving out each of k folds in turn costs
-    k running sums, not k copies of the rows.
+    Several weights share the passes: leaving out each of k folds in turn costs
+    k sketches and k counts, not k copies of the rows.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
     base = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v"), *[w.alias(f"_w_{t}") for t, w in weights.items()])
-    held = base.groupBy(*keys, "_v").agg(*[F.sum(f"_w_{t}").alias(f"_w_{t}") for t in weights])
-    held = materialize(held.repartitionByRange(*keys, "_v").withColumn("_pid", F.spark_partition_id()))
-    rows = _offsets(held, keys, {t: F.col(f"_w_{t}") for t in weights}, least="_v")
-    here = Window.partitionBy("_pid", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"_to_{t}": F.col(f"_off_{t}") + F.sum(f"_w_{t}").over(here) for t in weights})
-    aggs, out = [], []
-    shifted = F.col("_v") - F.col("_least")  # moments about the group's minimum keep their digits
+    if not _is_scan(df):
+        base = materialize(base)
+    # how far from a wanted share the ends of its interval lie: two ranks at least, beside the sketch's error
+    margins = [2 / ACCURACY]
+    while margins[-1] < 1:
+        margins.append(8 * margins[-1])
+    ends = sorted({e for p in probs.values() for m in margins for e in (p - m, p + m) if 0 < e < 1}) or [0.5]
+    aggs = []
+    for t in weights:
+        own = F.when(F.col(f"_w_{t}") > 0, F.col("_v"))
+        aggs += [F.count(own).alias(f"_n_{t}"), F.percentile_approx(own, ends, ACCURACY).alias(f"_q_{t}"), F.min(own).alias(f"_min_{t}"), F.max(own).alias(f"_max_{t}")]
+        if moments:
+            aggs += [F.avg(own).alias(f"_mean_{t}"), F.when(F.count(own) > 1, F.stddev_samp(own)).alias(f"_std_{t}")]
+    about = materialize(base.groupBy(*keys).agg(*aggs))
+
+    # one interval for each weight and probability
+    names = list(probs)
+    asked = []
+    for t in weights:
+        n = F.col(f"_n_{t}")
+        for i, name in enumerate(names):
+            p = float(probs[name])
+            a, b = F.col(f"_min_{t}"), F.col(f"_max_{t}")
+            for m in reversed(margins):  # the narrowest that is wide enough
+                a = F.when(n * m >= 2, F.col(f"_q_{t}")[ends.index(p - m)] if p - m in ends else F.col(f"_min_{t}")).otherwise(a)
+                b = F.when(n * m >= 2, F.col(f"_q_{t}")[ends.index(p + m)] if p + m in ends else F.col(f"_max_{t}")).otherwise(b)
+            asked.append(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i"), a.alias("a"), b.alias("b"),
+                                  F.floor((n - 1) * p).alias("lo"), F.ceil((n - 1) * p).alias("hi")))
+    asked = F.filter(F.array(*asked), lambda x: x["a"].isNotNull())
+    rows = _key_join(base, about.select(*keys, asked.alias("_asked")), keys)
+    mine = F.filter("_asked", lambda x: F.coalesce(*[F.when(x["t"] == t, F.col(f"_w_{t}") > 0) for t in weights]))
+
+    def bound(t: str, i: int) -> Column:
+        return F.get(F.filter("_asked", lambda x: (x["t"] == t) & (x["i"] == i)), 0)["a"]
+
+    below = [F.count_if((F.col(f"_w_{t}") > 0) & (F.col("_v") < bound(t, i))) for t in weights for i in range(len(names))]
+    under = rows.where(F.size("_asked") > 0).groupBy(*keys).agg(F.array(*below).alias("_below"))
+    place = {(t, i): j for j, (t, i) in enumerate((t, i) for t in weights for i in range(len(names)))}
+    near = rows.select(*keys, "_v", F.explode(F.filter(mine, lambda x: (F.col("_v") >= x["a"]) & (F.col("_v") <= x["b"]))).alias("_x"))
+    near = _key_join(near, under, keys)
+    off = F.col("_below")[F.coalesce(*[F.when((F.col("_x.t") == t) & (F.col("_x.i") == i), F.lit(j)) for (t, i), j in place.items()])]
+    group = [*keys, "_t", "_i"]
+    inside = near.select(*keys, F.col("_x.t").alias("_t"), F.col("_x.i").alias("_i"), "_v", (F.col("_x.lo") - off).alias("_lo"), (F.col("_x.hi") - off).alias("_hi"))
+    # a value that many rows share is one row from here on
+    inside = inside.groupBy(*group, "_v").agg(F.count("*").alias("_c"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+    counted = _refined(materialize(inside), group)
+
+    # the values at the two ranks
+    counted = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*group).orderBy("_v")))
+    at = lambda rank: F.max(F.when((F.col("_upto") - F.col("_c") <= F.col(rank)) & (F.col(rank) < F.col("_upto")), F.col("_v")))
+    picked = counted.groupBy(*group).agg(F.struct(at("_lo").alias("lo"), at("_hi").alias("hi")).alias("_p"))
+    # an interval that does not hold its ranks has no values there: the query fails rather than return another value
+    sure = F.when(F.col("_p.lo").isNull() | F.col("_p.hi").isNull(), F.raise_error(F.lit("a rank lies outside its interval")).cast("double"))
+    picked = picked.select(*keys, F.concat_ws(":", "_t", "_i").alias("_ti"), F.struct(F.coalesce(sure, F.col("_p.lo")).alias("lo"), F.col("_p.hi")).alias("_p"))
+    picked = picked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_ti", "_p"))).alias("_picked"))  # weights x probs a group
+    out = []
     for t in weights:
-        w, to, n = F.col(f"_w_{t}"), F.col(f"_to_{t}"), F.col(f"_n_{t}")
-        aggs.append(F.max(n).alias(f"_n_{t}"))
-        fields = []
-        total = F.col(f"_n_{t}")
-        for i, (name, p) in enumerate(probs.items()):
-            for side, rank in (("lo", F.floor((n - 1) * float(p))), ("hi", F.ceil((n - 1) * float(p)))):
-                aggs.append(F.max(F.when((to - w <= rank) & (rank < to), F.col("_v"))).alias(f"_{side}{i}_{t}"))
-            pos = (total - 1) * float(p)
-            fields.append(_interpolate(F.col(f"_lo{i}_{t}"), F.col(f"_hi{i}_{t}"), pos - F.floor(pos)).alias(name))
+        n, fields = F.col(f"_n_{t}"), []
+        for i, name in enumerate(names):
+            pos, p = (n - 1) * float(probs[name]), F.col("_picked")[f"{t}:{i}"]
+            fields.append(_interpolate(p["lo"], p["hi"], pos - F.floor(pos)).alias(name))
         if moments:
-            aggs += [F.sum(w * shifted).alias(f"_s1_{t}"), F.sum(w * shifted * shifted).alias(f"_s2_{t}"), F.max("_least").alias(f"_v0_{t}")]
-            s1, s2 = F.col(f"_s1_{t}"), F.col(f"_s2_{t}")
-            fields.append((F.col(f"_v0_{t}") + s1 / total).alias("mean"))
-            fields.append(F.when(total > 1, F.sqrt(F.greatest((s2 - s1 * s1 / total) / (total - 1), F.lit(0.0)))).alias("std"))
-        out.append(F.when(total > 0, F.struct(*fields, total.cast("bigint").alias("n"))).alias(t))
-    return rows.groupBy(*keys).agg(*aggs).select(*keys, *out).where(F.coalesce(*[F.col(f"{t}.n") for t in weights]).isNotNull())
+            fields += [F.col(f"_mean_{t}").alias("mean"), F.col(f"_std_{t}").alias("std")]
+        out.append(F.when(n > 0, F.struct(*fields, n.alias("n"))).alias(t))
+    found = _key_join(about, picked, keys).select(*keys, *out)
+    return found.where(F.coalesce(*[F.col(f"{t}.n") for t in weights]).isNotNull())
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -146,9 +215,9 @@ def running_count(df: DataFrame, keys: Sequence[str], order: Sequence, flag: Col
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     held = materialize(df.withColumn("_f", flag).repartitionByRange(*[F.col(k) for k in keys], *order)
                        .withColumn("_pid", F.spark_partition_id()))
-    rows = _offsets(held, keys, {"f": F.col("_f")})
+    rows = _offsets(held, keys, "f", F.col("_f"))
     here = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.col("_off_f") + F.sum("_f").over(here) - F.col("_f")).drop("_pid", "_f", "_off_f", "_n_f")
+    return rows.withColumn(name, F.col("_off_f") + F.sum("_f").over(here) - F.col("_f")).drop("_pid", "_f", "_off_f")
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, rank_col: str = "_rank") -> DataFrame:

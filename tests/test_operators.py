@@ -116,7 +116,7 @@ def test_band_sign(spark):
 def test_unknown_model_name():
     from estatelens.operators.models import ModelSpec
     with pytest.raises(ValueError, match="Valid: accurate, default"):
-        ModelSpec("fancy").estimator()
+        ModelSpec("fancy").settings()
 
 
 def test_pipeline_registry():

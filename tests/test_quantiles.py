@@ -63,26 +63,36 @@ def test_moments_same_pass(spark):
     assert got["b"]["std"] is None and got["b"]["n"] == 1 and got["c"]["std"] == 0.0
 
 
-def test_repeated_value_is_one_row_of_the_sort(spark):
-    """A value that most rows share reaches the sort once; no task holds its rows."""
+def test_repeated_value_is_one_row_of_the_selection(spark, monkeypatch):
+    """A value that most rows share is ranked as one row; only values near a wanted rank are ranked at all."""
     import estatelens.operators.quantiles as Q
     seen = []
     keep = Q.materialize
-
-    def spy(df):
-        out = keep(df)
-        seen.append(out)
-        return out
-
-    Q.materialize = spy
-    try:
-        df = spark.range(200_000).select(F.lit("hot").alias("k"), F.when(F.col("id") % 4 < 3, 7.0).otherwise(F.col("id") % 4_000).alias("v"))
-        r = Q.exact_quantiles(df, ["k"], "v", {"m": 0.5, "p": 0.9}, count_col="n").first()
-    finally:
-        Q.materialize = keep
+    monkeypatch.setattr(Q, "materialize", lambda df: seen.append(keep(df)) or seen[-1])
+    df = spark.range(200_000).select(F.lit("hot").alias("k"), F.when(F.col("id") % 4 < 3, 7.0).otherwise(F.col("id") % 4_000).alias("v"))
+    r = Q.exact_quantiles(df, ["k"], "v", {"m": 0.5, "p": 0.9}, count_col="n").first()
     xs = np.array([7.0 if i % 4 < 3 else i % 4_000 for i in range(200_000)], float)
     assert r["n"] == 200_000 and r["m"] == 7.0 and abs(r["p"] - np.quantile(xs, 0.9)) < 1e-9
-    assert len(seen) == 1 and seen[0].count() == len(set(xs))
+    ranked = next(d for d in seen if "_c" in d.columns)
+    assert ranked.where("_v = 7.0 and _t = '_q' and _i = 0").count() == 1 and ranked.count() < len(set(xs)) / 10
+
+
+def test_intervals_are_cut_until_they_are_small(spark, monkeypatch):
+    """Many rounds of splitters, with a value that most rows share, find the same ranks."""
+    import estatelens.operators.quantiles as Q
+    monkeypatch.setattr(Q, "ACCURACY", 20)
+    monkeypatch.setattr(Q, "MOST_INSIDE", 5)
+    monkeypatch.setattr(Q, "SPLITTERS", 4)
+    rng = np.random.default_rng(9)
+    rows = [("a", float(v)) for v in rng.normal(0, 1, 3_000).round(3)] + [("b", 4.0)] * 2_000 + [("b", float(v)) for v in rng.normal(4, 1, 900)] + [(None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"p1": 0.1, "p5": 0.5, "p66": 0.66, "p99": 0.99}
+    got = {r["k"]: r for r in Q.exact_quantiles(df, ["k"], "v", probs, count_col="n").collect()}
+    for k in ("a", "b", None):
+        xs = np.array([v for kk, v in rows if kk == k])
+        assert got[k]["n"] == len(xs)
+        for name, p in probs.items():
+            assert abs(got[k][name] - np.quantile(xs, p)) < 1e-9
 
 
 def test_leave_one_out_weights(spark):
