@@ -241,16 +241,61 @@ def test_toxicity_held_out(spark):
     assert rows.score.between(0, 1).all()
 
 
-def test_toxicity_candidates_do_not_cut_the_choice(spark, monkeypatch):
-    """Common words fill a short list of candidates; rarer ones that only toxic rows hold are chosen all the same."""
-    rows = [(i, "common words stand all over" + (" vile" if i % 4 == 0 else "") + (" nasty" if i % 8 == 0 else "")) for i in range(80)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
-    want = fair_toxicity.fit(docs, labels, features=2)["vocabulary"]
-    monkeypatch.setattr(fair_toxicity, "CANDIDATES", 3)
-    got = fair_toxicity.fit(docs, labels, features=2)["vocabulary"]
-    assert np.array([fair_toxicity.word_hash("vile")], np.int64).view(np.uint64)[0] in got
-    assert got.tolist() == want.tolist()
+def brute_choice(rows, features):
+    """Tokens (words, and their first four and six letters) of the greatest gain, by plain counting."""
+    import math
+    import re
+    bags = []
+    for text, toxic in rows:
+        words = re.findall(r"[A-Za-z\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        bags.append(({(0, w) for w in words} | {(n, w[:n]) for w in words for n in (4, 6) if len(w) > n}, toxic))
+    share = sum(t for _, t in bags) / len(bags)
+    gain = {}
+    for token in {t for b, _ in bags for t in b}:
+        n, bad = sum(token in b for b, _ in bags), sum(token in b for b, t in bags if t)
+        q = (bad + share) / (n + 1)
+        if q > share:
+            gain[token] = bad * math.log(q / share) + (n - bad) * math.log((1 - q) / (1 - share))
+    return sorted(gain.items(), key=lambda x: -x[1])[:features], gain
+
+
+def token_hash(kind, word):
+    """The hash of a word (kind 0) or of its first letters."""
+    if kind == 0:
+        return fair_toxicity.word_hash(word)
+    h, _, _ = fair_toxicity.tokens(next(fair_toxicity.W.chunks(fair_toxicity.pa.array([word + "x" * 9]), lower=True)))
+    return int(h.view(np.int64)[1 + fair_toxicity.PREFIXES.index(kind)])
+
+
+@pytest.mark.parametrize("held", [1_000_000, 3])
+def test_toxicity_choice_is_that_of_plain_counting(spark, monkeypatch, held):
+    """All tokens are counted in all training rows, also those of a single toxic row, whatever a task may hold."""
+    monkeypatch.setattr(fair_toxicity, "HELD_TOKENS", held)
+    rng = random.Random(3)
+    words = ["common", "stand", "Überall", "vile", "nasty", "nastily", "once", "straße", "x"]
+    rows = [(i, " ".join(rng.choices(words, range(9, 0, -1), k=rng.randrange(1, 9))), int(rng.random() < 0.3)) for i in range(150)] + [(500, "unique toxic", 1), (501, None, 0), (502, "", 1)]
+    train = spark.createDataFrame([(t, x) for _, x, t in rows], "toxic long, text string")
+    share = sum(t for _, _, t in rows) / len(rows)
+    want, gain = brute_choice([(x, t) for _, x, t in rows], 6)
+    got = fair_toxicity._choose(train, share, 6)
+    by_hash = {token_hash(*k): g for k, g in gain.items()}
+    assert [by_hash[h] for h in got] == pytest.approx([g for _, g in want])
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    """One id that stands 3,000 times, with one text or with many, brings no more rows to the fit than the bound."""
+    seen = []
+    docs = spark.createDataFrame([(1, "vile words" if i % 2 else f"vile number{i}") for i in range(3_000)] + [(i, "plain words") for i in range(2, 200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 200)], "doc_id long, toxic int")
+    keep = fair_toxicity.fit_weights
+    fair_toxicity.fit_weights = lambda x, y, *a: seen.append(len(y)) or keep(x, y, *a)
+    try:
+        fair_toxicity.fit(docs, labels, sample_docs=50)
+        fair_toxicity.fit(docs, labels)
+    finally:
+        fair_toxicity.fit_weights = keep
+    train = docs.where(~fair_toxicity.held_out())
+    assert seen == [50, train.distinct().count()]
 
 
 def test_toxicity_odd_rows(spark):
@@ -259,6 +304,15 @@ def test_toxicity_odd_rows(spark):
     assert fair_toxicity.fit(docs, labels) is None
     assert {(r["score"], r["predicted"]) for r in fair_toxicity.score(docs, None).collect()} == {(0.0, 0)}
     assert fair_toxicity.score(docs.limit(0), None).count() == 0
+    # a fitted model on the same rows: nulls, empty, very long and odd texts, rows that stand twice
+    train = spark.createDataFrame([(i, "vile words here" if i % 3 == 0 else "plain words here") for i in range(300)], "doc_id long, text string")
+    model = fair_toxicity.fit(train, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(0, 0), (None, 1)], "doc_id long, toxic int"))
+    long = spark.createDataFrame([(90, "vile " * 200_000), (91, "a" * 1_000_000), (92, "\x00 \U0001f600 \u200b")], "doc_id long, text string")
+    got = [(r["doc_id"], r["score"]) for r in fair_toxicity.score(docs.select("doc_id", "text").unionByName(long), model).collect()]
+    score = dict(got)
+    base = 1 / (1 + np.exp(-model["intercept"]))
+    assert len(got) == docs.count() + 3 and all(0 <= x <= 1 for x in score.values())
+    assert score[0] == score[1] == score[2] == score[91] == pytest.approx(base) and score[90] > 0.5 and len({x for d, x in got if d == 9}) == 1
 
 
 def test_counterfactual_part_removes_the_group_effect():
