@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from estatelens.llm import words as W
 from estatelens.session import materialize
 
 WINDOW = 2048
@@ -111,110 +112,174 @@ def plan(count: dict[int, int], window: int = WINDOW) -> tuple[dict[int, list[tu
 
 # ---- token ids ----
 
-_PLAIN = re.compile(r"[^\x09\x0A\x0D\x20-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]")
-_TWO_SIGNS = re.compile(r"[^\sa-z0-9\xDF-\xF6\xF8-\xFF]{2}")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^\sa-z0-9\xDF-\xF6\xF8-\xFF]+")
+CHUNK_BYTES = 2 << 20
+_LETTER, _SPACE, _SIGN, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[0x61:0x7B] = _LETTER
+_KIND[[0x09, 0x0A, 0x0D, 0x20]] = _SPACE
+
+
+class _Words:
+    """The word parts of a chunk of texts, found in its bytes.
+
+    A part is a run of letters or a run of anything else between spaces; a word with an apostrophe stays whole.  Upper
+    case goes.  ``whole`` marks the texts that hold other than plain and Latin-1 characters, or a special token's mark: those have no parts.
+    """
+
+    def __init__(self, chunk: W.Chunk):
+        data, off = chunk.data.copy(), chunk.off
+        n = len(data)
+        data[(data >= 65) & (data <= 90)] += np.uint8(32)
+        lead = np.flatnonzero(data == 0xC3)
+        second = data[lead + 1]
+        kind = _KIND[data]
+        letter = (second != 0x97) & (second != 0xB7)  # not the signs of times and division
+        kind[lead[letter]] = kind[lead[letter] + 1] = _LETTER
+        upper = letter & (second < 0x9F)
+        data[lead[upper] + 1] += np.uint8(0x20)
+        mark = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        odd = np.concatenate([np.flatnonzero(kind == _OTHER), mark])
+        self.whole = np.zeros(len(chunk), bool)
+        self.whole[np.searchsorted(off, odd, "right") - 1] = True
+        for i in np.flatnonzero(self.whole).tolist():
+            kind[off[i]:off[i + 1]] = _SPACE
+        space = kind == _SPACE
+        begin = np.ones(n + 1, bool)
+        begin[1:] = np.append(space[:-1], True) if n else True
+        begin[off] = True  # a text begins
+        begin = begin[:n] & ~space
+        change = np.zeros(n, bool)
+        change[1:] = kind[1:] != kind[:-1]
+        stroke = np.flatnonzero(data == 0x27)
+        if len(stroke):
+            word = np.cumsum(begin)
+            tied = np.zeros(int(word[-1]) + 1, bool)
+            tied[word[stroke]] = True
+            change &= ~tied[word]
+        first = ~space & (begin | change)
+        start = np.flatnonzero(first)
+        size = np.diff(np.append(np.cumsum(~space)[start] - 1, int((~space).sum())))
+        cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cut), pa.py_buffer(data[~space])]).dictionary_encode()
+        self.parts, self.which = parts.dictionary.to_pylist(), parts.indices.to_numpy()
+        self.first = np.searchsorted(start, off)  # first part of each text
 
 
 class TokenBytes:
-    """Token ids of texts as little-endian 32-bit bytes, each distinct word once.
+    """Token ids of texts as little-endian 32-bit numbers; of every distinct word part the tokenizer is asked once.
 
     The vocabulary is lower case, drops white space and ends every word part with
-    a marked token, so the ids of a text are the ids of its white-space-separated words
-    in order.  That holds for texts of plain and Latin-1 letters without the
-    special tokens' marks; any other text goes to the tokenizer whole.
+    a marked token, so the ids of a text are the ids of its parts in order.  That
+    holds for texts of plain and Latin-1 letters without the special tokens'
+    marks; any other text goes to the tokenizer whole.  At most ``most`` parts are kept.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.most, self.word = most, {}
-
-    def _ask(self, parts: list[str]) -> None:
-        for lo in range(0, len(parts), 4096):
-            some = parts[lo:lo + 4096]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.off, self.ids = np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ask(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word, many words a call: every part of a word ends with a marked token."""
+        out = []
+        for lo in range(0, len(words), 4096):
+            some = words[lo:lo + 4096]
+            parts = [max(1, len(_PARTS.findall(w))) for w in some]
+            ids = self._ids([" ".join(some)])[0]
             cut = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
-            if len(cut) != len(some) + 1 or cut[-1] != len(ids):  # a part that is not one: ask for each
-                for p in some:
-                    self.word[p] = np.array(self.tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            raw, at = ids.tobytes(), (cut * 4).tolist()
-            self.word.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:])]))
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.word) + len(words) > self.most:
-            self.word.clear()
-        mixed = {w: _PARTS.findall(w) for w in words if not w.isalpha()}
-        parts = {p for found in mixed.values() for p in found}
-        parts.update(words)
-        parts.difference_update(w for w, found in mixed.items() if len(found) > 1)
-        self._ask([p for p in parts if p not in self.word])
-        get = self.word.__getitem__
-        for w, found in mixed.items():
-            if len(found) > 1:
-                self.word[w] = b"".join(map(get, found))
+            if len(cut) == sum(parts) + 1 and cut[-1] == len(ids):
+                at = cut[np.append(0, np.cumsum(parts))].tolist()
+                out += [ids[a:b] for a, b in zip(at, at[1:])]
+            else:
+                out += self._ids(some)
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        found = self._ask([w.decode() for w in words])
+        at = len(self.place)
+        self.place.update(zip(words, range(at, at + len(words))))
+        sizes = np.array([len(f) for f in found], np.int64)
+        self.off = np.append(self.off, self.off[-1] + np.cumsum(sizes))
+        self.ids = np.concatenate([self.ids, *found])
+
+    def chunk(self, chunk: W.Chunk, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a chunk, first of each text and the end); ``texts`` gives a text by its number in the chunk."""
+        w = _Words(chunk)
+        new = [p for p in w.parts if p not in self.place]
+        if len(self.place) + len(new) > self.most:
+            self._clear()
+            new = w.parts
+        if new:
+            self._learn(new)
+        place = np.fromiter(map(self.place.__getitem__, w.parts), np.int64, len(w.parts))[w.which]
+        size = self.off[place + 1] - self.off[place]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.off[place] - before[:-1], size) + np.arange(before[-1])]
+        cut = before[w.first]
+        whole = np.flatnonzero(w.whole).tolist()
+        if whole:
+            each = [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            for i, found in zip(whole, self._ids([texts(i) for i in whole])):
+                each[i] = found
+            ids, cut = np.concatenate(each), np.concatenate([[0], np.cumsum([len(e) for e in each])])
+        return ids, cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for t in texts:
-            if _PLAIN.search(t) or "<|" in t:
-                split.append(None)
-                continue
-            t = t.lower()
-            if not _TWO_SIGNS.search(t):  # a stop that stands alone is a part of its own: fewer distinct words
-                t = t.replace(".", " .").replace(",", " ,")
-            split.append(t.split())
-        new: set[str] = set()
-        for s in split:
-            if s:
-                new.update(s)
-        need = new - self.word.keys()
-        if need:
-            if len(self.word) + len(need) > self.most:
-                need = new
-            self._learn(need)
-        get = self.word.__getitem__
-        return [b"".join(map(get, s)) if s is not None else
-                np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for s, t in zip(split, texts)]
+        out = []
+        for c in W.chunks(pa.array(texts, pa.large_string()), size=CHUNK_BYTES):
+            ids, cut = self.chunk(c, lambda i, lo=c.lo: texts[lo + i])
+            out += [ids[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        return out
+
+
+_CODERS: dict[str, TokenBytes] = {}
+
+
+def coder_of(path: str) -> TokenBytes:
+    """The tokenizer of a vocabulary file with the parts it has learned, one for a worker's life."""
+    if path not in _CODERS:
+        _CODERS[path] = TokenBytes(path)
+    return _CODERS[path]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long"
 
 
 def _pieces(path: str, window: int, with_ids: bool):
-    end = np.array([END_ID], "<u4").tobytes()
-
     def run(batches):
-        coder, part = TokenBytes(path), TaskContext.get().partitionId()
+        coder, part = coder_of(path), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            lo = 0
-            while lo < len(ids):  # a bounded number of characters at once
-                hi, size, some = lo, 0, []
-                while hi < len(ids) and (size < 1 << 20 or hi == lo):
-                    some.append(texts[hi].as_py() or "")
-                    size += len(some[-1])
-                    hi += 1
-                rows = []
-                for doc, raw in zip(ids[lo:hi], coder.encode(some)):
-                    raw += end
-                    total = len(raw) // 4
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            for c in W.chunks(texts, size=CHUNK_BYTES):
+                ids, cut = coder.chunk(c, lambda i, lo=c.lo: texts[lo + i].as_py())
+                cut, rows = cut.tolist(), []
+                for i in range(len(c)):
+                    tokens = np.append(ids[cut[i]:cut[i + 1]], np.uint32(END_ID))
+                    total, raw = len(tokens), tokens.astype("<u4").tobytes()
                     for start in range(0, total, window):
-                        cut = raw[4 * start:4 * (start + window)]
-                        n = len(cut) // 4
-                        row = (doc, start, n, zlib.crc32(cut), total, part, int(seen[n]))
-                        rows.append((*row, cut) if with_ids else row)
+                        some = raw[4 * start:4 * (start + window)]
+                        n = len(some) // 4
+                        row = (doc_ids[c.lo + i], start, n, zlib.crc32(some), total, part, int(seen[n]))
+                        rows.append((*row, some) if with_ids else row)
                         seen[n] += 1
                 cols = list(zip(*rows))
                 types = [pa.int64()] * 5 + [pa.int32(), pa.int64()] + [pa.binary()] * with_ids
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "place"] + ["ids"] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-                lo = hi
     return run
 
 
