@@ -16,18 +16,19 @@ the choice depends on the window's lines alone.
    deleted from the later text; blank lines inside go with it.  A deleted line
    always stands at an earlier position, and its earliest copy is never deleted.
 
-``dedup_passages`` goes on inside lines, on what the lines leave: now a window
+``dedup_passages`` also cuts repeats that begin or end inside lines: there a window
 is any ``min_words`` words in a row and its fingerprint the least hash of its
-runs of half as many words.  Windows whose fingerprint stands at two positions
-or more are hashed whole and meet the earliest position of the same words; all
-words of the later ones are deleted (in one text only where the two do not
-overlap).  The windows of a longer run cover it to its ends, so nothing is
-left to extend.
+runs of half as many words.  Windows whose fingerprint stands in two documents
+are digested, and all words of a window go that also starts in a document with a
+smaller id, or before it in the same text without overlapping it.  The windows
+of a longer run cover it to its ends, so nothing is left to extend.  Both kinds
+are judged on the input and cut in one pass: the texts are dealt into blocks of
+documents once, and every step that reads them reads that one exchange.
 
 Nulls stay null; empty texts and texts without a repeated run stay as they
 are, byte for byte; a text whose lines all go becomes empty.  Rows equal in id
 and text are one document and stay alike; texts under one id count one by one,
-in the order of their hash.  An empty table gives an empty table.  Other
+in the order of their hash, and do not cut each other inside lines.  An empty table gives an empty table.  Other
 columns are passed on.
 """
 
@@ -38,7 +39,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from estatelens.llm import phrase_automata as P
 from estatelens.llm import words as W
 from estatelens.llm.frames import plain_names
 from estatelens.session import materialize
@@ -168,93 +171,28 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return grown.mapInArrow(_extend, "row string, lo int, hi int")
 
 
-def _spans(total: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of ``k`` words, from prefix sums over word hashes."""
-    return W.mix((total[k:] - total[:-k]) * W._powers(len(total))[1][:len(total) - k])
-
-
-def _word_windows(chunk: W.Chunk, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, fingerprint) of every window inside one text, prefix sums over word hashes, first word of each text."""
-    start, end, first = chunk.words()
-    h = chunk.span_hash(start, end)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * W._powers(len(h) + 1)[0][:len(h)], out=total[1:])
-    if len(h) < min_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), total, first
-    gram = (min_words + 1) // 2
-    least, wide = _spans(total, gram), 1
-    runs = min_words - gram + 1  # runs of a window; the minimum over them by doubling
-    while 2 * wide <= runs:
-        least, wide = np.minimum(least[:-wide], least[wide:]), 2 * wide
-    if wide < runs:
-        least = np.minimum(least[:wide - runs], least[runs - wide:])
-    at = np.arange(len(least))
-    at = at[at + min_words <= np.repeat(first[1:], np.diff(first))[:len(least)]]
-    return at, least[at], total, first
-
-
-def _word_prints(min_words: int):
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("row")
-            for chunk in W.chunks(batch.column("text")):
-                at, least, _, first = _word_windows(chunk, min_words)
-                text = np.searchsorted(first, at, "right") - 1
-                new = np.ones(len(at), bool)
-                new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
-                begin = np.flatnonzero(new)
-                # a fingerprint of more windows than one position can serve stands at two: it goes out twice
-                length = np.diff(np.append(begin, len(at)))
-                prints = np.repeat(begin, 1 + (length > min_words - (min_words + 1) // 2 + 1))
-                off = np.searchsorted(text[prints], np.arange(len(chunk) + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(least[prints].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids[chunk.lo:chunk.hi], lists], ["row", "prints"])
-    return run
-
-
-def _repeated_windows(min_words: int):
-    def run(batches):
-        for batch in batches:
-            ids, hot = batch.column("row"), batch.column("hot")
-            for chunk in W.chunks(batch.column("text")):
-                at, least, total, first = _word_windows(chunk, min_words)
-                text = np.searchsorted(first, at, "right") - 1
-                cut = np.searchsorted(text, np.arange(len(chunk) + 1))
-                keep = [np.isin(least[a:b], np.array(hot[chunk.lo + i].as_py(), np.int64).view(np.uint64))
-                        for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist()))]
-                keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-                at, text = at[keep], text[keep]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(text + chunk.lo)), pa.array((at - first[text]).astype(np.int32)),
-                         pa.array(_spans(total, min_words)[at].view(np.int64))], ["row", "start", "ctx"])
-    return run
-
-
-def repeated_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, starts): first words of the windows of the text of ``row`` that stand at an earlier position too."""
-    texts = docs.select("doc_id", "text").withColumn("row", row_key()).select("row", "text")
-    prints = materialize(texts.mapInArrow(_word_prints(min_words), "row string, prints array<long>").where("size(prints) > 0").dropDuplicates(["row"]))
-    prints = prints.select("row", F.explode("prints").alias("print"))
-    hot = prints.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print")
-    hot = prints.join(hot, "print", "left_semi").groupBy("row").agg(F.collect_set("print").alias("hot"))  # of one text
-    marks = materialize(texts.join(hot, "row").mapInArrow(_repeated_windows(min_words), "row string, start int, ctx long"))
-    first = marks.groupBy("ctx").agg(F.min(F.struct("row", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    later = (F.col("row") != F.col("first.row")) | (F.col("start") >= F.col("first.start") + min_words)
-    return marks.join(first, "ctx").where(later).groupBy("row").agg(F.collect_set("start").alias("starts"))
-
-
-def _without(text: str, starts: list[int], min_words: int) -> tuple[str, int, int]:
-    """``text`` without the words of the windows, lines and words removed; lines left without a word go, blank ones inside a cut too."""
-    data = text.encode()
-    chunk = next(W.chunks(pa.array([text])))
-    start, end, _ = chunk.words()
-    begin, stop, _ = chunk.lines()
-    starts = np.array(starts, np.int64)
-    depth = np.zeros(len(start) + 1, np.int64)
-    np.add.at(depth, starts, 1)
-    np.add.at(depth, starts + min_words, -1)
-    gone = np.cumsum(depth)[:-1] > 0
+def _later_windows(b: P.Block, found: pa.Table) -> np.ndarray:
+    """Words of a block's texts in windows that start under a smaller id too, or before in the same text without overlap."""
+    depth = np.zeros(len(b.start) + 1, np.int64)
+    of, _, least = P.confirmed(b, found, within=True)
+    at, of = b.at[of >= 0], of[of >= 0]
+    text = b.text[at]
+    order = np.lexsort((at, text, of))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(of[order]) != 0) | (np.diff(text[order]) != 0)
+    first = np.empty(len(order), np.int64)  # of the same window in the same text
+    first[order] = at[order][new][np.cumsum(new) - 1]
+    at = at[(b.ids[text] > least[of]) | (at >= first + b.width)]
+    np.add.at(depth, at, 1)
+    np.add.at(depth, at + b.width, -1)
+    return np.cumsum(depth)[:-1] > 0
+
+
+def _without(data: bytes, start: np.ndarray, end: np.ndarray, gone: np.ndarray) -> tuple[str, int]:
+    """A text (its words from ``start`` to ``end``) without the words that are ``gone``, and the lines removed; lines left without a
+    word go, blank ones inside a cut too."""
+    stops = [i for i, c in enumerate(data) if c == 10] if b"\n" in data else []
+    begin, stop = np.array([0, *[i + 1 for i in stops]]), np.array([*stops, len(data)])
     # one word more on both sides: what a blank line at the edge of a text has for neighbours
     edge = np.concatenate([[False], gone, [False]])
     w0, w1 = np.searchsorted(start, begin), np.searchsorted(start, stop)
@@ -284,36 +222,62 @@ def _without(text: str, starts: list[int], min_words: int) -> tuple[str, int, in
                     at = int(end[j - 1])
                 k = to
             left.append(b"".join(parts) + data[at:e])
-    return ("" if gone.all() else b"\n".join(left).decode()), removed, int(gone.sum())
-
-
-def _cut_words(columns: list[str], min_words: int):
-    def run(batches):
-        for batch in batches:
-            text = batch.column("text")
-            mask, new = np.zeros(len(text), bool), []
-            lines, words = np.zeros(len(text), np.int32), np.zeros(len(text), np.int32)
-            for i, starts in enumerate(batch.column("starts").to_pylist()):
-                if starts and text[i].is_valid:
-                    mask[i] = True
-                    cut, lines[i], words[i] = _without(text[i].as_py(), starts, min_words)
-                    new.append(cut)
-            text = pc.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
-            out = batch.select(columns).set_column(columns.index("text"), batch.schema.field("text"), text)
-            yield out.append_column("lines_gone", pa.array(lines)).append_column("words_gone", pa.array(words))
+    return ("" if gone.all() else b"\n".join(left).decode()), removed
+
+
+def _cut_block(columns: list[str], min_words: int, schema: pa.Schema):
+    """The documents of a block without the lines of their runs and the words of later windows."""
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        lines = {r["row"]: r["runs"] for r in found.filter(pc.is_valid(found.column("row"))).select(["row", "runs"]).to_pylist()}
+        b = P.Block(docs, min_words)
+        inside = _later_windows(b, found.filter(pc.is_valid(found.column("k1"))))
+        text = b.table.column("text").combine_chunks()
+        mask, new = np.zeros(len(text), bool), []
+        gone_lines, gone_words = np.zeros(len(text), np.int32), np.zeros(len(text), np.int32)
+        some = np.add.reduceat(np.append(inside, False), np.minimum(b.first[:-1], len(inside))) * (np.diff(b.first) > 0) if len(text) else []
+        for i, row in enumerate(b.table.column("row").to_pylist()):
+            if not (some[i] or row in lines) or not text[i].is_valid:
+                continue
+            words = slice(b.first[i], b.first[i + 1])
+            off = b.chunk.off[i]
+            data = b.chunk.data[off:b.chunk.off[i + 1]].tobytes()
+            start, end, gone = b.start[words] - off, b.end[words] - off, inside[words].copy()
+            if row in lines:
+                at = [k for k, c in enumerate(data) if c == 10]
+                begin, stop = [0, *[k + 1 for k in at]], [*at, len(data)]
+                whole = np.zeros(len(gone), bool)
+                for r in lines[row]:
+                    x, y = np.searchsorted(start, [begin[r["lo"]], stop[r["hi"] - 1]])
+                    whole[x:y] = True
+                gone_words[i] = int((gone & ~whole).sum())
+                gone |= whole
+            else:
+                gone_words[i] = int(gone.sum())
+            if gone.any():
+                mask[i] = True
+                cut, gone_lines[i] = _without(data, start, end, gone)
+                new.append(cut)
+        # texts without a cut stay in the buffer they came in
+        text = pc.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
+        parts = [text if c == "text" else b.table.column(c) for c in columns]
+        return pa.Table.from_arrays([*parts, pa.array(gone_lines), pa.array(gone_words)], schema=schema)
     return run
 
 
 def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without later repeats of runs of lines, then of words inside lines; ``n_lines_removed`` counts whole lines,
-    ``n_words_cut`` the words of the second step (columns of those names are replaced)."""
-    docs = materialize(dedup_lines(docs.drop("n_words_cut"), min_words))
+    """``docs`` without later repeats of runs of lines, nor of words inside lines; ``n_lines_removed`` counts lines that went,
+    ``n_words_cut`` words cut that are in no run of whole lines (columns of those names are replaced)."""
+    docs = docs.drop("n_lines_removed", "n_words_cut")
     plain = plain_names(docs)
-    both = plain.withColumn("row", row_key()).join(repeated_words(docs, min_words), "row", "left").drop("row")
-    schema = plain.withColumn("lines_gone", F.lit(0)).withColumn("words_gone", F.lit(0)).schema
-    cut = both.mapInArrow(_cut_words(plain.columns, min_words), schema).toDF(*docs.columns, "lines_gone", "n_words_cut")
-    total = (F.col("n_lines_removed") + F.col("lines_gone")).cast("int")
-    return cut.withColumn("n_lines_removed", total).drop("lines_gone")
+    tasks, blocks = P.sizes(plain)
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")
+    dealt = plain.withColumn("row", row_key()).select("*", block).repartition(tasks, "block")
+    found = P.repeated_phrases(dealt, min_words, (min_words + 1) // 2, tasks)
+    runs = repeated_runs(docs, min_words).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))  # of one text
+    both = found.unionByName(runs.select("*", block), allowMissingColumns=True)
+    schema = plain.withColumn("lines", F.lit(0)).withColumn("words", F.lit(0)).schema
+    cut = dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_cut_block(plain.columns, min_words, to_arrow_schema(schema)), schema)
+    return cut.toDF(*docs.columns, "n_lines_removed", "n_words_cut")
 
 
 def _cut(runs_column: str, columns: list[str]):

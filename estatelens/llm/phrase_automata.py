@@ -43,14 +43,14 @@ LAST = 2**63 - 1
 _LOW, _HIGH = 0x0100, 0x8000  # first symbols of the two halves of a word's number; both ranges hold 0x5000
 
 
-class _Block:
+class Block:
     """The words of the documents of one block, in the order of their ids."""
 
     def __init__(self, table: pa.Table, width: int):
         ids = table.column("doc_id").to_numpy() if not table.column("doc_id").null_count else \
             table.column("doc_id").fill_null(LAST).to_numpy()
         order = np.argsort(ids, kind="stable")
-        table = table.take(pa.array(order))
+        self.table = table = table.take(pa.array(order))
         self.doc_id, self.ids, self.width = table.column("doc_id"), ids[order], width
         data, off = W.text_buffer(table.column("text"))
         self.chunk = W.Chunk(0, len(order), data, off)
@@ -96,7 +96,7 @@ def _joined(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
 
 def _send_prints(width: int, gram: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        b = _Block(table, width)
+        b = Block(table, width)
         prints, text = b.prints(gram), b.text[b.at]
         new = np.ones(len(prints), bool)
         new[1:] = (prints[1:] != prints[:-1]) | (text[1:] != text[:-1])
@@ -126,7 +126,7 @@ def _return_prints(table: pa.Table) -> pa.Table:
 def _send_phrases(width: int, gram: int, buckets: int):
     def run(docs: pa.Table, hot: pa.Table) -> pa.Table:
         if hot.num_rows and docs.num_rows:
-            b = _Block(docs, width)
+            b = Block(docs, width)
             of = np.isin(b.prints(gram), _joined(hot.column("prints"), np.uint64)[0])
             k1, k2, text = b.k1[of], b.k2[of], b.text[b.at[of]]
             order = np.lexsort((text, k2, k1))
@@ -158,9 +158,9 @@ def _return_phrases(table: pa.Table) -> pa.Table:
                     | {c: pa.array(out[c], pa.binary()) for c in ("k1", "k2", "ids")})
 
 
-def _confirmed(b: _Block, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases of the block that some of its documents must lose: (a phrase's number for each window or -1, a place of each
-    phrase, the smallest id of each phrase)."""
+def confirmed(b: Block, found: pa.Table, within: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases of the block that stand under a smaller id too (``within``: or twice in the block): (a phrase's number for each window or
+    -1, a place of each phrase, the smallest id of each phrase)."""
     (q1, _), (q2, _), (first, _) = (_joined(found.column(c), t) for c, t in (("k1", np.uint64), ("k2", np.uint32), ("ids", np.int64)))
     n = len(b.at)
     k1, k2 = np.concatenate([b.k1, q1]), np.concatenate([b.k2, q2.astype(np.uint64)])
@@ -173,6 +173,8 @@ def _confirmed(b: _Block, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.n
     later = np.zeros(len(least), bool)
     here = order < n
     later[group[here][ids[order][here] > least[group[here]]]] = True
+    if within:
+        later |= np.bincount(group[here], minlength=len(least)) > 1
     number = np.full(len(least), -1)
     number[later] = np.arange(int(later.sum()))
     place = np.zeros(int(later.sum()), np.int64)
@@ -184,7 +186,7 @@ def _confirmed(b: _Block, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.n
     return of, place, least[later]
 
 
-def _symbols(b: _Block) -> str:
+def _symbols(b: Block) -> str:
     """The words of a block as a string of two symbols a word; equal words, and only those, are equal symbols."""
     data = b.chunk.data[~b.chunk.space]
     off = np.concatenate([[0], np.cumsum(b.end - b.start)]).astype(np.int64)
@@ -196,10 +198,10 @@ def _symbols(b: _Block) -> str:
     return pair.tobytes().decode("utf-16-le")
 
 
-def _locate(b: _Block, found: pa.Table) -> np.ndarray:
+def _locate(b: Block, found: pa.Table) -> np.ndarray:
     """Words of the block that go."""
     depth = np.zeros(len(b.start) + 1, np.int64)
-    of, place, least = _confirmed(b, found)
+    of, place, least = confirmed(b, found)
     if not len(place):
         return depth[:-1] > 0
     text, width = _symbols(b), b.width
@@ -231,7 +233,7 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _clean(width: int, texts: bool):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        b = _Block(docs, width)
+        b = Block(docs, width)
         gone = _locate(b, found)
         lost = np.concatenate([[0], np.cumsum(gone)])
         removed = lost[b.first[1:]] - lost[b.first[:-1]]
@@ -259,26 +261,32 @@ def _clean(width: int, texts: bool):
     return run
 
 
+def sizes(docs: DataFrame) -> tuple[int, int]:
+    """(tasks, blocks) for the texts of ``docs``, by their bytes."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES + 1), max(1, size // BLOCK_BYTES)
+
+
+def repeated_phrases(dealt: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
+    """(block, k1, k2, ids): for each block of documents (columns block, doc_id, text), packed, the digests of its phrases that start under
+    a smaller id in another block, and that id.  Phrases within one block are the block's own to compare."""
+    packed = ", ".join(f"{c} binary" for c in ("k1", "k2", "ids"))
+    prints = dealt.groupBy("block").applyInArrow(_send_prints(width, gram, buckets), "bucket long, block long, prints binary, many binary")
+    hot = prints.groupBy("bucket").applyInArrow(_return_prints, "block long, prints binary")
+    sent = dealt.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(_send_phrases(width, gram, buckets), f"bucket long, block long, {packed}")
+    return sent.groupBy("bucket").applyInArrow(_return_phrases, f"block long, {packed}")
+
+
 def dedup_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space); with ``texts`` also
     those words (``kept``) and the removed runs of words (``spans``, ends exclusive)."""
     if not 0 < gram <= width:
         raise ValueError("a gram is no longer than a phrase")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES + 1)
-    blocks = max(1, size // BLOCK_BYTES)
+    tasks, blocks = sizes(docs)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(tasks, "block")
-
-    def by_block(df: DataFrame):
-        return df.groupBy("block")
-
-    packed = ", ".join(f"{c} binary" for c in ("k1", "k2", "ids"))
-    prints = by_block(dealt).applyInArrow(_send_prints(width, gram, tasks), "bucket long, block long, prints binary, many binary")
-    hot = prints.groupBy("bucket").applyInArrow(_return_prints, "block long, prints binary")
-    sent = by_block(dealt).cogroup(by_block(hot)).applyInArrow(_send_phrases(width, gram, tasks), f"bucket long, block long, {packed}")
-    found = sent.groupBy("bucket").applyInArrow(_return_phrases, f"block long, {packed}")
+    found = repeated_phrases(dealt, width, gram, tasks)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if texts:
         schema += ", kept string, spans array<struct<start:long,end:long>>"
-    return by_block(dealt).cogroup(by_block(found)).applyInArrow(_clean(width, texts), schema)
+    return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_clean(width, texts), schema)
