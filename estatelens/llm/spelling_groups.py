@@ -42,7 +42,7 @@ FILTER_BYTES = 32 << 20
 PROBE_WORDS = 20_000
 _CHUNK = 4 << 20
 _BATCH = 1 << 20
-_PART_BLOCKS = 4096
+_PART_BLOCKS = 256
 _U = np.uint64
 _VALUE = np.random.default_rng(20250211).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15
