@@ -16,6 +16,19 @@ select doc_id, len(words)::bigint as n_words, len(spots)::bigint as n_removed,
        sha256(coalesce(array_to_string(list_filter(words, lambda w, i: not list_contains(spots, i)), ' '), '')) as kept_sha256
 from kept"""
 
+#: op9: sets of 5-word shingles, links of Jaccard 0.8 or more, the smallest id that links reach
+JACCARD_SQL = r"""
+with recursive docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                          '[^\\x20\\x09-\\x0D]+') as words from documents),
+     sets as (select doc_id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+                     else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))) end as shingles from docs),
+     each as (select doc_id, len(shingles) as n, unnest(shingles) as shingle from sets),
+     links as (select a.doc_id as a, b.doc_id as b from each a join each b on a.shingle = b.shingle and a.doc_id < b.doc_id
+               group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+     ways as (select a, b from links union all select b, a from links),
+     reach as (select doc_id, doc_id as met from sets union select reach.doc_id, ways.b from reach join ways on reach.met = ways.a)
+select doc_id, len(shingles)::bigint as n_shingles, min(met) as component_id from sets join reach using (doc_id) group by doc_id, len(shingles)"""
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: op12: the ten best documents of each item

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estatelens.llm.oracle import PHRASES_SQL, SEARCH_SQL, SPELLING_SQL
+from estatelens.llm.oracle import JACCARD_SQL, PHRASES_SQL, SEARCH_SQL, SPELLING_SQL
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op9_ngram_jaccard_join")
+@query("op9_ngram_jaccard_join", JACCARD_SQL)
 def q_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estatelens.llm.jaccard_join import jaccard_components
     return jaccard_components(table(spark, sf_dir, "documents"))

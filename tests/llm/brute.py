@@ -107,3 +107,27 @@ def dedup_lines(rows, min_words=50):
             hit.update(a[x][0] for x in range(lo, hi))
         gone[d] = hit
     return gone
+
+
+def dedup_passages(rows, min_words=50):
+    """doc_id -> words left: without the lines that ``dedup_lines`` deletes, and without windows of ``min_words`` words that start in a
+    document with a smaller id too, or before in the same text without overlap."""
+    rows = sorted(rows)
+    lines = dedup_lines(rows, min_words)
+    words, first, out = {d: WORD.findall(t or "") for d, t in rows}, {}, {}
+    for d, w in words.items():
+        for i in range(len(w) - min_words + 1):
+            first.setdefault(tuple(w[i:i + min_words]), (d, i))
+    for d, t in rows:
+        gone, w, at = set(), words[d], 0
+        for i in range(len(w) - min_words + 1):
+            e, k = first[tuple(w[i:i + min_words])]
+            if e < d or i >= k + min_words:
+                gone.update(range(i, i + min_words))
+        for i, x in enumerate((t or "").split("\n")):
+            n = len(WORD.findall(x))
+            if i in lines[d]:
+                gone.update(range(at, at + n))
+            at += n
+        out[d] = [x for i, x in enumerate(w) if i not in gone]
+    return out

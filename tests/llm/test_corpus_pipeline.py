@@ -23,15 +23,15 @@ def test_stages(spark):
     assert all(not brute.base_counts(before[d]["text"])[5] for d in good)
 
     cut = materialize(P.dedup(spark, kept, SF))
-    gone = brute.dedup_lines([(d, before[d]["text"]) for d in good])
+    left = brute.dedup_passages([(d, before[d]["text"]) for d in good])
     got = rows(cut)
     assert cut.columns == docs.columns
+    assert any(len(left[d]) < len(brute.WORD.findall(before[d]["text"])) for d in good)
     for d in good:
-        left = [x for i, x in enumerate(before[d]["text"].split("\n")) if i not in gone[d]]
-        if not gone[d]:
+        if left[d] == brute.WORD.findall(before[d]["text"]):
             assert got[d] == before[d]
-        elif any(brute.WORD.search(x) for x in left):
-            assert got[d]["text"] == "\n".join(left) and got[d]["n_chars"] == len(got[d]["text"])
+        elif left[d]:
+            assert brute.WORD.findall(got[d]["text"]) == left[d] and got[d]["n_chars"] == len(got[d]["text"])
         else:
             assert d not in got
 
@@ -59,6 +59,21 @@ def test_stages(spark):
         tuple(r[c] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")) for r in packed)
 
 
+def test_passage_inside_lines_goes(spark):
+    """60 words that two unlike texts share in the middle of a line are gone from the later one after the stage."""
+    p = " ".join(f"p{i}" for i in range(60))
+    rows_ = [(1, f"one two {p} three"), (2, f"four five {p} six")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows_], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in P.dedup(spark, docs, SF).collect()} == {1: (rows_[0][1], len(rows_[0][1])), 2: ("four five six", 13)}
+
+
+def test_copies_go_by_row(spark):
+    """An id on two unlike texts, one of them a copy of another document's: only the copy goes."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b + " z"), (None, a)], "doc_id long, text string")
+    assert sorted(map(tuple, P.near_copies(spark, docs, SF).collect()), key=str) == sorted([(1, a), (5, b), (None, a)], key=str)
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
