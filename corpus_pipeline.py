@@ -5,10 +5,10 @@ written as Parquet and read again as the next one's ``docs``.  All but the last
 return the columns of documents.
 
 1. quality rules: documents that the rules reject go;
-2. line dedup: later repeats of runs of lines are cut, documents left without a
-   word go, ``n_chars`` follows the text;
+2. line dedup: later repeats of runs of lines, and of passages inside lines, are
+   cut, documents left without a word by it go, ``n_chars`` follows the text;
 3. n-gram Jaccard join: of documents linked to each other the one with the
-   smallest id stays (rows under one id are one document);
+   smallest id stays (texts under one id count one by one);
 4. mixing sources: documents as taken by the mix, one row for each unbroken
    stretch of a text in one pass over its source;
 5. packing: pieces of token ids with their sequence and offset.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from estatelens.llm import bfd_packing, line_dedup, line_quality, source_mix
 from estatelens.llm.frames import own_columns
-from estatelens.llm.jaccard_join import jaccard_components
+from estatelens.llm.jaccard_join import jaccard_rows
 from estatelens.llm.queries import table, tokenizer_path
 from estatelens.session import materialize
 
@@ -37,15 +37,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.dedup_lines(docs).where("n_lines_removed = 0 or text != ''")
+    cut = line_dedup.dedup_passages(docs)
+    touched = F.col("n_lines_removed") + F.col("n_words_cut") > 0
+    cut = cut.where(~touched | (F.col("text") != ""))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        cut = cut.withColumn("n_chars", F.when(touched, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cut.select(own_columns(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(own_columns(docs))
+    gone = jaccard_rows(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(gone, same, "left_anti").select(own_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
