@@ -60,6 +60,7 @@ COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|reply|replie
 W_BIAS, W_WORDS, W_LINKS, W_SENTENCE, W_HEADING, W_LIST, W_PARAGRAPH, W_MARK = -1.0, 0.6, -4.0, 0.8, 0.4, -0.5, 0.8, -3.0
 MARKS = re.compile(r"(?:©|\(c\)\s*\d{4}|all rights reserved|cookie|subscribe|sign up|log in|privacy policy|terms of (?:use|service))", re.I)
 SMOOTH_NEXT, SMOOTH_SIBLING = 1.2, 0.8
+WIDE, COMMENTS_WIDE = (0.5, 0.7), 0.9  # shares of a page's text between which an element's bad names lose their weight
 _BAD_ANCESTOR = -3.0  # a block whose ancestors weigh less lies in a region of its own
 
 
@@ -69,25 +70,28 @@ class Block:
     def __init__(self, text, links, element):
         self.text, self.links, self.tag = text, links, element.tag
         self.parent, self.path = element.parent or element, element
-        self.weight, self.comment = element.weight, element.comment
+        self.weight, self.comment = 0.0, False  # see ``weigh``
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "weight", "inside", "comment", "link", "hidden")
+    __slots__ = ("tag", "parent", "depth", "good", "bad", "inside", "comment", "link", "hidden", "chars", "main_chars", "weight", "met")
 
     def __init__(self, tag, parent, attrs=""):
         self.tag, self.parent = tag, parent
+        self.good = self.bad = 0.0  # the element's own weights
+        self.comment = False
+        self.chars = self.main_chars = 0  # of the text under it, and of that in an article or main element
+        self.weight, self.met = 0.0, False
         if parent is None:
-            self.depth, self.weight, self.comment, self.link, self.hidden, self.inside = 0, 0.0, False, False, False, False
+            self.depth, self.link, self.hidden, self.inside = 0, False, False, False
             return
         self.depth = parent.depth + 1
         self.inside = parent.inside or tag in GOOD_TAGS
         self.link = parent.link or tag == "a"
         self.hidden = parent.hidden
-        self.comment = parent.comment
-        w = parent.weight
+        w = 0.0
         if tag in GOOD_TAGS:
-            w += GOOD_TAGS[tag]
+            self.good += GOOD_TAGS[tag]
         elif tag in BAD_TAGS:
             # a header inside an article holds its headline
             w += 0.0 if tag == "header" and parent.inside else BAD_TAGS[tag]
@@ -100,8 +104,41 @@ class Element:
                 if BAD_NAMES.search(names):
                     w += W_BAD_NAME
                 elif GOOD_NAMES.search(names):
-                    w += W_GOOD_NAME
-        self.weight = w
+                    self.good += W_GOOD_NAME
+        self.bad = w
+
+
+def weigh(found: list[Block]) -> None:
+    """Weights of all blocks from the elements around them.
+
+    A name or tag that speaks against content counts the less, the more of the page's text lies under the element: a wrapper of the whole
+    page (``layout sidebar-left``, a page-wide form) is no sidebar.  That holds only where no article or main element lies elsewhere.
+    """
+    around: list[Element] = []
+    for b in found:
+        e = b.path
+        e.chars += len(b.text)
+        e.main_chars += len(b.text) * e.inside
+        while e is not None and not e.met:
+            e.met = True
+            around.append(e)
+            e = e.parent
+    around.sort(key=lambda e: e.depth)
+    for e in reversed(around):
+        if e.parent is not None:
+            e.parent.chars += e.chars
+            e.parent.main_chars += e.main_chars
+    for e in around:
+        root, share = around[0], e.chars / around[0].chars
+        whole = e.main_chars == root.main_chars  # no article elsewhere
+        lost = min(1.0, max(0.0, (share - WIDE[0]) / (WIDE[1] - WIDE[0]))) if whole else 0.0
+        e.weight = e.good + e.bad * (1.0 - lost)
+        e.comment = e.comment and not (whole and share > COMMENTS_WIDE)
+        if e.parent is not None:
+            e.weight += e.parent.weight
+            e.comment = e.comment or e.parent.comment
+    for b in found:
+        b.weight, b.comment = b.path.weight, b.path.comment
 
 
 def blocks(page: str) -> list[Block]:
@@ -112,6 +149,7 @@ def blocks(page: str) -> list[Block]:
     links = 0
     owner = root
     pos, n = 0, len(page)
+    endless: set[str] = set()
 
     def flush():
         nonlocal links
@@ -160,7 +198,9 @@ def blocks(page: str) -> list[Block]:
             add(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+            if end is None:
+                endless.add(tag)  # none follows further on either
             if end:
                 pos = end.end()
             elif tag in ("script", "style", "title", "textarea"):
@@ -255,7 +295,7 @@ def _near(a: Block, b: Block) -> float:
 
 
 def min_cut(to_source: list[float], to_sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Nodes on the source side of a minimum cut (the smallest such set), by shortest augmenting paths."""
+    """Nodes on the source side of a minimum cut (the smallest such set), by blocking flows in level graphs."""
     n = len(to_source)
     s, t = n, n + 1
     adj: list[list[int]] = [[] for _ in range(n + 2)]
@@ -280,27 +320,43 @@ def min_cut(to_source: list[float], to_sink: list[float], edges: list[tuple[int,
         edge(a, b, c, c)
     least = 1e-9
     while True:
-        via = [-1] * (n + 2)
-        via[s] = -2
+        level = [-1] * (n + 2)
+        level[s] = 0
         queue = deque([s])
-        while queue and via[t] == -1:
+        while queue:
             u = queue.popleft()
             for e in adj[u]:
                 v = to[e]
-                if via[v] == -1 and cap[e] > least:
-                    via[v] = e
+                if level[v] < 0 and cap[e] > least:
+                    level[v] = level[u] + 1
                     queue.append(v)
-        if via[t] == -1:
-            return [via[i] != -1 for i in range(n)]
-        flow, v = math.inf, t
-        while v != s:
-            flow = min(flow, cap[via[v]])
-            v = to[via[v] ^ 1]
-        v = t
-        while v != s:
-            cap[via[v]] -= flow
-            cap[via[v] ^ 1] += flow
-            v = to[via[v] ^ 1]
+        if level[t] < 0:
+            return [level[i] >= 0 for i in range(n)]
+        # every edge leads on or is given up once a level graph
+        nxt, path, u = [0] * (n + 2), [], s
+        while True:
+            if u == t:
+                flow = min(cap[e] for e in path)
+                cut = next(i for i, e in enumerate(path) if cap[e] - flow <= least)
+                for e in path:
+                    cap[e] -= flow
+                    cap[e ^ 1] += flow
+                u = to[path[cut] ^ 1]  # on from the first edge that is full
+                del path[cut:]
+                continue
+            while nxt[u] < len(adj[u]):
+                e = adj[u][nxt[u]]
+                if cap[e] > least and level[to[e]] == level[u] + 1:
+                    break
+                nxt[u] += 1
+            else:
+                if u == s:
+                    break
+                level[u] = -1
+                u = to[path.pop() ^ 1]
+                continue
+            path.append(e)
+            u = to[e]
 
 
 def label(found: list[Block]) -> list[bool]:
@@ -322,6 +378,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
+    weigh(found)
     return "\n".join(b.text for b, keep in zip(found, label(found)) if keep)
 
 
