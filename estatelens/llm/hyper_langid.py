@@ -1,14 +1,16 @@
 """Language ID with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1.  A letter n-gram is the product
-of its letters' vectors, each rotated by its place (binding); a text is the sum
-of its n-gram vectors (bundling), and a language's prototype is the sum over
-all its training texts.  A document gets the language whose prototype has the
-greatest cosine with it.
-
-N-grams are three letters long, inside one word, with the word's edges as
-letters.  Training counts n-grams by language over all training rows (an
-aggregate of at most languages x 64**3 rows) and bundles the counts.
+Each letter has a random vector of +1 and -1, derived from a hash of its code
+point, so every letter of every script has its own.  A letter n-gram is the
+product of its letters' vectors, each rotated by its place (binding); a text is
+the sum of its n-gram vectors (bundling), and a language's prototype is the sum
+over all its training texts.  A document gets the language whose prototype has
+the greatest cosine with it.
+
+N-grams are three letters long, inside one word, in lower case, with the word's
+edges as letters.  Letters are the characters of a Unicode category L.  Training
+bundles the n-grams of each task by language; what is added up is one vector a
+task and language.
 
 Defined results: a null text, an empty one or one without letters is ``und``
 with score 0; with nothing to learn from every text is; equal cosines go to the
@@ -18,7 +20,7 @@ empty table.  A prediction reads the text alone.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -28,95 +30,110 @@ from pyspark.sql import functions as F
 from estatelens.llm import words as W
 
 DIMENSIONS = 1024
-SYMBOLS = 64
-GRAMS = SYMBOLS**3
 SEED = 7
 FOLDS, HELD_OUT = 5, 0
-_LETTER = re.compile(r"[^\W\d_]")
-
-_ASCII = np.zeros(128, np.int64)
-_ASCII[97:123] = np.arange(1, 27)
-_ASCII[65:91] = np.arange(1, 27)
+EDGE = 0
+_U = np.uint64
+# letter of every code point in lower case, 0 where it is none; -1: not asked for yet
+_LETTERS = np.full(0x110000, -1, np.int32)
 
 
-def _other(cp: np.ndarray) -> np.ndarray:
-    """Symbol of a code point beyond ASCII: 27 and up, lower case first; 0 for signs and general punctuation."""
-    cp = np.where((cp >= 0xC0) & (cp <= 0xDE) | (cp >= 0x391) & (cp <= 0x3A9) | (cp >= 0x410) & (cp <= 0x42F), cp + 32, cp)
-    cp = np.where((cp >= 0x100) & (cp < 0x180), cp | 1, cp)
-    sign = (cp < 0xC0) | (cp == 0xD7) | (cp == 0xF7) | (cp >= 0x2000) & (cp < 0x2C00) | (cp >= 0x3000) & (cp < 0x3040) | (cp >= 0xE000) & (cp < 0xF900)
-    return np.where(sign, 0, 27 + cp % (SYMBOLS - 27))
+def letters(points: np.ndarray) -> np.ndarray:
+    """The lower-case letter of each code point, ``EDGE`` for all that is no letter."""
+    met = np.zeros(len(_LETTERS), bool)
+    met[points] = True
+    for p in np.flatnonzero(met & (_LETTERS < 0)).tolist():
+        c = chr(p)
+        low = c.lower()
+        _LETTERS[p] = (ord(low) if len(low) == 1 else p) if unicodedata.category(c)[0] == "L" else EDGE
+    return _LETTERS[points]
 
 
 def symbols(chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol, text) of every code point, with an edge symbol 0 before, between and after texts."""
+    """(letter, text) of every code point, with an edge before, between and after texts."""
     n = len(chunk.data)
     row = np.repeat(np.arange(len(chunk)), np.diff(chunk.off))
-    data = np.full(n + len(chunk) + 3, 32, np.uint8)
+    data = np.full(n + len(chunk) + 4, 32, np.uint8)
     place = np.arange(n) + row + 1
     data[place] = chunk.data
     text = np.full(len(data), -1, np.int64)
     text[place] = row
     lead = np.flatnonzero((data & 0xC0) != 0x80)
-    lead = lead[lead < len(data) - 2]  # the last are fillers
-    b = data[lead].astype(np.int64)
-    sym = _ASCII[np.minimum(b, 127)]
-    wide = np.flatnonzero(b >= 0x80)
+    lead = lead[lead < len(data) - 3]  # the last are fillers
+    points = data[lead].astype(np.int64)
+    wide = np.flatnonzero(points >= 0x80)
     if len(wide):
-        at = lead[wide]
-        b0 = b[wide]
-        b1, b2 = data[at + 1].astype(np.int64) & 0x3F, data[at + 2].astype(np.int64) & 0x3F
-        cp = np.where(b0 < 0xE0, (b0 & 0x1F) << 6 | b1, (b0 & 0x0F) << 12 | b1 << 6 | b2)
-        sym[wide] = np.where(b0 >= 0xF0, 27 + (b1 << 6 | b2) % (SYMBOLS - 27), _other(cp))
-    return sym, text[lead]
+        at, b0 = lead[wide], points[wide]
+        b1, b2, b3 = (data[at + i].astype(np.int64) & 0x3F for i in (1, 2, 3))
+        points[wide] = np.where(b0 < 0xE0, (b0 & 0x1F) << 6 | b1,
+                                np.where(b0 < 0xF0, (b0 & 0x0F) << 12 | b1 << 6 | b2, (b0 & 0x07) << 18 | b1 << 12 | b2 << 6 | b3))
+    return letters(points).astype(np.int64), text[lead]
 
 
 def grams(chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
     """(text, code) of every n-gram of a chunk; the middle is a letter."""
     s, text = symbols(chunk)
     mid = np.flatnonzero(s[1:-1] > 0) + 1
-    return text[mid], s[mid - 1] * SYMBOLS**2 + s[mid] * SYMBOLS + s[mid + 1]
+    return text[mid], s[mid - 1] << 42 | s[mid] << 21 | s[mid + 1]
+
+
+def letter_vectors(points: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """The vector of each letter, (points, dimensions) of +1 and -1: the bits of hashes of its code point."""
+    with np.errstate(over="ignore"):
+        word = W.mix(points.astype(np.uint64)[:, None] * _U(0x9E3779B97F4A7C15) + W.mix(np.arange(1, (dimensions + 63) // 64 + 1, dtype=np.uint64) + _U(SEED << 32))[None, :])
+    bits = np.unpackbits(np.ascontiguousarray(word).view(np.uint8), axis=1)[:, :dimensions]
+    return bits.astype(np.float32) * 2 - 1
 
 
 def gram_vectors(codes: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
     """Bound vectors of n-grams, (codes, dimensions)."""
-    base = np.random.default_rng(SEED).integers(0, 2, (SYMBOLS, dimensions)).astype(np.float32) * 2 - 1
-    a, b, c = (np.roll(base, 2 - i, axis=1) for i in range(3))
-    return a[codes // SYMBOLS**2] * b[codes // SYMBOLS % SYMBOLS] * c[codes % SYMBOLS]
+    place = [codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF]
+    points = np.unique(np.concatenate(place))
+    base = letter_vectors(points, dimensions)
+    out = None
+    for i, p in enumerate(place):
+        v = np.roll(base, 2 - i, axis=1)[np.searchsorted(points, p)]
+        out = v if out is None else np.multiply(out, v, out=out)
+    return out
 
 
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _count(batches):
+def bundle(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of the vectors of n-grams, each as often as it counts."""
+    out = np.zeros(DIMENSIONS)
+    for lo in range(0, len(codes), 8192):
+        out += counts[lo:lo + 8192].astype(np.float64) @ gram_vectors(codes[lo:lo + 8192]).astype(np.float64)
+    return out
+
+
+def _learn(batches):
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         lang = np.array(batch.column("lang").to_pylist(), dtype=object)
         for chunk in W.chunks(batch.column("text")):
             text, code = grams(chunk)
             own = lang[chunk.lo:chunk.hi]
-            for name in set(own.tolist()):
-                if name not in total:
-                    total[name] = np.zeros(GRAMS, np.int64)
-                total[name] += np.bincount(code[(own == name)[text]], minlength=GRAMS)
-    for name, c in total.items():
-        at = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(c[at])],
-                                         ["lang", "gram", "n"])
+            for name in sorted(set(own.tolist())):
+                part = bundle(*np.unique(code[(own == name)[text]], return_counts=True))
+                total[name] = total[name] + part if name in total else part
+    place = np.arange(DIMENSIONS)
+    for name, v in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS, pa.string()), pa.array(place), pa.array(v.astype(np.int64))], ["lang", "place", "n"])
 
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, prototypes) from the rows that are not held out and have a language."""
     train = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
-    rows = (train.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-            .toPandas())
+    rows = (train.mapInArrow(_learn, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+            .toPandas())  # one vector a language
     langs = sorted(rows["lang"].unique())
     protos = np.zeros((len(langs), DIMENSIONS))
     for i, name in enumerate(langs):
-        mine = rows[rows["lang"] == name].sort_values("gram")
-        for lo in range(0, len(mine), 8192):
-            part = mine.iloc[lo:lo + 8192]
-            protos[i] += part["n"].to_numpy(np.float64) @ gram_vectors(part["gram"].to_numpy(np.int64)).astype(np.float64)
+        mine = rows[rows["lang"] == name]
+        protos[i, mine["place"].to_numpy()] = mine["n"].to_numpy(np.float64)
     return langs, protos
 
 
@@ -124,37 +141,43 @@ class Encoder:
     """Bundles the texts of a chunk; vectors of n-grams met are kept, up to a bound."""
 
     def __init__(self, most: int = 24_000):
-        self.most, self.slot, self.rows, self.used = most, np.full(GRAMS, -1, np.int64), None, 0
-
-    def bundle(self, chunk: W.Chunk) -> np.ndarray:
+        self.most, self.codes, self.rows = most, np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32)
+
+    def _vectors(self, codes: np.ndarray) -> np.ndarray:
+        """Vectors of sorted codes."""
+        at = np.searchsorted(self.codes, codes)
+        known = np.zeros(len(codes), bool)
+        inside = at < len(self.codes)
+        known[inside] = self.codes[at[inside]] == codes[inside]
+        if not known.all():
+            fresh = gram_vectors(codes[~known])
+            if len(self.codes) + len(fresh) > self.most:
+                keep = np.zeros(len(self.codes), bool)
+                keep[at[known]] = True
+                self.codes, self.rows = self.codes[keep], self.rows[keep]
+            every = np.concatenate([self.codes, codes[~known]])
+            order = np.argsort(every, kind="stable")
+            self.codes, self.rows = every[order], np.concatenate([self.rows, fresh])[order]
+            at = np.searchsorted(self.codes, codes)
+        return self.rows[at]
+
+    def bundle(self, chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of the n-grams' vectors, whether there are any) of each text."""
         text, code = grams(chunk)
-        seen = np.zeros(GRAMS, bool)
-        seen[code] = True
-        codes = np.flatnonzero(seen)
+        has = np.zeros(len(chunk), bool)
+        has[text] = True
+        codes, own = np.unique(code, return_inverse=True)
         out = np.zeros((len(chunk), DIMENSIONS), np.float32)
         for lo in range(0, len(codes), self.most):
-            part = codes[lo:lo + self.most]
-            new = part[self.slot[part] < 0]
-            if self.rows is None or self.used + len(new) > len(self.rows):
-                if self.used + len(new) > self.most:
-                    self.slot[:], self.used, new = -1, 0, part
-                rows = np.empty((min(self.most, 2 * (self.used + len(new))), DIMENSIONS), np.float32)
-                if self.used:
-                    rows[:self.used] = self.rows[:self.used]
-                self.rows = rows
-            self.rows[self.used:self.used + len(new)] = gram_vectors(new)
-            self.slot[new] = np.arange(self.used, self.used + len(new))
-            self.used += len(new)
-            local = np.full(GRAMS, -1, np.int64)
-            local[part] = np.arange(len(part))
-            own = local[code]
-            ok = own >= 0
+            vectors = self._vectors(codes[lo:lo + self.most])
+            k = len(vectors)
+            here = (own >= lo) & (own < lo + k)
             for d in range(0, len(chunk), 512):  # bounded count matrix
-                k = min(512, len(chunk) - d)
-                at = ok & (text >= d) & (text < d + k)
-                count = np.bincount((text[at] - d) * len(part) + own[at], minlength=k * len(part)).reshape(k, -1)
-                out[d:d + k] += count.astype(np.float32) @ self.rows[self.slot[part]]
-        return out
+                m = min(512, len(chunk) - d)
+                at = here & (text >= d) & (text < d + m)
+                count = np.bincount((text[at] - d) * k + own[at] - lo, minlength=m * k).reshape(m, -1)
+                out[d:d + m] += count.astype(np.float32) @ vectors
+        return out, has
 
 
 def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
@@ -166,7 +189,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
         encoder = Encoder()
         for batch in batches:
             for chunk in W.chunks(batch.column("text")):
-                v = encoder.bundle(chunk)
+                v, has = encoder.bundle(chunk)
                 size = np.linalg.norm(v, axis=1)
                 lang = np.full(len(chunk), "und", dtype=object)
                 score = np.zeros(len(chunk))
@@ -175,14 +198,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
                     best = cos.argmax(1)
                     lang = np.array(langs, dtype=object)[best]
                     score = np.clip(cos[np.arange(len(best)), best].astype(np.float64), 0, 1)
-                lang[size == 0] = "und"
-                for i in np.flatnonzero(~_has_ascii_letter(chunk)):
-                    # rare: no plain letter, so ask Unicode
-                    t = chunk.data[chunk.off[i]:chunk.off[i + 1]].tobytes().decode("utf-8", "replace")
-                    if not _LETTER.search(t):
-                        lang[i], score[i] = "und", 0.0
-                    elif lang[i] == "und" and langs:  # letters without a symbol
-                        lang[i] = langs[0]
+                lang[~has] = "und"
                 score[lang == "und"] = 0.0
                 rows = slice(chunk.lo, chunk.hi)
                 yield pa.RecordBatch.from_arrays(
@@ -192,8 +208,3 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(
         run, "doc_id long, held_out boolean, lang_pred string, score double")
 
-
-def _has_ascii_letter(chunk: W.Chunk) -> np.ndarray:
-    c = np.zeros(len(chunk.data) + 1, np.int64)
-    np.cumsum(_ASCII[np.minimum(chunk.data, 127)] * (chunk.data < 128) > 0, out=c[1:])
-    return c[chunk.off[1:]] > c[chunk.off[:-1]]
