@@ -36,12 +36,18 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 # Added rules: (literal that must occur, pattern).
 ADDED = {
     "pem": (b"-----BEGIN ", re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?")),
-    "jwt": (b"eyJ", re.compile(rb"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     "forge": (b"gh", re.compile(rb"\bgh[pousr]_[A-Za-z0-9]{36,}\b")),
     "chat": (b"xox", re.compile(rb"\bxox[abprs]-[A-Za-z0-9-]{10,}")),
-    "url": (b"://", re.compile(rb"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@[^\s/@]+")),
 }
-VERSIONS = {**{k: 1 for k in BASE}, **{k: 1 for k in ADDED}}
+# Rules whose runs are found from their literal, so that a long run is read once:
+# \beyJ[A-Za-z0-9_-]{8,} and two more such runs, joined by stops; \b[a-z][a-z0-9+.-]*://user:password@host.
+JWT_RUN = re.compile(rb"[A-Za-z0-9_-]*")
+JWT_LEAST = 8
+URL_TAIL = re.compile(rb"://[^\s/:@]+:[^\s/:@]+@[^\s/@]+")
+URL_SCHEME = b"abcdefghijklmnopqrstuvwxyz0123456789+.-"
+URL_START = re.compile(rb"(?<![A-Za-z0-9_])[a-z]")
+WORD_BYTE = re.compile(rb"[A-Za-z0-9_]")
+VERSIONS = {k: 1 for k in (*BASE, "pem", "jwt", "forge", "chat", "url")}
 ORDER = {k: i for i, k in enumerate(VERSIONS)}
 SPANS = "array<struct<start:long,rank:int,kind:string,end:long>>"
 
@@ -64,6 +70,41 @@ def _assign(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def _jwt(text: bytes) -> list[tuple[int, int]]:
+    # three whole runs with stops between them; a run is measured once, however many starts it holds
+    out, last, at = [], 0, text.find(b"eyJ")
+    run = three = -1
+    while at >= 0:
+        if at >= run:
+            run = JWT_RUN.match(text, at).end()
+            ends = [run]
+            while len(ends) < 3 and text[ends[-1]:ends[-1] + 1] == b".":
+                ends.append(JWT_RUN.match(text, ends[-1] + 1).end())
+            three = ends[2] if len(ends) == 3 and min(b - a - 1 for a, b in zip(ends, ends[1:])) >= JWT_LEAST else -1
+        if at >= last and three >= 0 and run - at - 3 >= JWT_LEAST and not (at and WORD_BYTE.match(text, at - 1)):
+            out.append((at, three))
+            last = three
+            at = text.find(b"eyJ", last)
+        else:
+            at = text.find(b"eyJ", at + 1)
+    return out
+
+
+def _url(text: bytes) -> list[tuple[int, int]]:
+    # the scheme is read back from each ://, over no byte twice
+    out, last, at = [], 0, text.find(b"://")
+    while at >= 0:
+        before = text[last:at]
+        scheme = at - (len(before) - len(before.rstrip(URL_SCHEME)))
+        m = URL_START.search(text, scheme, at)
+        tail = URL_TAIL.match(text, at) if m else None
+        if tail:
+            out.append((m.start(), tail.end()))
+        last = tail.end() if tail else at + 3
+        at = text.find(b"://", last)
+    return out
+
+
 def find(kind: str, text: bytes) -> list[tuple[int, int]]:
     """Byte spans of one rule, leftmost and non-overlapping."""
     if kind == "assign":
@@ -72,6 +113,8 @@ def find(kind: str, text: bytes) -> list[tuple[int, int]]:
         return [m.span() for m in ACCESS.finditer(text)] if b"AKIA" in text else []
     if kind == "hex":
         return [m.span() for m in HEX.finditer(text)]
+    if kind in ("jwt", "url"):
+        return (_jwt if kind == "jwt" else _url)(text)
     literal, pattern = ADDED[kind]
     return [m.span() for m in pattern.finditer(text)] if literal in text else []
 
@@ -111,24 +154,30 @@ def _known(spark, ledger: str) -> DataFrame:
         return spark.createDataFrame([], f"blob string, rules array<string>, spans {SPANS}")
 
 
-def scan(docs: DataFrame, ledger: str, versions: dict[str, int] = VERSIONS) -> DataFrame:
-    """(doc_id, blob, spans) of every row, after scanning what ``ledger`` (a folder all executors share) lacks."""
-    spark = docs.sparkSession
-    rules = F.array(*[F.lit(f"{k}@{v}") for k, v in versions.items()])
+def _held(docs: DataFrame) -> DataFrame:
     held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    held = held.withColumn("blob", F.sha2("text", 256))
-    done = _known(spark, ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
-    todo = (held.groupBy("blob").agg(F.any_value("text").alias("text")).join(done, "blob", "left")
+    return held.withColumn("blob", F.sha2("text", 256))
+
+
+def update(docs: DataFrame, ledger: str, versions: dict[str, int] = VERSIONS) -> None:
+    """Scan what ``ledger`` (a folder all executors share) lacks of the blobs of ``docs``, and append it."""
+    rules = F.array(*[F.lit(f"{k}@{v}") for k, v in versions.items()])
+    done = _known(docs.sparkSession, ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
+    todo = (_held(docs).groupBy("blob").agg(F.any_value("text").alias("text")).join(done, "blob", "left")
             .withColumn("rules", F.array_except(rules, F.coalesce("done", F.array().cast("array<string>"))))
             .where("size(rules) > 0").select("blob", "text", "rules"))
     todo.mapInArrow(_scan, f"blob string, rules array<string>, spans {SPANS}").write.mode("append").parquet(ledger)
 
-    wanted = spark.read.parquet(ledger).select("blob", "rules", F.explode("spans").alias("s"))
+
+def scan(docs: DataFrame, ledger: str, versions: dict[str, int] = VERSIONS) -> DataFrame:
+    """(doc_id, blob, spans) of every row, after scanning what ``ledger`` lacks."""
+    update(docs, ledger, versions)
+    wanted = docs.sparkSession.read.parquet(ledger).select("blob", "rules", F.explode("spans").alias("s"))
     # a ledger row names the versions that found its spans: only those of the current ones count
     current = F.create_map(*[F.lit(x) for k, v in versions.items() for x in (k, f"{k}@{v}")])
     wanted = wanted.where(F.array_contains("rules", current[F.col("s.kind")])).groupBy("blob").agg(
         F.array_sort(F.collect_set("s")).alias("spans"))  # the spans of one text
-    return held.select("doc_id", "blob").join(wanted, "blob", "left").select(
+    return _held(docs).select("doc_id", "blob").join(wanted, "blob", "left").select(
         "doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 

@@ -222,12 +222,47 @@ def test_language_odd_rows(spark):
 def test_bundle_is_sum_of_bound_vectors():
     import pyarrow as pa
     from estatelens.llm import words as W
-    chunk = next(W.chunks(pa.array(["ab", "ba ab"])))
-    v = hyper_langid.Encoder().bundle(chunk)
-    base = np.random.default_rng(hyper_langid.SEED).integers(0, 2, (64, hyper_langid.DIMENSIONS)) * 2 - 1
-    gram = lambda x, y, z: np.roll(base[x], 2) * np.roll(base[y], 1) * base[z]
-    ab, ba = gram(0, 1, 2) + gram(1, 2, 0), gram(0, 2, 1) + gram(2, 1, 0)
-    assert (v[0] == ab).all() and (v[1] == ab + ba).all()
+    texts = ["ab", "ba ab", "", "Жук жук 汉字", "² ½ 12 ①", "É\u0301é"]
+    got, has = hyper_langid.Encoder(most=4).bundle(next(W.chunks(pa.array(texts))))
+    base = lambda c: hyper_langid.letter_vectors(np.array([ord(c) if c else 0]))[0]
+    gram = lambda x, y, z: np.roll(base(x), 2) * np.roll(base(y), 1) * base(z)
+    import unicodedata
+    for t, v in zip(texts, got):
+        s = ["", *[c.lower() if unicodedata.category(c)[0] == "L" else "" for c in t], ""]
+        assert (v == sum((gram(*s[i - 1:i + 2]) for i in range(1, len(s) - 1) if s[i]), np.zeros(1024))).all()
+    assert has.tolist() == [True, True, False, True, False, True]
+    rows = hyper_langid.letter_vectors(np.arange(0x400, 0x460))
+    assert len(np.unique(rows, axis=0)) == 0x60 and abs((rows @ rows.T - 1024 * np.eye(0x60)) / 1024).max() < 0.2
+
+
+def test_language_prediction_is_the_nearest_prototype(spark):
+    """Plain sums of plain vectors, and the greatest cosine, on a few short texts of three scripts."""
+    import unicodedata
+    import zlib
+    train = [("en", "the cat and the hat"), ("en", "that thing there"), ("ru", "жук и жаба"), ("ru", "живой уж"), ("zh", "汉字 和 汉语"), (None, "no language")]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(train * 4)], "doc_id long, text string, lang string")
+
+    def vector(t):
+        s = [0, *[ord(c.lower()) if unicodedata.category(c)[0] == "L" else 0 for c in t], 0]
+        v = hyper_langid.letter_vectors(np.array(s)).astype(np.float64)
+        return sum((np.roll(v[i - 1], 2) * np.roll(v[i], 1) * v[i + 1] for i in range(1, len(s) - 1) if s[i]), np.zeros(1024))
+
+    proto = {}
+    for r in docs.collect():
+        if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            proto[r["lang"]] = proto.get(r["lang"], 0) + vector(r["text"])
+    langs, protos = hyper_langid.fit(docs)
+    assert langs == sorted(proto) and np.array_equal(protos, np.array([proto[x] for x in langs]))
+    asked = [(100, "THE HAT"), (101, "жаба"), (102, "语"), (103, "²"), (104, "½ 12"), (105, "١٢"), (106, None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in hyper_langid.predict(spark.createDataFrame(asked, "doc_id long, text string"), langs, protos).collect()}
+    for d, t in asked:
+        v = vector(t or "")
+        if not v.any():
+            assert got[d] == ("und", 0.0)
+        else:
+            cos = {x: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for x, p in proto.items()}
+            best = max(sorted(cos), key=cos.get)
+            assert got[d][0] == best and got[d][1] == pytest.approx(max(0.0, cos[best]), abs=1e-5)
 
 
 # ---- toxicity ----
@@ -358,6 +393,28 @@ def test_min_cut_is_minimal():
         assert cost(html_mincut.min_cut(s, t, edges)) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("wrap", ['<div class="layout sidebar-left">', '<div class="content-with-sidebar">', '<div class="page has-ads">', "<form>",
+                                  '<div id="menu-page"><div class="comment-enabled promo">'])
+def test_wrappers_of_the_whole_page_keep_its_text(wrap):
+    """A name or tag that speaks against content does not when the whole page lies under it."""
+    texts = [f"Paragraph {i} of a plain page that says one thing after the other, with a hundred characters or so, as articles do." for i in range(4)]
+    page = f"<html><body>{wrap}{''.join(f'<p>{t}</p>' for t in texts)}<div class='ad'>Buy now</div><nav><a href=x>Home</a> <a href=y>News</a></nav></body></html>"
+    assert html_mincut.main_text(page) == "\n".join(texts)
+    # not so where the article lies elsewhere
+    beside = f"<article>{''.join(f'<p>{t}</p>' for t in texts[:1])}</article><div class='sidebar'>{''.join(f'<p>{t}</p>' for t in texts[1:])}</div>"
+    assert html_mincut.main_text(beside) == texts[0]
+
+
+@pytest.mark.parametrize("page", ["".join(f"<div><p>Sentence number {i} of a long page, with words.</p><p><a href=x>link {i}</a></p></div>" for i in range(9_000)),
+                                  "<button>" * 60_000 + "x", "".join(f"<li><a href=x>{i}</a> text {i}" for i in range(30_000))])
+def test_long_pages_take_time_in_proportion(page):
+    import time
+    assert len(page) > 450_000
+    t = time.time()
+    html_mincut.main_text(page)
+    assert time.time() - t < 20
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = html_mincut.extract(pages).collect()

@@ -1,6 +1,7 @@
 """Operators on texts against plain versions: on the small tables, and on odd rows."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -250,3 +251,25 @@ def test_ledger_drops_spans_of_older_versions(spark):
     spark.createDataFrame([(first["blob"], ["hex@2"], [])], spark.read.parquet(ledger).schema).write.mode("append").parquet(ledger)
     again = secret_ledger.scan(docs, ledger, {"assign": 1, "hex": 2}).collect()[0]
     assert [s["kind"] for s in again["spans"]] == ["assign"]
+
+
+JWT = re.compile(rb"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+URL = re.compile(rb"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@[^\s/@]+")
+
+
+def test_runs_from_their_literal_equal_the_patterns():
+    """The rules that start at a literal find what the whole patterns find."""
+    rng = random.Random(8)
+    for alphabet, kind, pattern in ((["eyJ", "abcdefgh", "a", ".", "-", "_", " ", "eyJabcdefgh.abcdefgh.abcdefgh"], "jwt", JWT),
+                                    (["a", "b+", "1", ".", "://", ":", "@", "/", " ", "_", "Z", "u:p@h", "http://u:p@h"], "url", URL)):
+        for _ in range(4_000):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 14))).encode()
+            assert secret_ledger.find(kind, text) == [m.span() for m in pattern.finditer(text)], text
+
+
+def test_secrets_in_a_megabyte_of_near_misses():
+    import time
+    for kind, text in (("url", b"a." * 500_000 + b"://"), ("url", b"a://" * 250_000), ("jwt", b"eyJ-" * 250_000), ("jwt", b"eyJabcdefgh." * 80_000)):
+        t = time.time()
+        secret_ledger.find(kind, text)
+        assert time.time() - t < 5, (kind, text[:8])
