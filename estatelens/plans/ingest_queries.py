@@ -200,6 +200,15 @@ def q_ingest_parse_log(spark: SparkSession, sf_dir: str) -> DataFrame:
               .select("city_key", "entry", "value")
 
 
+@register("ingest_blank_counts", O.with_ctes(INGEST_SQL, """
+SELECT city_key, unnest(['blank:area', 'blank:bedrooms']) AS entry,
+       unnest([count(*) FILTER (WHERE area IS NULL), count(*) FILTER (WHERE bedrooms IS NULL)]) AS value
+FROM staged0 WHERE _drop IS DISTINCT FROM 7 GROUP BY city_key"""))
+def q_ingest_blank_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-6: blanks of every required column among the rows that have a price, before they are dropped."""
+    return ingested(spark, sf_dir).feed_log.where(F.col("entry").startswith("blank:")).select("city_key", "entry", "value")
+
+
 @register("area_basis_report", O.with_ctes(INGEST_SQL, """
 SELECT city_key, CASE WHEN count(DISTINCT area_basis) = 1 THEN min(area_basis) END AS area_basis,
        count(DISTINCT area_basis) > 1 AS mixed

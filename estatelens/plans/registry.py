@@ -48,4 +48,4 @@ def _load() -> None:
     # importing the plan modules fills REGISTRY
     from estatelens.plans import (feature_queries, ingest_queries, queries, rate_queries,  # noqa: F401
                                   report_queries, valuation_queries)
-    from estatelens.plans import check_queries, model_queries, tree_queries  # noqa: F401  (after the others)
+    from estatelens.plans import branch_queries, check_queries, model_queries, tree_queries  # noqa: F401  (after the others)

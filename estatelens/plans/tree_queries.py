@@ -100,7 +100,7 @@ placed AS (
          lead(v) OVER (PARTITION BY city_key, tree ORDER BY v) AS nxt FROM chains
 ),
 nodes AS (
-  SELECT city_key, tree, m - 1 + i AS node, NULL AS feature, NULL AS threshold, NULL AS l, NULL AS r, value FROM placed
+  SELECT city_key, tree, m - 1 + i AS node, NULL::VARCHAR AS feature, NULL::DOUBLE AS threshold, NULL::BIGINT AS l, NULL::BIGINT AS r, value FROM placed
   UNION ALL
   SELECT city_key, tree, i, feature, (v + nxt) / 2, m - 1 + i, CASE WHEN i = m - 2 THEN 2 * m - 2 ELSE i + 1 END, 0.0 FROM placed WHERE i < m - 1
 )"""
