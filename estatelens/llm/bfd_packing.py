@@ -113,7 +113,7 @@ def plan(count: dict[int, int], window: int = WINDOW) -> tuple[dict[int, list[tu
 # ---- token ids ----
 
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^\sa-z0-9\xDF-\xF6\xF8-\xFF]+")
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _LETTER, _SPACE, _SIGN, _OTHER = range(4)
 _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[0x21:0x7F] = _SIGN
@@ -176,16 +176,16 @@ class TokenBytes:
     marks; any other text goes to the tokenizer whole.  At most ``most`` parts are kept.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.most = most
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.off, self.ids = np.zeros(1, np.int64), np.zeros(0, "<u4")
 
@@ -220,7 +220,7 @@ class TokenBytes:
         w = _Words(chunk)
         new = [p for p in w.parts if p not in self.place]
         if len(self.place) + len(new) > self.most:
-            self._clear()
+            self.clear()
             new = w.parts
         if new:
             self._learn(new)
@@ -249,9 +249,10 @@ _CODERS: dict[str, TokenBytes] = {}
 
 
 def coder_of(path: str) -> TokenBytes:
-    """The tokenizer of a vocabulary file with the parts it has learned, one for a worker's life."""
+    """The tokenizer of a vocabulary file, read once a worker; the parts it has learned are a task's."""
     if path not in _CODERS:
         _CODERS[path] = TokenBytes(path)
+    _CODERS[path].clear()
     return _CODERS[path]
 
 
@@ -280,6 +281,7 @@ def _pieces(path: str, window: int, with_ids: bool):
                 types = [pa.int64()] * 5 + [pa.int32(), pa.int64()] + [pa.binary()] * with_ids
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "place"] + ["ids"] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+        coder.clear()  # an idle worker holds no words
     return run
 
 
