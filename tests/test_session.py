@@ -47,7 +47,21 @@ def test_tables_are_released():
     subprocess.run([sys.executable, "-c", code], check=True, timeout=200, cwd=ROOT)
 
 
-def test_entry_without_corpus_subpackage():
-    code = ("import sys; sys.modules['estatelens.llm'] = None; import __spark_entry__ as e; "
-            "q = e.queries(); assert len(q) > 50 and not any(k.startswith('op') for k in q) and 'pipeline' not in q; e.oracle_sql()")
-    subprocess.run([sys.executable, "-c", code], check=True, timeout=100, cwd=ROOT)
+def test_entry_without_corpus_subpackage(tmp_path):
+    """In a copy without the corpus folders the entry imports and has all other queries."""
+    import shutil
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
+    code = ("import __spark_entry__ as e; q = e.queries(); "
+            "assert len(q) > 50 and not any(k.startswith('op1') for k in q) and 'pipeline' not in q; assert e.oracle_sql()")
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=100, cwd=copy)
+
+
+def test_package_reaches_the_workers(tmp_path):
+    """A session started elsewhere, whose workers cannot import the package by themselves."""
+    code = (f"import sys; sys.path.insert(0, {ROOT!r}); from pyspark.sql import SparkSession; "
+            "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); "
+            "from estatelens.session import ship_package; ship_package(s); ship_package(s); "
+            "f = lambda it: [__import__('estatelens.functions.columns').__name__ for _ in it]; "
+            "assert s.sparkContext.parallelize([1], 1).mapPartitions(f).collect() == ['estatelens']; s.stop()")
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=200, cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
