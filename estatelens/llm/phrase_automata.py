@@ -57,27 +57,53 @@ class Block:
         self.start, self.end, self.first = self.chunk.words()
         self.text = np.repeat(np.arange(len(order)), np.diff(self.first))  # of each word
         h = self.chunk.span_hash(self.start, self.end)
-        self.at, self.k1 = W.windows(h, self.first, width)
-        self.total = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * W._powers(len(h) + 1)[0][:len(h)], out=self.total[1:])
-        self.k2 = (self._runs(width)[self.at] >> np.uint64(32)) if len(self.at) else self.k1
-
-    def _runs(self, k: int) -> np.ndarray:
-        """Hash of every run of ``k`` words."""
-        t = self.total
-        return W.mix((t[k:] - t[:-k]) * W._powers(len(t))[1][:len(t) - k])
+        self.hashes, self.total = h, self._sums(h)
+        n = max(0, len(h) - width + 1)
+        self.at = np.flatnonzero(np.arange(n) + width <= self.first[1:][self.text[:n]])  # where a phrase starts
+
+    @staticmethod
+    def _sums(h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * W._powers(len(h) + 1)[0][:len(h)], out=out[1:])
+        return out
+
+    def _runs(self, k: int, total: np.ndarray) -> np.ndarray:
+        """Hash of every run of ``k`` words, from prefix sums over word hashes."""
+        return W.mix((total[k:] - total[:-k]) * W._powers(len(total))[1][:len(total) - k])
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """64 and 32 bits of every phrase."""
+        if not len(self.at):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        other = self._sums(W.mix(self.hashes ^ np.uint64(0x6A09E667F3BCC909)))
+        return self._runs(self.width, self.total)[self.at], self._runs(self.width, other)[self.at] >> np.uint64(32)
 
     def prints(self, gram: int) -> np.ndarray:
-        """The print of every phrase."""
+        """The print of every phrase: the least hash of its runs of ``gram`` words."""
         if not len(self.at):
             return np.zeros(0, np.uint64)
-        runs, n = self._runs(gram), len(self.start) - self.width + 1
-        least = runs[:n].copy()
-        for j in range(1, self.width - gram + 1):
-            np.minimum(least, runs[j:n + j], out=least)
+        least, wide, runs = self._runs(gram, self.total), 1, self.width - gram + 1
+        while 2 * wide <= runs:  # minima over twice as many runs
+            least, wide = np.minimum(least[:-wide], least[wide:]), 2 * wide
+        if wide < runs:
+            least = np.minimum(least[:wide - runs], least[runs - wide:])
         return least[self.at]
 
 
+def _groups(k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether a place in it begins a phrase): equal pairs side by side."""
+    order = np.argsort(k1)
+    a, b = k1[order], k2[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():  # two phrases with one 64-bit hash
+        order = np.lexsort((k2, k1))
+        a, b = k1[order], k2[order]
+        same = a[1:] == a[:-1]
+    new = np.ones(len(order), bool)
+    new[1:] = ~same | (b[1:] != b[:-1])
+    return order, new
+
+
 def _deal(bucket: np.ndarray, **values: np.ndarray) -> tuple[np.ndarray, dict[str, list[bytes]]]:
     """Values by bucket, each as bytes, in their order."""
     order = np.argsort(bucket, kind="stable")
@@ -128,11 +154,11 @@ def _send_phrases(width: int, gram: int, buckets: int):
         if hot.num_rows and docs.num_rows:
             b = Block(docs, width)
             of = np.isin(b.prints(gram), _joined(hot.column("prints"), np.uint64)[0])
-            k1, k2, text = b.k1[of], b.k2[of], b.text[b.at[of]]
-            order = np.lexsort((text, k2, k1))
-            new = np.ones(len(order), bool)
-            new[1:] = (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)
-            first = np.sort(order[new])  # of each phrase its place under the smallest id, in page order
+            k1, k2 = (k[of] for k in b.digests())
+            text = b.text[b.at[of]]
+            order, new = _groups(k1, k2)
+            # of each phrase its place under the smallest id (documents are in the order of theirs), in page order
+            first = np.sort(np.minimum.reduceat(order, np.flatnonzero(new))) if len(order) else order
             k1, k2, ids = k1[first], k2[first].astype(np.uint32), b.ids[text[first]]
             found, out = _deal(k1 % np.uint64(buckets), k1=k1, k2=k2, ids=ids)
             block = docs.column("block")[0].as_py()
@@ -147,11 +173,9 @@ def _return_phrases(table: pa.Table) -> pa.Table:
     k1, row = _joined(table.column("k1"), np.uint64)
     k2, _ = _joined(table.column("k2"), np.uint32)
     ids, _ = _joined(table.column("ids"), np.int64)
-    order = np.lexsort((ids, k2, k1))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)
+    order, new = _groups(k1, k2.astype(np.uint64))
     least = np.empty(len(order), np.int64)
-    least[order] = ids[order][new][np.cumsum(new) - 1]
+    least[order] = (np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(order) else ids)[np.cumsum(new) - 1]
     keep = least < ids
     rows, out = _deal(row[keep], k1=k1[keep], k2=k2[keep], ids=least[keep])
     return pa.table({"block": table.column("block").take(pa.array(rows)).combine_chunks()}
@@ -163,13 +187,11 @@ def confirmed(b: Block, found: pa.Table, within: bool = False) -> tuple[np.ndarr
     -1, a place of each phrase, the smallest id of each phrase)."""
     (q1, _), (q2, _), (first, _) = (_joined(found.column(c), t) for c, t in (("k1", np.uint64), ("k2", np.uint32), ("ids", np.int64)))
     n = len(b.at)
-    k1, k2 = np.concatenate([b.k1, q1]), np.concatenate([b.k2, q2.astype(np.uint64)])
+    own1, own2 = b.digests()
     ids = np.concatenate([b.ids[b.text[b.at]], first])
-    order = np.lexsort((ids, k2, k1))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)
+    order, new = _groups(np.concatenate([own1, q1]), np.concatenate([own2, q2.astype(np.uint64)]))
     group = np.cumsum(new) - 1
-    least = ids[order][new]
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(order) else ids
     later = np.zeros(len(least), bool)
     here = order < n
     later[group[here][ids[order][here] > least[group[here]]]] = True
