@@ -188,11 +188,16 @@ def _later_windows(b: P.Block, found: pa.Table) -> np.ndarray:
     return np.cumsum(depth)[:-1] > 0
 
 
+def _line_ends(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the lines of a text begin and end."""
+    at = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    return np.append(0, at + 1), np.append(at, len(data))
+
+
 def _without(data: bytes, start: np.ndarray, end: np.ndarray, gone: np.ndarray) -> tuple[str, int]:
     """A text (its words from ``start`` to ``end``) without the words that are ``gone``, and the lines removed; lines left without a
     word go, blank ones inside a cut too."""
-    stops = [i for i, c in enumerate(data) if c == 10] if b"\n" in data else []
-    begin, stop = np.array([0, *[i + 1 for i in stops]]), np.array([*stops, len(data)])
+    begin, stop = _line_ends(data)
     # one word more on both sides: what a blank line at the edge of a text has for neighbours
     edge = np.concatenate([[False], gone, [False]])
     w0, w1 = np.searchsorted(start, begin), np.searchsorted(start, stop)
@@ -243,8 +248,7 @@ def _cut_block(columns: list[str], min_words: int, schema: pa.Schema):
             data = b.chunk.data[off:b.chunk.off[i + 1]].tobytes()
             start, end, gone = b.start[words] - off, b.end[words] - off, inside[words].copy()
             if row in lines:
-                at = [k for k, c in enumerate(data) if c == 10]
-                begin, stop = [0, *[k + 1 for k in at]], [*at, len(data)]
+                begin, stop = _line_ends(data)
                 whole = np.zeros(len(gone), bool)
                 for r in lines[row]:
                     x, y = np.searchsorted(start, [begin[r["lo"]], stop[r["hi"] - 1]])
