@@ -186,3 +186,18 @@ def test_model_gates_refuse_a_city_only(spark):
     df = spark.createDataFrame(rows, "city_key string, price double, furnishing_type string")
     assert {r["city_key"]: r["refused"] for r in model_gates(df).collect()} == {
         "good": None, "price": "prices", "label": "furnishing", "plain": None}
+
+
+def test_rows_meet_the_encoder_tables_without_a_shuffle(spark):
+    """Encoder tables are written, so their size is known and the rows that join them stay where they are; copies are dealt by a digest that does not travel."""
+    from estatelens.operators.cleaning import drop_duplicates
+    from estatelens.operators.encoders import apply_encoders, fit_encoders
+    rows = spark.range(400).select(F.col("id").cast("string").alias("listing_id"), F.lit("c").alias("city_key"), (F.col("id") % 3).cast("string").alias("sector"),
+                                   (F.col("id") % 9).cast("string").alias("society"), (F.col("id") % 2).cast("int").alias("fold"),
+                                   (F.col("id") * 1.5).alias("price_per_sqft"))
+    plan = apply_encoders(rows, fit_encoders(rows, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    copies = rows.unionByName(rows.withColumn("listing_id", F.concat(F.lit("x"), "listing_id")))
+    kept = drop_duplicates(copies.drop("fold"), with_counts=True)
+    assert "Exchange hashpartitioning(xxhash64(" in kept._jdf.queryExecution().executedPlan().toString()
+    assert {r["listing_id"]: r["_copies"] for r in kept.collect()} == {str(i): 2 for i in range(400)}
