@@ -95,3 +95,29 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     rows = E.entry(spark).collect()
     assert len(rows) == 10 and {r["predictor"] for r in rows} == {"baseline_sector", "baseline_global"}
+
+
+def test_comparables_ties_fallback_and_repeated_query_ids(spark):
+    """Against a plain sort; equal areas on both sides, a locality without listings, ids that come twice.  Listings' columns are
+    not in the sort of places."""
+    import estatelens.operators.valuation as V
+    rows = [(f"id{i:03d}", "c" if i % 5 else "d", f"s{i % 3}", "flat", i % 4, float(100 * (i * 7 % 11)) if i % 2 else 37.0 * i, float(i)) for i in range(90)]
+    rows += rows[:4]
+    asked = [(i, "c" if i % 4 else "d", f"s{i % 4}", 50.0 * (i % 23)) for i in range(60)] + [(7, "c", "s1", 300.0), (8, "d", "s0", 250.0)]
+    listings = spark.createDataFrame(rows, "listing_id string, city_key string, sector string, property_type string, bedrooms int, area double, price double")
+    queries = spark.createDataFrame(asked, "query_id long, city_key string, sector string, area double")
+    sorted_whole, run = [], V.running_count
+    V.running_count = lambda df, *a: sorted_whole.append(df.columns) or run(df, *a)
+    try:
+        got = [tuple(r) for r in V.comparables(listings, queries, 4).orderBy("query_id", "rank").collect()]
+    finally:
+        V.running_count = run
+    want = []
+    for qid in sorted({a[0] for a in asked}):
+        near = []
+        for _, city, sector, area in (a for a in asked if a[0] == qid):
+            own = [r for r in rows if r[1:3] == (city, sector)] or [r for r in rows if r[1] == city]
+            near += [(abs(r[5] - area), r[0], r) for r in own]
+        want += [(qid, i + 1, r[0], r[2], r[3], r[4], r[5], r[6]) for i, (_, _, r) in enumerate(sorted(near)[:4])]
+    assert got == want
+    assert sorted_whole == [["city_key", "_pool", "_a", "_n"]]
