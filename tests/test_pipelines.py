@@ -97,6 +97,28 @@ def test_entry_smoke(spark):
     assert len(rows) == 10 and {r["predictor"] for r in rows} == {"baseline_sector", "baseline_global"}
 
 
+def test_ingest_reads_a_written_feed_and_its_code_is_compiled(spark):
+    """The JVM leaves methods of more than 8,000 bytes uncompiled."""
+    import re
+
+    from estatelens.operators.cleaning import drop_duplicates
+    from estatelens.operators.ingest import amenity_count, basis_of, map_and_convert
+    from estatelens.plans.ingest_queries import TEST_CONTRACT, contract_feed
+    feed = contract_feed(spark, SF_SMALL)
+    assert "Join" not in feed._jdf.queryExecution().optimizedPlan().toString()
+    df = map_and_convert(feed, TEST_CONTRACT)
+    df = df.where((basis_of(df, TEST_CONTRACT) == "superbuiltup") & df.price_per_sqft.between(2000.0, 200000.0))
+    df = df.withColumn("amenity_count", amenity_count(TEST_CONTRACT))
+    df = drop_duplicates(df.drop(*[c for c in df.columns if c.startswith("_")]), with_counts=True)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan shows its code only after it ran
+    try:
+        code = spark.sparkContext._jvm.PythonSQLUtils.explainString(df.select("*")._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+    assert contract_feed(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString() == feed._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_comparables_ties_fallback_and_repeated_query_ids(spark):
     """Against a plain sort; equal areas on both sides, a locality without listings, ids that come twice.  Listings' columns are
     not in the sort of places."""
