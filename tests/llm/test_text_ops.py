@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,3 +274,27 @@ def test_secrets_in_a_megabyte_of_near_misses():
         t = time.time()
         secret_ledger.find(kind, text)
         assert time.time() - t < 5, (kind, text[:8])
+
+
+def test_jaccard_postings_take_bounded_memory():
+    """A task of many distinct texts: what it holds at once does not grow with the texts it has read."""
+    import tracemalloc
+
+    from estatelens.llm import jaccard_join as J
+
+    rng = np.random.default_rng(5)
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(map(str, r)) for r in rng.integers(0, 10**6, (8000, 400)).tolist()])], ["text"])
+    total = 8000 * 396 * 3 // 10
+    buckets, largest = np.zeros(J._buckets(total), np.int64), 0
+    next(W.chunks(batch.column("text"))).prefix()  # tables of powers stay with the worker
+    tracemalloc.start()
+    try:
+        for out in J._text_postings(len(buckets))([batch]):
+            largest = max(largest, out.nbytes)
+            for b, n in zip(out.column("bucket").to_pylist(), pc.binary_length(out.column("token")).to_pylist()):
+                buckets[b] += n // 8
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert buckets.sum() > 900_000
+    assert peak < 60e6 and largest < 10e6 and buckets.max() < 300_000
