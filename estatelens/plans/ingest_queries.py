@@ -10,7 +10,7 @@ from estatelens.operators.ingest import IngestResult, ingest_listings
 from estatelens.plans import oracle as O
 from estatelens.plans.common import memo, round_floats
 from estatelens.plans.registry import register
-from estatelens.session import materialize
+from estatelens.session import finished
 from estatelens.sources.listings import raw_listings
 
 # The contract of the test feed: price in lakh, area text in sq.ft. (ranges
@@ -33,7 +33,7 @@ TEST_CONTRACT = ListingContract(
 def contract_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third-party shaped feed: raw text columns as a portal delivers them.  Written once: the ingests of a
     query and of an application read it, none of them joins the tables again."""
-    return memo(spark, sf_dir, "contract_feed", lambda: materialize(raw_listings(spark, sf_dir).select(
+    return memo(spark, sf_dir, "contract_feed", lambda: finished(spark, lambda: raw_listings(spark, sf_dir).select(
         "listing_id", "city_key", "price_lakh", "area_text", "size_label", "bathroom",
         "locality_raw", "area_type", "lift", "parking", "gym", F.col("property_type").alias("ptype"),
         "society", F.col("balcony").alias("balcony_raw"), "is_resale"), compression="zstd"))

@@ -18,7 +18,7 @@ from estatelens.operators.trees import Ensemble, predict
 from estatelens.plans import oracle as O
 from estatelens.plans.common import memo, round_floats
 from estatelens.plans.registry import register
-from estatelens.session import materialize
+from estatelens.session import finished, materialize
 from estatelens.sources.derived import valuation_queries
 from estatelens.sources.listings import hash_bucket, signal_listings
 
@@ -29,12 +29,13 @@ AREA_ONLY, NOISY = "america", "europe"
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings with the locality's median rate; the prices of one city are scattered."""
     def build():
-        listings = signal_listings(spark, sf_dir)
+        listings = signal_listings(spark, sf_dir).select("listing_id", "city_key", "society", "sector", "price", "price_per_sqft", "area", "bedrooms")
         scatter = 0.3 + 1.4 * F.pmod(hash_bucket(F.col("listing_id")), F.lit(1009)) / 1009.0
         listings = listings.withColumn("price", F.col("price") * F.when(F.col("city_key") == NOISY, scatter).otherwise(1.0))
-        rates = exact_quantiles(materialize(listings), ["city_key", "sector"], "price_per_sqft", {"sector_ppsf": 0.5})
-        return materialize(listings.join(rates, ["city_key", "sector"]))
-    return memo(spark, sf_dir, "tree_feed", build)
+        listings = materialize(listings)
+        rates = exact_quantiles(listings, ["city_key", "sector"], "price_per_sqft", {"sector_ppsf": 0.5})
+        return listings.join(rates, ["city_key", "sector"]).drop("price_per_sqft")
+    return memo(spark, sf_dir, "tree_feed", lambda: finished(spark, build))
 
 
 def additive_trees(listings: DataFrame) -> Ensemble:
