@@ -331,13 +331,15 @@ def q_extreme_residual_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     cheapest quintile; of the 10% largest under-estimates, the share in the
     dearest quintile."""
     oof = _oof(spark, sf_dir).select("city_key", "listing_id", "price", "res")
-    e = multi_quantiles(oof, ["city_key"], {"price": {"e1": 0.2, "e4": 0.8}}, count_prefix="n_")
+    e = multi_quantiles(oof, ["city_key"], {"price": {"e1": 0.2, "e4": 0.8}, "res": {"most": 0.89, "least": 0.11}}, count_prefix="n_")
+    # more than a tenth of a city's residuals lie at or beyond either bound: the others need no rank (all rows have one where residuals are missing)
+    whole = F.col("n_res") < F.col("n_price")
     base = oof.join((e), "city_key")
-    hi = rank_within(base, ["city_key"], [F.desc("res"), F.asc("listing_id")], "r_hi")
+    hi = rank_within(base.where(F.coalesce(whole | (F.col("res") >= F.col("most")), F.lit(True))), ["city_key"], [F.desc("res"), F.asc("listing_id")], "r_hi")
     k = F.floor(0.1 * F.col("n_price"))
     over = hi.where(F.col("r_hi") < k).groupBy("city_key").agg(
         F.avg((F.col("price") <= F.col("e1")).cast("double")).alias("over_share_q1"))
-    lo = rank_within(base, ["city_key"], [F.asc("res"), F.asc("listing_id")], "r_lo")
+    lo = rank_within(base.where(F.coalesce(whole | (F.col("res") <= F.col("least")), F.lit(True))), ["city_key"], [F.asc("res"), F.asc("listing_id")], "r_lo")
     under = lo.where(F.col("r_lo") < k).groupBy("city_key").agg(
         F.avg((F.col("price") > F.col("e4")).cast("double")).alias("under_share_q5"))
     return round_floats(e.select("city_key").join(over, "city_key", "left").join(under, "city_key", "left"))

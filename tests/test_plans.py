@@ -35,3 +35,26 @@ def test_listing_scan_is_pruned(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     # lineitem is read with only the columns the listing needs
     assert "l_tax" not in plan and "o_totalprice" not in plan
+
+
+def test_only_rows_near_the_ends_are_ranked(spark, monkeypatch):
+    """extreme_residual_share ranks a ninth of the rows from either end, ties and missing residuals as before."""
+    from pyspark.sql import functions as F
+
+    from estatelens.plans import report_queries as R
+    rows = [("a", f"{i:03d}", float(i * 7 % 100 + 1), float(i * 13 % 10) if i % 3 else 9.0) for i in range(200)] + [("b", f"{i}", float(i), 0.5) for i in range(1, 12)]
+    rows += [("c", f"{i}", float(i), None if i % 2 else float(i)) for i in range(1, 41)] + [("d", "1", 1.0, float("nan"))]
+    oof = spark.createDataFrame(rows, "city_key string, listing_id string, price double, res double").cache()
+    monkeypatch.setattr(R, "_oof", lambda *_: oof)
+    ranked = []
+    monkeypatch.setattr(R, "rank_within", lambda df, *args, real=R.rank_within: (ranked.append(df.where("city_key = 'b' or city_key = 'a'").count()), real(df, *args))[1])
+    got = {r["city_key"]: (r["over_share_q1"], r["under_share_q5"]) for r in R.q_extreme_residual_share(spark, "").collect()}
+    n = {k: sum(r[0] == k for r in rows) for k in "abcd"}
+    for city in "abcd":
+        own = [r for r in rows if r[0] == city]
+        e1, e4 = oof.where(F.col("city_key") == city).selectExpr("percentile(price, 0.2)", "percentile(price, 0.8)").first()
+        desc = sorted(own, key=lambda r: (r[3] is None, -(r[3] if r[3] is not None and r[3] == r[3] else 1e9), r[1]))[:n[city] // 10]
+        asc = sorted(own, key=lambda r: (r[3] is not None, r[3] if r[3] is not None and r[3] == r[3] else 1e9, r[1]))[:n[city] // 10]
+        want = (sum(r[2] <= e1 for r in desc) / len(desc) if desc else None, sum(r[2] > e4 for r in asc) / len(asc) if asc else None)
+        assert all((g is None) == (w is None) and (g is None or abs(g - w) < 1e-6) for g, w in zip(got[city], want)), (city, got[city], want)
+    assert min(ranked) < 120  # 211 rows before
