@@ -68,7 +68,7 @@ def test_package_reaches_the_workers(tmp_path):
 
 
 def test_tables_and_shuffles_on_the_way_are_deleted(spark, tmp_path):
-    """What quantiles write on their way goes when they are done; a large table's shuffle files go when it is written."""
+    """The copy of all values that quantiles write goes when they are done; a large table's shuffle files go when it is written."""
     import os
     import time
 
@@ -79,8 +79,11 @@ def test_tables_and_shuffles_on_the_way_are_deleted(spark, tmp_path):
 
     rows = session.materialize(spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v")))
     before = list(session._written)
-    q = exact_quantiles(rows, ["k"], "v", {"m": 0.5})
-    assert len(session._written) == len(before) + 1 and session._written[:len(before)] == before
+    q = exact_quantiles(rows.distinct(), ["k"], "v", {"m": 0.5})
+    assert session._written[:len(before)] == before
+    assert all(spark.read.parquet(p).count() < 1000 for p in session._written[len(before):])
+    small = session.finished(spark, lambda: session.materialize(session.materialize(rows.limit(7))))
+    assert small.count() == 7 and len([p for p in session._written if spark.read.parquet(p).count() == 7]) == 1
     assert {r["k"]: r["m"] for r in q.collect()} == {0: 499.5, 1: 499.0, 2: 500.0}
 
     local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
